@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightshelf.queries import candidates, features, lookups, vectors  # noqa: F401
+from brightshelf.queries import candidates, evaluation, features, lookups, vectors  # noqa: F401
 from brightshelf.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
