@@ -180,7 +180,7 @@ c AS (SELECT category, sum(n) AS n, sum(n) / (SELECT sum(n) FROM x) AS p FROM x
 g AS (SELECT n, row_number() OVER (ORDER BY n, item_id) AS i FROM x)
 SELECT {r6("(SELECT count(*) FILTER (n > 0) / count(*) FROM c)")} AS category_coverage,
        {r6("(SELECT sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0.0 END) FROM c)")} AS entropy,
-       {r6("(SELECT (2.0 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) FROM g)")} AS gini""".replace("\n,", ",", 1))
+       {r6("(SELECT (2.0 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) FROM g)")} AS gini""")
 def _e10(spark, sf):
     recs, _ = _content_recs(spark, sf)
     out = ev.diversity(recs, b.products(spark, sf))
