@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightshelf.functions.scalar import rounded
-from brightshelf.operators import evaluation as ev, experiments as ex, lookups, ordered
+from brightshelf.operators import evaluation as ev, experiments as ex, lookups
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, USERS, iso, query, r6, ratio, with_, word
 from brightshelf.queries.evaluation import RATES, show_rates
 from brightshelf.sources import bindings as b
