@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightshelf.queries import candidates, evaluation, experiments, features, lookups, monitoring, quality, vectors  # noqa: F401
+from brightshelf.queries import candidates, evaluation, experiments, features, lookups, monitoring, quality, sources, streams, training, vectors  # noqa: F401
 from brightshelf.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
