@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.functions.scalar import safe_divide
-from brightshelf.operators.ordered import CUTS, bucket_of, prefix_sums
+from brightshelf.operators.ordered import bucket_count, bucket_of, prefix_sums
 
 BINS = 10
 SHARE_FLOOR = 1e-4
@@ -31,8 +31,9 @@ def _value_counts(reference: DataFrame, current: DataFrame, columns: list[str])
 
 def _feature_buckets(reference: DataFrame, columns: list[str]) -> Column:
     """Bucket per feature from approximate quantiles: a few numbers per feature."""
-    probs = [i / CUTS for i in range(1, CUTS)]
-    row = reference.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(c) for c in columns]).first()
+    n = bucket_count(reference)
+    probs = [i / n for i in range(1, n)]
+    row = reference.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * n).alias(c) for c in columns]).first()
     bucket = F.lit(0)
     for c in columns:
         bucket = F.when(F.col("feature") == c, bucket_of(F.col("value"), sorted(set(row[c] or [])))).otherwise(bucket)
@@ -49,23 +50,23 @@ def feature_drift(reference: DataFrame, current: DataFrame, columns: list[str],
         _feature_buckets(reference, columns),
         ["feature"],
     )
-    totals = counts.groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
-    sized = ranked.join(totals, "feature")
+    sized = ranked.withColumnRenamed("_ref_cum_total", "n_ref").withColumnRenamed("_cur_cum_total", "n_cur")
     distance = F.abs(F.col("_ref_cum") / F.col("n_ref") - F.col("_cur_cum") / F.col("n_cur"))
     # The bin of a value is the decile of the reference that its predecessors fill.
     before = (F.col("_ref_cum") - F.col("ref")) * BINS
-    binned = sized.withColumn("_bin", F.least(F.floor(before / F.col("n_ref")), F.lit(BINS - 1)))
-    ks = sized.groupBy("feature").agg(F.max(distance).alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
-    shares = binned.groupBy("feature", "_bin").agg(
-        F.greatest(F.sum("ref") / F.max("n_ref"), F.lit(SHARE_FLOOR)).alias("_e"),
-        F.greatest(F.sum("cur") / F.max("n_cur"), F.lit(SHARE_FLOOR)).alias("_a"),
+    bins = sized.groupBy("feature", F.least(F.floor(before / F.col("n_ref")), F.lit(BINS - 1)).alias("_bin")).agg(
+        F.max(distance).alias("_ks"), F.sum("ref").alias("_r"), F.sum("cur").alias("_c"),
+        F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"),
     )
-    psi = shares.groupBy("feature").agg(
-        F.sum((F.col("_a") - F.col("_e")) * F.log(F.col("_a") / F.col("_e"))).alias("psi")
+    e = F.greatest(F.col("_r") / F.col("n_ref"), F.lit(SHARE_FLOOR))
+    a = F.greatest(F.col("_c") / F.col("n_cur"), F.lit(SHARE_FLOOR))
+    scores = bins.groupBy("feature").agg(
+        F.max("_ks").alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"),
+        F.sum((a - e) * F.log(a / e)).alias("psi"),
     )
     n, m = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
     critical = F.lit(KS_COEFFICIENT[alpha]) * F.sqrt((n + m) / (n * m))
-    return ks.join(psi, "feature").withColumn("critical", critical).withColumn("drifted", F.col("ks") > F.col("critical"))
+    return scores.withColumn("critical", critical).withColumn("drifted", F.col("ks") > F.col("critical"))
 
 
 def dataset_drift(features: DataFrame, share: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.functions.scalar import count_when, days_between, safe_divide
+from brightshelf.session import small_side
 from brightshelf.sources.schemas import EVENT_TYPE_WEIGHTS, EVENT_TYPES
 
 PROFILE_VECTOR = [
@@ -85,7 +86,7 @@ def product_window_features(
 def product_features_by_source(events: DataFrame, source: str, window_days: int = 30) -> DataFrame:
     """Product features of many input files in one job; each source has its own end date."""
     ends = events.groupBy(source).agg(F.max("ts").alias("source_end"))
-    dated = events.join(ends, source)
+    dated = events.join(small_side(ends, "source-ends"), source)
     return product_window_features(dated, window_days, F.col("source_end"), keys=(source, "item_id"))
 
 

@@ -15,7 +15,7 @@ from brightshelf.operators.topk import top_k
 from brightshelf.session import shared_dir
 
 # Settings of the boosted rankers and the neural ranker.
-BOOST_RATE, BOOST_DEPTH, BOOST_SUBSAMPLE = 0.1, 6, 0.8
+BOOST_RATE, BOOST_DEPTH, BOOST_SUBSAMPLE, BOOST_ROUNDS = 0.1, 6, 0.8, 100
 HIDDEN_LAYERS = [128, 64]
 EMBEDDING_DIM = 64
 
@@ -43,17 +43,17 @@ def train_embeddings(strengths: DataFrame, dim: int = EMBEDDING_DIM, iterations:
     return user_vectors, item_vectors
 
 
-def _estimator(kind: str, width: int, seed: int):
+def _estimator(kind: str, width: int, seed: int, rounds: int):
     common = {"featuresCol": "features", "seed": seed}
     if kind == "pointwise":
         return LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)
     if kind == "pairwise":
         return GBTClassifier(
             labelCol="label", maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE,
-            featureSubsetStrategy=str(BOOST_SUBSAMPLE), maxIter=20, **common,
+            featureSubsetStrategy=str(BOOST_SUBSAMPLE), maxIter=rounds, **common,
         )
     if kind == "listwise":
-        return GBTRegressor(labelCol="label", maxDepth=5, stepSize=BOOST_RATE, maxIter=20, **common)
+        return GBTRegressor(labelCol="label", maxDepth=5, stepSize=BOOST_RATE, maxIter=rounds, **common)
     return MultilayerPerceptronClassifier(labelCol="label", layers=[width, *HIDDEN_LAYERS, 2], maxIter=50, **common)
 
 
@@ -68,7 +68,7 @@ RANKERS = {
 }
 
 
-def ranker(name: str, features: list[str], seed: int = 42) -> Pipeline:
+def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> Pipeline:
     """Unfitted ranking pipeline by name; an unknown name is a ValueError.
 
     An unfitted pipeline has no transform, so predicting before training cannot happen.
@@ -78,7 +78,7 @@ def ranker(name: str, features: list[str], seed: int = 42) -> Pipeline:
     stages = [
         VectorAssembler(inputCols=features, outputCol="assembled"),
         StandardScaler(inputCol="assembled", outputCol="features"),
-        _estimator(RANKERS[name], len(features), seed),
+        _estimator(RANKERS[name], len(features), seed, rounds),
     ]
     return Pipeline(stages=stages)
 

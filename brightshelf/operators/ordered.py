@@ -12,21 +12,48 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CUTS = 32
+MIN_BUCKETS, MAX_BUCKETS = 32, 4_096
+FINE = 64
 
 
-def cut_points(df: DataFrame, column: str, n: int = CUTS) -> list[float]:
-    """At most n values that split `column` into about equal shares (n numbers reach the driver)."""
+def bucket_count(df: DataFrame) -> int:
+    """Buckets to spread an order over: four per shuffle partition, within fixed bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, 4 * partitions))
+
+
+def cut_points(df: DataFrame, column: str) -> list[float]:
+    """Values that split `column` into about equal shares; at most MAX_BUCKETS numbers reach the driver.
+
+    They are read once and become literals, so every use of a bucket agrees with every
+    other, also after a lost task. How well they balance never changes a result.
+    """
+    n = bucket_count(df)
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 1000).alias("cuts")).first()
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 10 * n).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
 def bucket_of(column: Column, cuts: list[float]) -> Column:
-    """How many cut points are <= the value: a monotone bucket number."""
+    """How many cut points are <= the value: a monotone bucket number.
+
+    Up to FINE cut points are compared one by one inside codegen; more are looked up in
+    two steps, a coarse comparison and then the short list of that range.
+    """
     if not cuts:
         return F.lit(0)
-    return reduce(lambda a, b: a + b, [(column >= F.lit(c)).cast("int") for c in cuts])
+    if len(cuts) <= FINE:
+        return reduce(lambda a, b: a + b, [(column >= F.lit(c)).cast("int") for c in cuts])
+    step = -(-len(cuts) // FINE)
+    ranges = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    coarse = bucket_of(column, [r[0] for r in ranges[1:]])
+    fine = F.element_at(F.array(*[F.array(*[F.lit(c) for c in r]) for r in ranges]), coarse + 1)
+    return coarse * step + F.size(F.filter(fine, lambda c: c <= column))
+
+
+def hash_bucket(word: Column, df: DataFrame) -> Column:
+    """Monotone bucket of a 32-bit hash word."""
+    return F.floor(word / F.lit(4294967296.0 / bucket_count(df)))
 
 
 def prefix_sums(
@@ -36,7 +63,8 @@ def prefix_sums(
     bucket: Column,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums along `order` within `keys`.
+    """Add inclusive running sums along `order` within `keys`, and each sum over the whole key
+    as `<name>_total`.
 
     `bucket` must be monotone in the first order column; it decides how the work is
     spread, never the result. `order` must be unique within `keys`.
@@ -53,6 +81,7 @@ def prefix_sums(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_bucket").alias("_k_bucket"),
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
+        *[F.sum(f"_t_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in sums],
     )
     inside = (
         Window.partitionBy(*keys, "_bucket")
@@ -63,13 +92,15 @@ def prefix_sums(
     for name in sums:
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(inside))
     if not keys:
-        # One row per bucket, however large the input is.
+        # One row per bucket: at most MAX_BUCKETS + 1, however large the input is.
         offsets = F.broadcast(offsets)
     on = [F.col("_bucket") == F.col("_k_bucket")]
     on += [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     out = local.join(offsets, reduce(lambda a, b: a & b, on))
     return out.select(
-        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums]
+        *df.columns,
+        *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums],
+        *[f"{name}_total" for name in sums],
     )
 
 
@@ -83,11 +114,7 @@ def exact_quantiles(
     cum = prefix_sums(
         counts, [F.col(value)], {"_cum": F.col("_c")}, bucket_of(F.col(value), cuts), keys
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    if keys:
-        sized = cum.join(totals, keys)
-    else:
-        sized = cum.withColumn("n", totals.scalar())
+    sized = cum.withColumnRenamed("_cum_total", "n")
     found = sized.groupBy(*keys, "n").agg(
         *[
             F.min(F.when(F.col("_cum") > bound(q), F.col(value))).alias(f"_{side}_{name}")
@@ -107,13 +134,8 @@ def exact_quantiles(
     return found.select(*keys, "n", *[interpolated(name, q).alias(name) for name, q in probs.items()])
 
 
-def contiguous_index(df: DataFrame, column: str, name: str = "index", width: int = 1_000_000) -> DataFrame:
-    """Distinct values of an integer id column numbered 0.. in ascending order.
-
-    Buckets are id ranges, so a bucket holds at most `width` distinct ids.
-    """
+def contiguous_index(df: DataFrame, column: str, name: str = "index") -> DataFrame:
+    """Distinct values of a numeric id column numbered 0.. in ascending order."""
     ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = prefix_sums(
-        ids, [F.col(column)], {"_rank": F.lit(1)}, F.floor(F.col(column) / F.lit(width))
-    )
+    ranked = prefix_sums(ids, [F.col(column)], {"_rank": F.lit(1)}, bucket_of(F.col(column), cut_points(df, column)))
     return ranked.select(column, (F.col("_rank") - 1).cast("bigint").alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.operators.ordered import exact_quantiles
+from brightshelf.session import small_side
 from brightshelf.sources.schemas import EVENT_TYPES
 
 
@@ -46,11 +47,11 @@ def deduplicate(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def outliers(df: DataFrame, value: str, key: str, factor: float = 1.5) -> DataFrame:
-    """Rows outside the interquartile fences of their key; a fence row per key is joined in."""
+    """Rows outside the interquartile fences of their key (such as the event type)."""
     q = exact_quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, [key])
     spread = F.col("_q3") - F.col("_q1")
     fences = q.select(key, (F.col("_q1") - factor * spread).alias("low"), (F.col("_q3") + factor * spread).alias("high"))
-    return df.join(fences, key).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
+    return df.join(small_side(fences, "fences"), key).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
 def daily_volume(df: DataFrame, max_drop: float = 0.5) -> DataFrame:

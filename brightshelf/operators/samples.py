@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.functions.scalar import md5_fraction, md5_word
 from brightshelf.operators.features import time_slice
-from brightshelf.operators.ordered import bucket_of, contiguous_index, cut_points, prefix_sums
-from brightshelf.session import materialise
+from brightshelf.operators.ordered import bucket_count, bucket_of, contiguous_index, cut_points, hash_bucket, prefix_sums
+from brightshelf.session import materialise, small_side
 from brightshelf.sources.schemas import EVENT_TYPES, POSITIVE_EVENTS
 
 INDEX_BUCKET = 65_536
@@ -49,10 +49,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     draw = md5_word(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     hashed = df.withColumn("_h", draw)
     ranked = prefix_sums(
-        hashed, [F.col("_h"), F.col(key)], {"_rank": F.lit(1)}, F.shiftright("_h", 20), [label]
+        hashed, [F.col("_h"), F.col(key)], {"_rank": F.lit(1)}, hash_bucket(F.col("_h"), df), [label]
     )
-    sizes = df.groupBy(label).agg(F.floor(F.count("*") * F.lit(test_share) + 0.5).alias("_test"))
-    return ranked.join(sizes, label).withColumn("is_test", F.col("_rank") <= F.col("_test")).select(*df.columns, "is_test")
+    wanted = F.floor(F.col("_rank_total") * F.lit(test_share) + 0.5)
+    return ranked.withColumn("is_test", F.col("_rank") <= wanted).select(*df.columns, "is_test")
 
 
 def time_split(df: DataFrame, key: str, shares: tuple = (0.7, 0.1, 0.2), ts: str = "ts") -> DataFrame:
@@ -60,15 +60,13 @@ def time_split(df: DataFrame, key: str, shares: tuple = (0.7, 0.1, 0.2), ts: str
     micros = df.withColumn("_t", F.unix_micros(ts))
     cuts = cut_points(micros, "_t")
     ranked = prefix_sums(micros, [F.col("_t"), F.col(key)], {"_rank": F.lit(1)}, bucket_of(F.col("_t"), cuts))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    numbered = ranked.withColumn("_n", total)
     first, second = shares[0], shares[0] + shares[1]
     split = (
-        F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(first) + 0.5), "train")
-        .when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(second) + 0.5), "validation")
+        F.when(F.col("_rank") <= F.floor(F.col("_rank_total") * F.lit(first) + 0.5), "train")
+        .when(F.col("_rank") <= F.floor(F.col("_rank_total") * F.lit(second) + 0.5), "validation")
         .otherwise("test")
     )
-    return numbered.withColumn("split", split).select(*df.columns, "split")
+    return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
 def not_interacted_ranges(pairs: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -193,7 +191,7 @@ def global_negatives(events: DataFrame, ratio: int = 2, max_tries: int = 10, see
         named = drawn.join(users, "_ui").join(items, "_ii").select("try", "user_id", "item_id")
         accepted = named.join(pairs, ["user_id", "item_id"], "left_anti")
         ranked = materialise(
-            prefix_sums(accepted, [F.col("try")], {"_rank": F.lit(1)}, F.floor(F.col("try") / F.lit(max(1, tries // 256 + 1)))),
+            prefix_sums(accepted, [F.col("try")], {"_rank": F.lit(1)}, F.floor(F.col("try") / F.lit(tries // bucket_count(pairs) + 1))),
             "global-negatives",
         )
         if tries >= limit or ranked.where(F.col("_rank") >= wanted).limit(1).count():
@@ -214,11 +212,10 @@ def context_features(events: DataFrame, context: Column) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Add `weight` = n / (classes x n of the class): every class weighs the same in total."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_c"))
-    totals = counts.agg(F.sum("_c").alias("n"), F.count("*").alias("k"))
-    weights = counts.withColumn("_t", totals.select(F.struct("n", "k")).scalar())
-    # One row per class: the label is binary.
-    return df.join(weights.select(label, (F.col("_t.n") / (F.col("_t.k") * F.col("_c"))).alias("weight")), label)
+    counts = small_side(df.groupBy(label).agg(F.count("*").alias("_c")), "class-counts")
+    totals = counts.agg(F.struct(F.sum("_c").alias("n"), F.count("*").alias("k"))).scalar()
+    joined = df.join(counts, label).withColumn("_t", totals)
+    return joined.select(*df.columns, (F.col("_t.n") / (F.col("_t.k") * F.col("_c"))).alias("weight"))
 
 
 def undersample(df: DataFrame, label: str, key: str, keep: dict[int, float], seed: str = "under") -> DataFrame:

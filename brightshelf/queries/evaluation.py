@@ -37,7 +37,7 @@ def metric_sql(source: str, table: str) -> str:
   ON hit_at_1, hit_at_5, hit_at_10, mrr INTO NAME metric VALUE value)"""
 
 
-@query("e1_e2_hit_and_mrr", with_(ALL, TRAIN, TRUTH, popularity_sql(10)) + metric_sql("popularity", "popular"))
+@query("e1_e2_a11_hit_and_mrr", with_(ALL, TRAIN, TRUTH, popularity_sql(10)) + metric_sql("popularity", "popular"))
 def _e1(spark, sf):
     recs, truth = _popular_recs(spark, sf)
     return ev.hit_and_mrr(recs, truth, ["popularity"]).withColumn("value", rounded("value"))

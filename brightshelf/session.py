@@ -17,10 +17,20 @@ SESSION_CONF = {
 }
 
 
+BROADCAST_ROWS = 100_000
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job here relies on."""
+    """Apply the runtime settings every job here relies on.
+
+    A cluster keeps its own number of shuffle partitions; on one machine the untouched
+    default of 200 is replaced by the number of cores.
+    """
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, context.defaultParallelism)))
     return spark
 
 
@@ -69,3 +79,16 @@ def materialise(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df, name: str):
+    """One row per key of a fact table's grouping key, for a join with that table.
+
+    The table is written, its rows are counted, and only up to BROADCAST_ROWS rows are
+    broadcast; beyond that the join is an ordinary shuffle with AQE skew handling. With
+    few keys a shuffle on them would put the facts into few tasks.
+    """
+    from pyspark.sql import functions as F
+
+    stored = materialise(df, name)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored

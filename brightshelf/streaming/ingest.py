@@ -81,8 +81,8 @@ def store_query(messages: DataFrame, store: str, purchases: str, checkpoint: str
         ).select("event_id", "_r.*")
         # Earlier batches only: a batch run again must not see its own first attempt.
         if batch_id:
-            earlier = spark.read.parquet(*[f"{store}/batch_id={i}" for i in range(batch_id)])
-            unique = unique.join(earlier.select("event_id"), "event_id", "left_anti")
+            earlier = spark.read.schema(f"event_id {good.schema['event_id'].dataType.simpleString()}, batch_id bigint").parquet(store)
+            unique = unique.join(earlier.where(F.col("batch_id") < batch_id).select("event_id"), "event_id", "left_anti")
         target = f"{store}/batch_id={batch_id}"
         unique.write.mode("overwrite").parquet(target)
         written = spark.read.schema(unique.schema).parquet(target)
