@@ -43,8 +43,3 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
     """Round, and turn -0.0 into 0.0."""
     column = F.col(column) if isinstance(column, str) else column
     return F.round(column, digits) + F.lit(0.0)
-
-
-def by_score(score: str, *ties: str) -> list[Column]:
-    """The one ordering of ranked lists: score (9 digits) descending, then ids ascending."""
-    return [F.round(F.col(score), 9).desc(), *[F.col(t).asc() for t in ties]]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from brightshelf.functions.scalar import count_when, safe_divide
 from brightshelf.operators.ordered import bucket_of, cut_points, prefix_sums
 from brightshelf.operators.topk import top_k
+from brightshelf.session import materialise
 
 # Metrics reported where there is nothing to evaluate.
 NO_SAMPLE_METRICS = {"auc": 0.5, "accuracy": 0.5, "precision": 0.0, "recall": 0.0, "f1": 0.0}
@@ -162,6 +163,7 @@ def diversity(recs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Share of categories recommended, their entropy, and the Gini of item exposure over the catalogue."""
     exposure = recs.groupBy("item_id").agg(F.count("*").alias("exposures"))
     items = catalogue.select("item_id", "category").join(exposure, "item_id", "left").fillna(0, subset=["exposures"])
+    items = materialise(items, "exposures")  # one row per item, read by three measures
     per_category = items.groupBy("category").agg(F.sum("exposures").alias("_n"))
     total = per_category.agg(F.sum("_n")).scalar()
     share = per_category.withColumn("_p", safe_divide(F.col("_n"), total))

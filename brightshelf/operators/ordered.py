@@ -34,19 +34,27 @@ def cut_points(df: DataFrame, column: str) -> list[float]:
     return sorted(set(row["cuts"] or []))
 
 
+def _search(column: Column, cuts: list[float], passed: int = 0) -> Column:
+    """Binary search as nested conditions: about log2(n) comparisons per row, never null."""
+    if not cuts:
+        return F.lit(passed)
+    mid = len(cuts) // 2
+    return F.when(column >= F.lit(cuts[mid]), _search(column, cuts[mid + 1 :], passed + mid + 1)).otherwise(
+        _search(column, cuts[:mid], passed)
+    )
+
+
 def bucket_of(column: Column, cuts: list[float]) -> Column:
     """How many cut points are <= the value: a monotone bucket number.
 
-    Up to FINE cut points are compared one by one inside codegen; more are looked up in
-    two steps, a coarse comparison and then the short list of that range.
+    Up to FINE cut points become one search tree inside codegen; more are looked up in two
+    steps, a coarse search and then the short list of that range.
     """
-    if not cuts:
-        return F.lit(0)
     if len(cuts) <= FINE:
-        return reduce(lambda a, b: a + b, [(column >= F.lit(c)).cast("int") for c in cuts])
+        return _search(column, cuts)
     step = -(-len(cuts) // FINE)
     ranges = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = bucket_of(column, [r[0] for r in ranges[1:]])
+    coarse = _search(column, [r[0] for r in ranges[1:]])
     fine = F.element_at(F.array(*[F.array(*[F.lit(c) for c in r]) for r in ranges]), coarse + 1)
     return coarse * step + F.size(F.filter(fine, lambda c: c <= column))
 

@@ -126,7 +126,7 @@ def negatives_with_replacement(pairs: DataFrame, products: DataFrame, per_positi
     Draws are independent, so an item may come twice; none has to be rejected. A user who
     has interacted with everything has none.
     """
-    catalogue = contiguous_index(products, "item_id")
+    catalogue = materialise(contiguous_index(products, "item_id"), "catalogue")
     ranges = materialise(not_interacted_ranges(pairs, catalogue), "complement")
     sized = _with_complement_size(pairs, ranges).select(
         "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(per_positive).cast("bigint"))).alias("draw")
@@ -136,30 +136,31 @@ def negatives_with_replacement(pairs: DataFrame, products: DataFrame, per_positi
     return pick_from_ranges(draws, ranges, catalogue).select("user_id", "item_id", "draw", "negative_item_id")
 
 
-def _distinct_draws(text: Column, size: Column, k: int) -> list[Column]:
-    """k different uniform ranks below `size`; null beyond it."""
-    chosen: list[Column] = []
+def _with_distinct_draws(df: DataFrame, text: Column, size: str, k: int) -> DataFrame:
+    """Add columns _r0.. of k different uniform ranks below `size`; null beyond it.
+
+    Draw j picks among size - j ranks and steps over the ranks taken before, lowest first.
+    """
     for j in range(k):
-        left = size - j
-        raw = F.floor(md5_fraction(F.concat_ws(":", text, F.lit(str(j)))) * left)
-        if chosen:
-            raw = F.aggregate(
-                F.array_sort(F.array(*chosen)), raw, lambda acc, taken: acc + F.when(acc >= taken, 1).otherwise(0)
-            )
-        chosen.append(raw)
-    return [F.when(size > j, c) for j, c in enumerate(chosen)]
+        rank = F.floor(md5_fraction(F.concat_ws(":", text, F.lit(str(j)))) * (F.col(size) - j))
+        if j:
+            taken = F.array_sort(F.array(*[F.col(f"_r{i}") for i in range(j)]))
+            rank = F.aggregate(taken, rank, lambda acc, t: acc + F.when(acc >= t, 1).otherwise(0))
+        df = df.withColumn(f"_r{j}", F.when(F.col(size) > j, rank))
+    return df
 
 
 def negatives_without_replacement(
     events: DataFrame, products: DataFrame, per_event: int = 4, key: str = "event_id", seed: str = "neg"
 ) -> DataFrame:
     """Up to `per_event` different items per interaction from the user's complement."""
-    catalogue = contiguous_index(products, "item_id")
+    catalogue = materialise(contiguous_index(products, "item_id"), "catalogue")
     ranges = materialise(not_interacted_ranges(events.select("user_id", "item_id").distinct(), catalogue), "complement")
     sized = _with_complement_size(events.select(key, "user_id"), ranges)
     text = F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))
-    ranks = F.array(*_distinct_draws(text, F.col("n_other"), per_event))
-    draws = sized.select("*", F.posexplode(ranks).alias("draw", "r")).where(F.col("r").isNotNull())
+    drawn = _with_distinct_draws(sized, text, "n_other", per_event)
+    ranks = F.array(*[F.col(f"_r{j}") for j in range(per_event)])
+    draws = drawn.select(*sized.columns, F.posexplode(ranks).alias("draw", "r")).where(F.col("r").isNotNull())
     return pick_from_ranges(draws, ranges, catalogue).select(
         key, "user_id", F.col("draw").cast("bigint").alias("draw"), "negative_item_id"
     )

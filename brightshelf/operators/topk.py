@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brightshelf.functions.scalar import by_score
+KEY = "_score_key"
+
+
+def _keyed(df: DataFrame, score: str, ties: tuple) -> tuple[DataFrame, list]:
+    """The one ordering of ranked lists: score (9 digits) descending, then ids ascending.
+
+    The rounded score (as a whole number of 1e-9 units) is a column of its own, so the sort
+    compares stored values instead of rounding both sides of every comparison.
+    """
+    return df.withColumn(KEY, F.rint(F.col(score) * 1e9)), [F.col(KEY).desc(), *[F.col(t).asc() for t in ties]]
 
 
 def top_k(df: DataFrame, k: int, partition: list[str], score: str = "score", ties: tuple = ("item_id",)) -> DataFrame:
@@ -13,11 +22,13 @@ def top_k(df: DataFrame, k: int, partition: list[str], score: str = "score", tie
     The rank filter lets Spark keep only k rows per key before the shuffle, so a hot
     key never arrives whole in one task.
     """
-    w = Window.partitionBy(*partition).orderBy(*by_score(score, *ties))
+    keyed, order = _keyed(df, score, ties)
+    w = Window.partitionBy(*partition).orderBy(*order)
     return (
-        df.withColumn("rank", F.row_number().over(w))
+        keyed.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .withColumn("rank", F.col("rank").cast("bigint"))
+        .drop(KEY)
     )
 
 
@@ -33,18 +44,12 @@ def newest_k(df: DataFrame, k: int, partition: list[str], ts: str, tie: str) ->
 
 def global_top_k(df: DataFrame, k: int, score: str = "score", ties: tuple = ("item_id",)) -> DataFrame:
     """Best k rows of the whole table, with a 1-based `rank`; k is a report size."""
-    ordered = df.orderBy(*by_score(score, *ties)).limit(k)
-    w = Window.orderBy(*by_score(score, *ties))
-    return ordered.withColumn("rank", F.row_number().over(w).cast("bigint"))
-
-
-def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """First row per key by `order`; filters and aggregates before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keyed, order = _keyed(df, score, ties)
+    best = keyed.orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).drop(KEY)
 
 
-def bounded_list(df: DataFrame, columns: list[str]) -> "F.Column":
+def bounded_list(df: DataFrame, columns: list[str]) -> Column:
     """A top-k table (k rows) as one array value, to be exploded next to other rows.
 
     Use only on the output of `global_top_k`; the array has k entries.
@@ -54,5 +59,6 @@ def bounded_list(df: DataFrame, columns: list[str]) -> "F.Column":
 
 def rank_lists(df: DataFrame, partition: list[str], score: str = "score", ties: tuple = ("item_id",)) -> DataFrame:
     """Rank every row of each given list; a list is what one request ranks, so it is short."""
-    w = Window.partitionBy(*partition).orderBy(*by_score(score, *ties))
-    return df.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    keyed, order = _keyed(df, score, ties)
+    w = Window.partitionBy(*partition).orderBy(*order)
+    return keyed.withColumn("rank", F.row_number().over(w).cast("bigint")).drop(KEY)

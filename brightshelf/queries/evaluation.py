@@ -11,6 +11,7 @@ from brightshelf.queries.base import INTERACTIONS, PRODUCTS, VECTORS, query, r6,
 from brightshelf.queries.candidates import (
     FOUR, collaborative_sql, content_sql, embedding_sql, popularity_sql, weighted_sql,
 )
+from brightshelf.session import materialise
 from brightshelf.sources import bindings as b
 
 CUTOFF = "2024-01-24 00:00:00"
@@ -159,7 +160,7 @@ CONTENT_RECS = with_(ALL, TRAIN, TRUTH, HISTORY, VECTORS, PRODUCTS, content_sql(
 
 def _content_recs(spark, sf):
     train, truth = plan.split_at(b.interactions(spark, sf), _cutoff())
-    return cand.content_based(feat.history(train), b.item_vectors(spark, sf), 10), truth
+    return materialise(cand.content_based(feat.history(train), b.item_vectors(spark, sf), 10), "recs"), truth
 
 
 @query("e9_coverage_hit_rate", CONTENT_RECS + f"""
