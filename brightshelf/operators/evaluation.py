@@ -38,7 +38,9 @@ def hit_and_mrr(recs: DataFrame, truth: DataFrame, sources: list[str], ks: tuple
     )
     names = [f"hit_at_{k}" for k in ks] + ["mrr"]
     pairs = truth.agg(F.count("*").alias("n")).scalar()
-    every = _spine(recs, "source", sources).join(summed, "source", "left").fillna(0.0).withColumn("_n", pairs)
+    # A source without hits still has a row: zeros are added to the sums.
+    zeros = _spine(recs, "source", sources).select("source", *[F.lit(0.0).alias(m) for m in names])
+    every = summed.unionByName(zeros).groupBy("source").agg(*[F.sum(m).alias(m) for m in names]).withColumn("_n", pairs)
     rates = every.select("source", *[safe_divide(F.col(m), F.col("_n")).alias(m) for m in names])
     return long_metrics(rates, ["source"], names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightshelf.functions.scalar import count_when, md5_mod_10000, md5_word, safe_divide
 
@@ -68,12 +68,12 @@ def assign_sticky(users: DataFrame, existing: DataFrame, experiment_id: str, all
 def get_or_create(experiments: DataFrame, experiment_id: str, defaults: dict[str, str]) -> DataFrame:
     """The row of an experiment, or a new row made of the defaults when there is none."""
     found = experiments.where(F.col("experiment_id") == experiment_id)
-    wanted = experiments.sparkSession.range(1).select(F.lit(experiment_id).alias("experiment_id"))
     columns = [
-        F.lit(experiment_id).alias(c) if c == "experiment_id" else F.lit(defaults.get(c)).cast(f.dataType).alias(c)
-        for c, f in ((f.name, f) for f in experiments.schema)
+        F.lit(experiment_id if f.name == "experiment_id" else defaults.get(f.name)).cast(f.dataType).alias(f.name)
+        for f in experiments.schema
     ]
-    created = wanted.join(found.select("experiment_id"), "experiment_id", "left_anti").select(*columns)
+    known = found.agg(F.count("*").alias("n")).scalar()
+    created = experiments.sparkSession.range(1).where(known == 0).select(*columns)
     return found.unionByName(created)
 
 
@@ -142,9 +142,10 @@ def significance(result: DataFrame, control: str) -> DataFrame:
 def exposure_balance(exposures: DataFrame, low: float = 0.4, high: float = 0.6) -> DataFrame:
     """Share of exposures per (experiment, variant), flagged outside the bounds."""
     counts = exposures.groupBy("experiment_id", "variant").agg(F.count("*").alias("exposures"))
-    totals = counts.groupBy("experiment_id").agg(F.sum("exposures").alias("_t"))
-    share = counts.join(totals, "experiment_id").withColumn("share", F.col("exposures") / F.col("_t"))
-    return share.drop("_t").withColumn("imbalanced", (F.col("share") < low) | (F.col("share") > high))
+    # One row per variant is left, so an experiment's window is short.
+    total = F.sum("exposures").over(Window.partitionBy("experiment_id"))
+    share = counts.withColumn("share", F.col("exposures") / total)
+    return share.withColumn("imbalanced", (F.col("share") < low) | (F.col("share") > high))
 
 
 def per_user_totals(assignments: DataFrame, events: DataFrame) -> DataFrame:

@@ -16,15 +16,14 @@ def retrain_decision(
     min_new_share: float = 0.2,
 ) -> DataFrame:
     """One row: CTR drop, drifted features, share of new rows, and the decision (any of them)."""
-    before = ev.business_rates(reference).select(F.col("ctr").alias("reference_ctr"), F.lit(1).alias("_one"))
-    after = ev.business_rates(current).select(F.col("ctr").alias("current_ctr"), F.lit(1).alias("_one"))
     features = drift.feature_drift(reference, current, columns)
     drifted = features.agg(F.count(F.when(F.col("drifted"), 1)).alias("n")).scalar()
     old = reference.agg(F.count("*").alias("n")).scalar()
     new = current.agg(F.count("*").alias("n")).scalar()
-    row = before.join(after, "_one").select(
-        "reference_ctr",
-        "current_ctr",
+    current_ctr = ev.business_rates(current).select("ctr").scalar()
+    row = ev.business_rates(reference).select(
+        F.col("ctr").alias("reference_ctr"),
+        current_ctr.alias("current_ctr"),
         drifted.alias("drifted_features"),
         safe_divide(new, old).alias("new_share"),
     )
