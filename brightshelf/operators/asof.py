@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from brightshelf.operators.ordered import bucket_of, cut_points
+
 
 def asof_join(
     spine: DataFrame,
@@ -12,15 +14,14 @@ def asof_join(
     columns: list[str],
     spine_ts: str = "ts",
     feature_ts: str = "feature_ts",
-    bucket_seconds: int = 86_400,
 ) -> DataFrame:
     """Spine rows with the last feature row of the same key at or before their time.
 
     Two levels: the last value within (key, time bucket), else the last value of an
-    earlier bucket. A hot key is thereby spread over its time buckets, and only one row
-    per (key, bucket) is carried along the key.
+    earlier bucket. Buckets hold about equal shares of all rows, so the rows of a hot key
+    in one bucket are a small part of the whole, and only one row per (key, bucket) is
+    carried along the key.
     """
-    bucket = F.floor(F.unix_seconds("_ts") / F.lit(bucket_seconds))
     left = spine.select(
         F.col(key),
         F.col(spine_ts).alias("_ts"),
@@ -35,7 +36,8 @@ def asof_join(
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
         F.struct(*columns).alias("_feature"),
     )
-    rows = left.unionByName(right).withColumn("_bucket", bucket)
+    rows = left.unionByName(right).withColumn("_t", F.unix_micros("_ts"))
+    rows = rows.withColumn("_bucket", bucket_of(F.col("_t"), cut_points(rows, "_t")))
     inside = (
         Window.partitionBy(key, "_bucket")
         .orderBy("_ts", "_kind")

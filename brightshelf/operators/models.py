@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from brightshelf.operators.ordered import contiguous_index
-from brightshelf.operators.topk import top_k
 from brightshelf.session import shared_dir
 
 # Settings of the boosted rankers and the neural ranker.
@@ -118,26 +117,3 @@ def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
     """(feature, importance) of a fitted tree ranker: one entry per assembled feature."""
     names = model.stages[0].getInputCols()
     return list(zip(names, (float(x) for x in model.stages[-1].featureImportances.toArray())))
-
-
-def approximate_neighbours(
-    queries: DataFrame, items: DataFrame, k: int, tables: int = 4, bucket: float = 0.5, radius: float = 2.0
-) -> DataFrame:
-    """Approximate top-k by cosine for large catalogues, by random projection hashing.
-
-    Vectors are scaled to length one; cosine follows from the euclidean distance. Recall
-    against the exact grid is a property of `tables` and `bucket`.
-    """
-    unit = Normalizer(inputCol="_v", outputCol="features", p=2.0)
-
-    def prepared(df: DataFrame, key: str) -> DataFrame:
-        return unit.transform(df.select(F.col(key), array_to_vector(F.col("vector").cast("array<double>")).alias("_v"))).select(key, "features")
-
-    left, right = prepared(queries, "user_id"), prepared(items, "item_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=42)
-    model = lsh.fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, "_d").select(
-        F.col("datasetA.user_id").alias("user_id"), F.col("datasetB.item_id").alias("item_id"),
-        (F.lit(1.0) - F.col("_d") * F.col("_d") / 2).alias("score"),
-    )
-    return top_k(near, k, ["user_id"])

@@ -18,8 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from brightshelf.functions.vectors import l2_normalise
 from brightshelf.operators.topk import top_k
 from brightshelf.session import materialise
 
@@ -88,6 +91,7 @@ def top_k_similar(
     vector: str = "vector",
     exclude_self: bool = False,
     metric: str = "cosine",
+    item_vector: str | None = None,
     query_block: int = QUERY_BLOCK,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
@@ -97,25 +101,38 @@ def top_k_similar(
     query, so the last ranking sees (queries x item blocks x k) rows, not all pairs.
     `metric` is "cosine" (a vector without length scores 0.0) or "dot".
     """
-    same_name = query_id == item_id
-    out_item = f"similar_{item_id}" if same_name else item_id
+    one = F.lit(0).cast("bigint")
+    left = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"), one.alias("_cell"))
+    right = items.select(F.col(item_id).alias("_i"), F.col(item_vector or vector).alias("_v"), one.alias("_cell"))
     nq, ni = _blocks(queries, query_block), _blocks(items, item_block)
-    left = queries.select(
-        F.col(query_id).alias("_q"),
-        F.col(vector).alias("_v"),
-        F.pmod(F.xxhash64(query_id), F.lit(nq)).alias("_qb"),
-        _each(ni).alias("_ib"),
+    return _top_k_in_cells(
+        left.withColumn("_nq", F.lit(nq)).withColumn("_ni", F.lit(ni)),
+        right.withColumn("_nq", F.lit(nq)).withColumn("_ni", F.lit(ni)),
+        k, query_id, item_id, exclude_self, metric,
     )
-    right = items.select(
-        F.col(item_id).alias("_i"),
-        F.col(vector).alias("_v"),
-        F.pmod(F.xxhash64(item_id), F.lit(ni)).alias("_ib"),
-        _each(nq).alias("_qb"),
+
+
+def _top_k_in_cells(
+    left: DataFrame, right: DataFrame, k: int, query_id: str, item_id: str, exclude_self: bool, metric: str
+) -> DataFrame:
+    """k best items per query among the items of the query's cells.
+
+    left (_q, _v, _cell, _nq, _ni) and right (_i, _v, _cell, _nq, _ni): a cell is cut into
+    _nq query blocks and _ni item blocks, so a hot cell becomes many groups of bounded size.
+    """
+    out_item = f"similar_{item_id}" if query_id == item_id else item_id
+    left = left.select(
+        "_q", "_v", "_cell", F.pmod(F.xxhash64("_q"), "_nq").alias("_qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ni").cast("bigint") - 1)).alias("_ib"),
+    )
+    right = right.select(
+        "_i", "_v", "_cell", F.pmod(F.xxhash64("_i"), "_ni").alias("_ib"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq").cast("bigint") - 1)).alias("_qb"),
     )
     schema = T.StructType(
         [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(out_item, items.schema[item_id].dataType),
+            T.StructField(query_id, left.schema["_q"].dataType),
+            T.StructField(out_item, right.schema["_i"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
@@ -147,8 +164,54 @@ def top_k_similar(
             }
         )
 
-    cells = left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInArrow(cell, schema)
-    return top_k(cells, k, [query_id], ties=(out_item,))
+    keys = ["_cell", "_qb", "_ib"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+    return top_k(best, k, [query_id], ties=(out_item,))
+
+
+def top_k_approximate(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    query_id: str,
+    item_id: str = "item_id",
+    vector: str = "vector",
+    cells: int = 64,
+    probes: int = 8,
+    seed: int = 42,
+    query_block: int = QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK,
+) -> DataFrame:
+    """Approximate k best items per query by cosine, for catalogues too large to compare whole.
+
+    Items are put into `cells` by k-means over unit vectors; a query looks into the `probes`
+    cells with the closest centres. All items of those cells are compared, so the result is
+    exact when every cell is probed. At most `cells` centres and counts are broadcast.
+    """
+    spark = queries.sparkSession
+    unit_items = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("_v"), array_to_vector(l2_normalise(F.col(vector))).alias("_u"))
+    model = KMeans(k=cells, seed=seed, featuresCol="_u", predictionCol="_p", maxIter=10).fit(unit_items)
+    centres = spark.createDataFrame(
+        [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], "_cell bigint, _c array<float>"
+    )
+    placed = materialise(
+        model.transform(unit_items).select("_i", "_v", F.col("_p").cast("bigint").alias("_cell")), "placed-items"
+    )
+    probed = top_k_similar(
+        queries, centres, probes, query_id, "_cell", vector, item_vector="_c", query_block=query_block
+    )
+    asked = materialise(
+        queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v")).join(
+            probed.select(F.col(query_id).alias("_q"), "_cell"), "_q"
+        ),
+        "probed-cells",
+    )
+    sizes = (
+        placed.groupBy("_cell").agg(F.ceil(F.count("*") / item_block).alias("_ni"))
+        .join(asked.groupBy("_cell").agg(F.ceil(F.count("*") / query_block).alias("_nq")), "_cell")
+    )
+    sizes = F.broadcast(sizes)  # one row per cell
+    return _top_k_in_cells(asked.join(sizes, "_cell"), placed.join(sizes, "_cell"), k, query_id, item_id, False, "cosine")
 
 
 def similarity_matrix(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brightshelf.operators.ordered import bucket_of, cut_points, prefix_sums
+
 KEY = "_score_key"
 
 
@@ -58,7 +60,12 @@ def bounded_list(df: DataFrame, columns: list[str]) -> Column:
 
 
 def rank_lists(df: DataFrame, partition: list[str], score: str = "score", ties: tuple = ("item_id",)) -> DataFrame:
-    """Rank every row of each given list; a list is what one request ranks, so it is short."""
-    keyed, order = _keyed(df, score, ties)
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return keyed.withColumn("rank", F.row_number().over(w).cast("bigint")).drop(KEY)
+    """Rank every row of each given list, however long a list is.
+
+    Nothing can be cut off here, so the ranks are taken in two levels instead of sorting a
+    whole list in one task.
+    """
+    keyed = df.withColumn(KEY, -F.rint(F.col(score) * 1e9))
+    bucket = bucket_of(F.col(KEY), cut_points(keyed, KEY))
+    ranked = prefix_sums(keyed, [F.col(KEY), *[F.col(t) for t in ties]], {"rank": F.lit(1)}, bucket, partition)
+    return ranked.select(*df.columns, F.col("rank").cast("bigint").alias("rank"))

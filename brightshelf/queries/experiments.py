@@ -8,6 +8,7 @@ from brightshelf.functions.scalar import rounded
 from brightshelf.operators import evaluation as ev, experiments as ex, lookups
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, USERS, iso, query, r6, ratio, with_, word
 from brightshelf.queries.evaluation import RATES, show_rates
+from brightshelf.session import materialise
 from brightshelf.sources import bindings as b
 
 EXPERIMENT = "exp_001"
@@ -97,7 +98,8 @@ def _log(spark, sf):
     sold = outcomes.where("outcome_type = 'revenue_per_recommendation'").withColumn("outcome_type", F.lit("conversion_rate")).withColumn(
         "value", F.lit(None).cast("double")
     )
-    return ex.exposure_rows(shown).unionByName(ex.outcome_rows(outcomes.unionByName(sold)))
+    # The tracking rows are a stored table in use; the results read it several times.
+    return materialise(ex.exposure_rows(shown).unionByName(ex.outcome_rows(outcomes.unionByName(sold))), "tracking")
 
 
 @query("x4_exposure_and_outcome_rows", with_(INTERACTIONS, ASSIGNED) + f"""

@@ -271,7 +271,7 @@ def _t15(spark, sf):
 def _c17(spark, sf):
     users, items = b.user_vectors(spark, sf), b.item_vectors(spark, sf)
     exact = cand.embedding(users, items, 10).select("user_id", "item_id", F.lit(1).alias("_e"))
-    near = models.approximate_neighbours(users, items, 10)
+    near = sim.top_k_approximate(users, items, 10, "user_id")
     return near.join(exact, ["user_id", "item_id"], "left").select(
         "user_id", "item_id", rounded("score").alias("score"), "rank", F.col("_e").isNotNull().alias("is_exact")
     )

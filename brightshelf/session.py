@@ -65,8 +65,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/brightshelf/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, inside a directory of this application.
+
+    Nothing here deletes it: results are read lazily. Once the application has ended, its
+    directory can go.
+    """
+    return f"{shared_dir(spark)}/brightshelf/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df, name: str):

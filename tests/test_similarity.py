@@ -29,6 +29,20 @@ def test_top_k_over_blocks(spark, query_block, item_block):
     assert rows == set(brute_top(m, m, 6, skip_self=True))
 
 
+@pytest.mark.parametrize("probes,blocks", [(6, 1000), (6, 9), (2, 1000)])
+def test_approximate_top_k(spark, probes, blocks):
+    rng = np.random.default_rng(4)
+    # a third of all items are copies of one vector, so one cell is hot
+    m = np.concatenate([rng.normal(size=(40, 4)), np.tile(rng.normal(size=(1, 4)), (20, 1))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "item_id bigint, vector array<float>")
+    queries = df.withColumnRenamed("item_id", "user_id")
+    exact = {(r.user_id, r["rank"]): round(r.score, 6) for r in sim.top_k_similar(queries, df, 5, "user_id").collect()}
+    near = sim.top_k_approximate(queries, df, 5, "user_id", cells=6, probes=probes, query_block=blocks, item_block=blocks)
+    got = {(r.user_id, r["rank"]): round(r.score, 6) for r in near.collect()}
+    same = np.mean([abs(got.get(key, -9) - score) < 1e-5 for key, score in exact.items()])
+    assert same == 1.0 if probes == 6 else same > 0.5
+
+
 def test_embedding_anchor(spark):
     users = spark.createDataFrame([("user_1", [0.1, 0.2, 0.3])], "user_id string, vector array<float>")
     items = spark.createDataFrame(
