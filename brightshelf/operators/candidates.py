@@ -34,8 +34,7 @@ def from_similar_items(history: DataFrame, similar: DataFrame, limit: int, sourc
 
 def collaborative(history: DataFrame, strengths: DataFrame, limit: int) -> DataFrame:
     """Items that share users with the history, by cosine over user columns."""
-    similar = sim.similar_from_pairs(sim.cooccurrence(strengths), limit)
-    return from_similar_items(history, similar, limit, "collaborative")
+    return from_similar_items(history, sim.similar_by_users(strengths, limit), limit, "collaborative")
 
 
 def content_based(history: DataFrame, item_features: DataFrame, limit: int) -> DataFrame:

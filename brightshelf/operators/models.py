@@ -53,7 +53,7 @@ def _estimator(kind: str, width: int, seed: int, rounds: int):
         )
     if kind == "listwise":
         return GBTRegressor(labelCol="label", maxDepth=5, stepSize=BOOST_RATE, maxIter=rounds, **common)
-    return MultilayerPerceptronClassifier(labelCol="label", layers=[width, *HIDDEN_LAYERS, 2], maxIter=50, **common)
+    return MultilayerPerceptronClassifier(labelCol="label", layers=[width, *HIDDEN_LAYERS, 2], maxIter=rounds, **common)
 
 
 # Names under which a ranker can be asked for.

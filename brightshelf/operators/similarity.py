@@ -8,7 +8,8 @@ carries one row per compared pair:
   query. The cells are spread by an ordinary shuffle.
 * Partial products. Co-occurrence adds up item pairs inside the task that reads a
   user's history and hands on sums. Long histories are cut into chunks first, so a
-  user with a third of all rows becomes many small rows.
+  user with a third of all rows becomes many small rows; for top-k lists the longest
+  histories are scored by the block grid and never paired out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from brightshelf.functions.vectors import l2_normalise
+from brightshelf.functions.vectors import dot, l2_normalise
 from brightshelf.operators.topk import top_k
 from brightshelf.session import materialise
 
@@ -30,6 +31,7 @@ QUERY_BLOCK = 16_384
 ITEM_BLOCK = 32_768
 SCORE_CELLS = 8_000_000
 HISTORY_CHUNK = 1_024
+HEAVY_USERS = 32
 PAIR_BATCH = 2_000_000
 
 
@@ -330,22 +332,17 @@ def _sum_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = end
 
 
-def cooccurrence(
-    strengths: DataFrame, user: str = "user_id", item: str = "item_id", weight: str = "weight",
-    chunk: int = HISTORY_CHUNK,
-) -> DataFrame:
-    """Cosine similarity of items over their user columns: (item_id_1 < item_id_2, similarity).
-
-    Expects one row per (user, item) with an integer item id. Only pairs that share a
-    user are listed; all others have similarity 0. Exact for any history length: a
-    history longer than `chunk` is cut into chunks that are paired with each other.
-    """
-    strengths = materialise(strengths.select(user, item, weight), "strengths")
+def _unit_strengths(strengths: DataFrame, user: str, item: str, weight: str) -> DataFrame:
+    """(_u, _i, _w): weights divided by the length of their item column."""
     norms = strengths.groupBy(item).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"))
-    unit = strengths.join(norms, item).select(
+    return strengths.join(norms, item).select(
         F.col(user).alias("_u"), F.col(item).alias("_i"), (F.col(weight) / F.col("_norm")).alias("_w")
     )
-    sizes = strengths.groupBy(F.col(user).alias("_u")).agg(F.ceil(F.count("*") / F.lit(chunk / 2)).alias("_n"))
+
+
+def _pair_products(unit: DataFrame, chunk: int) -> DataFrame:
+    """(item_id_1 < item_id_2, similarity): weight products summed over users."""
+    sizes = unit.groupBy("_u").agg(F.ceil(F.count("*") / F.lit(chunk / 2)).alias("_n"))
     sizes = sizes.withColumn("_n", F.when(F.col("_n") <= 2, F.lit(1)).otherwise(F.col("_n")))
     chunked = unit.join(sizes, "_u").withColumn("_c", F.pmod(F.xxhash64("_i"), F.col("_n")))
     packed = chunked.groupBy("_u", "_c", "_n").agg(F.collect_list(F.struct("_i", "_w")).alias("_h"))
@@ -368,6 +365,62 @@ def cooccurrence(
     return partial.groupBy("item_id_1", "item_id_2").agg(F.sum("similarity").alias("similarity"))
 
 
+def cooccurrence(
+    strengths: DataFrame, user: str = "user_id", item: str = "item_id", weight: str = "weight",
+    chunk: int = HISTORY_CHUNK,
+) -> DataFrame:
+    """Cosine similarity of items over their user columns: (item_id_1 < item_id_2, similarity).
+
+    Expects one row per (user, item) with an integer item id. Only pairs that share a
+    user are listed; all others have similarity 0. Exact for any history length: a
+    history longer than `chunk` is cut into chunks that are paired with each other. The
+    result itself has a row per pair that shares a user; where only the best partners are
+    wanted, `similar_by_users` avoids the rows a very long history would add.
+    """
+    strengths = materialise(strengths.select(user, item, weight), "strengths")
+    return _pair_products(_unit_strengths(strengths, user, item, weight), chunk)
+
+
+def similar_by_users(
+    strengths: DataFrame, k: int, user: str = "user_id", item: str = "item_id", weight: str = "weight",
+    chunk: int = HISTORY_CHUNK, heavy_users: int = HEAVY_USERS,
+) -> DataFrame:
+    """k most similar items per item by cosine over user columns, exact for any skew.
+
+    A user who has touched most of the catalogue makes every pair of items similar. Such
+    users (at most `heavy_users`, each with more than `chunk` items) are not paired out:
+    they become a short dense vector per item, whose inner product is their part of the
+    similarity. The best partners of an item are then among the pairs of the other users,
+    with the dense part added, and the k best by the dense part alone: any item left out
+    has no other part and k items at least as good.
+    """
+    strengths = materialise(strengths.select(user, item, weight), "strengths")
+    unit = _unit_strengths(strengths, user, item, weight)
+    long = strengths.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
+    heavy = [r[user] for r in long.orderBy(F.desc("_n"), user).limit(heavy_users).collect()]
+    if not heavy:
+        return similar_from_pairs(_pair_products(unit, chunk), k)
+    is_heavy = F.col("_u").isin(heavy)
+    dense = unit.where(is_heavy).groupBy(F.col("_i").alias("item_id")).agg(
+        F.array(*[F.sum(F.when(F.col("_u") == u, F.col("_w")).otherwise(0.0)) for u in heavy]).alias("vector")
+    )
+    dense = materialise(dense, "heavy-users")
+    light = symmetric(_pair_products(unit.where(~is_heavy), chunk))
+    partner = dense.select(F.col("item_id").alias("similar_item_id"), F.col("vector").alias("_other"))
+    shared = F.when(
+        F.col("vector").isNotNull() & F.col("_other").isNotNull(), dot(F.col("vector"), F.col("_other"))
+    ).otherwise(0.0)
+    whole = light.join(dense, "item_id", "left").join(partner, "similar_item_id", "left").select(
+        "item_id", "similar_item_id", (F.col("similarity") + shared).alias("similarity")
+    )
+    alone = top_k_similar(dense, dense, k, "item_id", exclude_self=True, metric="dot").where("score > 0").select(
+        "item_id", "similar_item_id", F.col("score").alias("similarity")
+    )
+    best = top_k(whole, k, ["item_id"], "similarity", ("similar_item_id",)).drop("rank").unionByName(alone)
+    merged = best.groupBy("item_id", "similar_item_id").agg(F.max("similarity").alias("similarity"))
+    return top_k(merged, k, ["item_id"], "similarity", ("similar_item_id",))
+
+
 def similar_from_pairs(pairs: DataFrame, k: int) -> DataFrame:
     """k most similar items per item from given pairs, looked up from both sides."""
     return top_k(symmetric(pairs), k, ["item_id"], "similarity", ("similar_item_id",))

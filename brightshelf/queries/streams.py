@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightshelf.functions.scalar import rounded
+from brightshelf.operators import candidates as cand, features as feat
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, USERS, iso, query, r6, with_
 from brightshelf.queries.sources import MESSAGES, messages
 from brightshelf.session import scratch_path
@@ -80,13 +81,19 @@ def _st4(spark, sf):
     return stored.unionByName(bought).groupBy("target", "event_type").agg(F.count("*").alias("events"))
 
 
-@query("st5_recommendation_messages")
+@query("st5_recommendation_messages", with_(INTERACTIONS, """
+counts AS (SELECT item_id, count(*) FILTER (event_type = 'view') + 2 * count(*) FILTER (event_type = 'click')
+  + 3 * count(*) FILTER (event_type = 'purchase') AS score FROM interactions GROUP BY item_id)""", """
+best AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM counts QUALIFY rank <= 10)""", """
+list AS (SELECT string_agg('{"rank":' || rank || ',"item_id":' || item_id || ',"score":' || score || '}', ',' ORDER BY rank) AS items FROM best)""") + """
+SELECT CAST(user_id AS VARCHAR) AS key, '{"user_id":' || user_id || ',"recommendations":[' || items || '],"num_returned":10}' AS value
+FROM (SELECT DISTINCT user_id FROM interactions) CROSS JOIN list""")
 def _st5(spark, sf):
-    """Recommendation messages of the batch job; the topic sink itself needs the connector."""
-    from brightshelf.operators import candidates as cand
-
-    recs = cand.embedding(b.user_vectors(spark, sf), b.item_vectors(spark, sf), 10)
-    return sinks.recommendation_messages(recs.withColumn("score", rounded("score")))
+    """Recommendation messages; the topic sink itself needs the connector."""
+    events = b.interactions(spark, sf)
+    scores = feat.count_popularity(feat.profile(events, "item_id"))
+    recs = cand.popularity(events.select("user_id").distinct(), scores, 10)
+    return sinks.recommendation_messages(recs.withColumn("score", F.col("score").cast("bigint")))
 
 
 WINDOWED = """SELECT {iso} AS window_start, item_id, count(*) AS events, count(*) FILTER (event_type = 'view') AS views,

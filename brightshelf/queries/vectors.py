@@ -177,5 +177,5 @@ PURCHASE_COUNTS = "SELECT user_id, item_id, CAST(count(*) AS DOUBLE) AS weight F
 @query("w2_similar_purchased_items", with_(PURCHASES, cooccurrence_sql(PURCHASE_COUNTS), similar_sql("cooc", 10, "t")) + f"""
 SELECT item_id, similar_item_id, {r6('similarity')} AS similarity, rank FROM t""")
 def _w2p(spark, sf):
-    pairs = sim.cooccurrence(interaction_counts(b.purchases(spark, sf)))
-    return sim.similar_from_pairs(pairs, 10).withColumn("similarity", rounded("similarity"))
+    similar = sim.similar_by_users(interaction_counts(b.purchases(spark, sf)), 10)
+    return similar.withColumn("similarity", rounded("similarity"))

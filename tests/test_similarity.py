@@ -78,6 +78,27 @@ def test_cooccurrence_with_a_hot_user(spark, chunk):
     assert np.allclose([got[p] for p in want], list(want.values()))
 
 
+@pytest.mark.parametrize("heavy_users,chunk", [(32, 1024), (1, 8), (3, 8), (32, 2)])
+def test_best_partners_with_heavy_users(spark, heavy_users, chunk):
+    rng = np.random.default_rng(11)
+    dense = rng.integers(1, 6, (25, 40)) * (rng.random((25, 40)) < 0.08)
+    dense[0] = rng.integers(1, 5, 40)  # every item
+    dense[1] = rng.integers(1, 5, 40) * (rng.random(40) < 0.6)
+    rows = [(int(u), int(i), float(dense[u, i])) for u, i in zip(*np.nonzero(dense))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    got = {
+        (r.item_id, r["rank"]): (r.similar_item_id, round(r.similarity, 7))
+        for r in sim.similar_by_users(df, 6, chunk=chunk, heavy_users=heavy_users).collect()
+    }
+    unit = dense / np.linalg.norm(dense, axis=0, keepdims=True)
+    gram = np.round(unit.T @ unit, 9)
+    want = {}
+    for i in range(40):
+        order = sorted((j for j in range(40) if j != i and gram[i, j] > 0), key=lambda j: (-gram[i, j], j))
+        want.update({(i, n + 1): (j, round(gram[i, j], 7)) for n, j in enumerate(order[:6])})
+    assert got == want
+
+
 def test_given_pairs_count_twice(spark):
     pairs = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (1, 3, 0.4)], "item_id_1 bigint, item_id_2 bigint, similarity double")
     history = spark.createDataFrame([(9, 1)], "user_id bigint, item_id bigint")
