@@ -233,8 +233,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
     sums = df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(md5_word(row, 0)), F.lit(0)).alias("h0"),
-        F.coalesce(F.sum(md5_word(row, 1)), F.lit(0)).alias("h1"),
+        # decimals: the sum of 32-bit words leaves 64 bits after two thousand million rows
+        *[F.coalesce(F.sum(md5_word(row, i).cast("decimal(20,0)")), F.lit(0)).alias(f"h{i}") for i in (0, 1)],
     )
     text = F.concat_ws(":", F.col("rows").cast("string"), F.col("h0").cast("string"), F.col("h1").cast("string"))
     return sums.select("rows", F.substring(F.sha2(text, 256), 1, 8).alias("version"))
