@@ -51,7 +51,9 @@ def asof_join(
     carried = per_bucket.select(
         key, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
-    joined = local.join(carried, [key, "_bucket"]).withColumn("_hit", F.coalesce("_local", "_carried"))
+    # A row without key stays, and matches nothing.
+    hit = F.when(F.col(key).isNotNull(), F.coalesce("_local", "_carried"))
+    joined = local.join(carried, [key, "_bucket"], "left").withColumn("_hit", hit)
     return joined.select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 

@@ -77,22 +77,26 @@ def prefix_sums(
     `bucket` must be monotone in the first order column; it decides how the work is
     spread, never the result. `order` must be unique within `keys`.
     """
-    keys = list(keys or [])
+    # One struct for all keys: it is never null, so a plain equality keeps rows with null
+    # keys, and the join reuses the partitioning of the window.
+    group = ["_group"] if keys else []
     rows = df.withColumn("_bucket", bucket)
+    if keys:
+        rows = rows.withColumn("_group", F.struct(*keys))
     for name, value in sums.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*keys, "_bucket").agg(
+    totals = rows.groupBy(*group, "_bucket").agg(
         *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
     )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
+        *group,
+        "_bucket",
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
-        *[F.sum(f"_t_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in sums],
+        *[F.sum(f"_t_{name}").over(Window.partitionBy(*group)).alias(f"{name}_total") for name in sums],
     )
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*group, "_bucket")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -102,9 +106,7 @@ def prefix_sums(
     if not keys:
         # One row per bucket: at most MAX_BUCKETS + 1, however large the input is.
         offsets = F.broadcast(offsets)
-    on = [F.col("_bucket") == F.col("_k_bucket")]
-    on += [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    out = local.join(offsets, reduce(lambda a, b: a & b, on))
+    out = local.join(offsets, [*group, "_bucket"])
     return out.select(
         *df.columns,
         *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums],

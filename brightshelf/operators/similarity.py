@@ -276,10 +276,13 @@ def similar_items(items: DataFrame, k: int, item_id: str = "item_id", vector: st
 
 def symmetric(pairs: DataFrame) -> DataFrame:
     """(item_id_1, item_id_2, similarity) listed from both sides; duplicates stay."""
-    columns = ["item_id", "similar_item_id", "similarity"]
-    forward = pairs.select("item_id_1", "item_id_2", "similarity").toDF(*columns)
-    backward = pairs.select("item_id_2", "item_id_1", "similarity").toDF(*columns)
-    return forward.unionByName(backward)
+    one, other, value = F.col("item_id_1"), F.col("item_id_2"), F.col("similarity")
+
+    def side(a: Column, c: Column) -> Column:
+        return F.struct(a.alias("item_id"), c.alias("similar_item_id"), value.alias("similarity"))
+
+    # One pass over the pairs: a union would compute them once per side.
+    return pairs.select(F.inline(F.array(side(one, other), side(other, one))))
 
 
 def _pair_sums(items: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray):

@@ -96,14 +96,14 @@ def test_decay_halves(spark):
 
 def test_asof_carries_over_buckets(spark):
     spine = spark.createDataFrame(
-        [(1, "a", T0), (2, "a", T0 + timedelta(days=5)), (3, "a", T0 - timedelta(days=1)), (4, "b", T0)],
+        [(1, "a", T0), (2, "a", T0 + timedelta(days=5)), (3, "a", T0 - timedelta(days=1)), (4, "b", T0), (5, None, T0)],
         "id bigint, k string, ts timestamp",
     )
     feats = spark.createDataFrame(
         [("a", T0, 1), ("a", T0 + timedelta(days=1, hours=1), 2), ("a", T0 + timedelta(days=6), 3)], "k string, feature_ts timestamp, x bigint"
     )
     got = {r.id: r.x for r in asof.asof_join(spine, feats, "k", ["x"]).collect()}
-    assert got == {1: 1, 2: 2, 3: None, 4: None}
+    assert got == {1: 1, 2: 2, 3: None, 4: None, 5: None}
     assert asof.latest(feats, "k", ["x"]).first().x == 3
 
 

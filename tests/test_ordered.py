@@ -57,3 +57,10 @@ def test_contiguous_index(spark, partitions):
     ids = [5, 5, -3, 10**15, 7, None]
     got = ordered.contiguous_index(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id").toPandas()
     assert dict(zip(got["id"], got["index"])) == {-3: 0, 5: 1, 7: 2, 10**15: 3}
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [("a", 1), ("a", 2), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "key string, v bigint")
+    got = ordered.prefix_sums(df, [F.col("v")], {"s": F.col("v")}, ordered.bucket_of(F.col("v"), [2.0, 4.0]), ["key"])
+    assert {(r.key, r.v, r.s, r.s_total) for r in got.collect()} == {("a", 1, 1, 3), ("a", 2, 3, 3), (None, 3, 3, 7), (None, 4, 7, 7)}
