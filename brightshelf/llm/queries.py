@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import licenses
+from brightshelf.llm import licenses, secrets
 from brightshelf.llm.frames import table
 from brightshelf.session import configure
 
@@ -46,3 +46,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("detections.label")).alias("labels"),
         F.coalesce(F.array_max(F.col("detections.score")), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; base kinds counted and digested."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = [r.kind for r in secrets.BASE]
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in base],
+        F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
