@@ -80,7 +80,7 @@ def hash_filter(df: DataFrame, value: Column) -> np.ndarray:
     """
     bit = value.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     rows = (
-        df.select(F.shiftright(bit, 6).alias("at"), F.shiftleft(F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+        df.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
         .groupBy("at")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()

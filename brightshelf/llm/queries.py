@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import licenses, secrets
-from brightshelf.llm.frames import table
+from brightshelf.llm import boilerplate, decontaminate, languages, licenses, packing, secrets, sketches
+from brightshelf.llm.frames import crc_remainder, table
 from brightshelf.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,39 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; the chain is fitted on labelled documents."""
+    documents = table(spark, sf_dir, "documents")
+    return boilerplate.judge(documents, ["doc_id"], boilerplate.train(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that overlaps a benchmark item, with the items."""
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "share")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every document's sequences."""
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over 2-word shingles at similarity 0.8."""
+    return sketches.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a third of them is held out of learning."""
+    documents = table(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 3) == 1
+    prototypes = languages.learn_prototypes(documents.where(~held))
+    found = languages.identify(documents, ["doc_id"], prototypes)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
