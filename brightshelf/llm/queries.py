@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import boilerplate, decontaminate, languages, licenses, packing, secrets, sketches
+from brightshelf.llm import archives, boilerplate, decontaminate, languages, licenses, packing, secrets, sketches
 from brightshelf.llm.frames import crc_remainder, table
 from brightshelf.session import configure
 
@@ -99,3 +99,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = languages.learn_prototypes(documents.where(~held))
     found = languages.identify(documents, ["doc_id"], prototypes)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+OP2_SQL = """
+with p as (select page_id, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as b from pages),
+f as (select d, max(page_id) as first from p where b >= 1000 group by d)
+select page_id, b as payload_bytes, d as payload_digest,
+  case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f using (d)
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to archives and read back by chunks."""
+    chunks = archives.read_chunks(archives.write_archives(archives.plan_records(table(spark, sf_dir, "pages"))))
+    response = F.col("record_type") == "response"
+    size = F.when(response, F.col("chunk_no").cast("bigint") * archives.CHUNK + F.length("data")).otherwise(F.col("payload_length"))
+    return chunks.where("last").select(
+        "page_id", size.alias("payload_bytes"), F.when(response, F.col("digest")).otherwise(F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to"
+    )

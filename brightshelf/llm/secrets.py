@@ -29,8 +29,8 @@ class Rule:
 
 _KEY = rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 BASE = [
-    Rule("assign", _KEY + rb"(?P<v>[A-Za-z0-9+/_.=-]+)", 6, _KEY + rb"[A-Za-z0-9+/_.=-]{6}"),
-    Rule("access", rb"AKIA[A-Z0-9]+", 20, rb"AKIA[A-Z0-9]{16}"),
+    Rule("assign", _KEY + rb"(?P<v>[A-Za-z0-9+/_.=-]+)", 6, _KEY + rb"[A-Za-z0-9+/_.=-]"),
+    Rule("access", rb"AKIA[A-Z0-9]+", 20, rb"AKIA[A-Z0-9]"),
     Rule("hex", rb"[0-9a-f]+", 24, rb"[0-9a-f]{24}"),
 ]
 
@@ -68,15 +68,22 @@ FORMATS: list[tuple[str, bytes, bytes, int]] = [
     ("private-key", rb"-----BEGIN (?:(?:RSA|DSA|EC|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY(?: BLOCK)?-----", rb"[\n\rA-Za-z0-9+/=:, -]", 0),
 ]
 
+# Looser triggers of formats whose prefix has counters of its own.
+TRIGGERS = {
+    "telegram": rb"[0-9]+:AA",
+    "jwt": rb"eyJ[A-Za-z0-9_-]+\.eyJ",
+    "basic-auth-url": rb"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._-]+:[A-Za-z0-9._!$*+~-]+@",
+}
+
 
 def secret_rules() -> list[Rule]:
     """Base kinds first, then the published formats; positions give the order among equal starts."""
     rules = list(BASE)
     for kind, prefix, body, least in FORMATS:
         count = str(least).encode()
-        # The automaton needs no more than 12 body bytes to be selective; the exact regex asks for all.
-        seen = str(min(least, 12)).encode()
-        rules.append(Rule(kind, rb"(?<![A-Za-z0-9_])" + prefix + body + b"{" + count + b",}", 1, prefix + body + b"{" + seen + b"}", True))
+        # Counters of overlapping bodies multiply states, so the automaton looks for the prefix and
+        # one body byte; the exact regex asks for all.
+        rules.append(Rule(kind, rb"(?<![A-Za-z0-9_])" + prefix + body + b"{" + count + b",}", 1, TRIGGERS.get(kind, prefix + (body if least else b"")), True))
     return rules
 
 
