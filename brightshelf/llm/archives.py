@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from brightshelf.session import materialise, scratch_path
 
@@ -133,22 +134,32 @@ def _records(stream, chunk: int) -> Iterator[tuple[dict, int, bytes, str, bool]]
         buffer = buffer[len(END) :]
 
 
-CHUNKS = (
-    "record_id string, record_type string, page_id bigint, refers_to bigint, payload_length bigint, "
-    "header_digest string, chunk_no int, data binary, digest string, last boolean"
+CHUNKS = pa.schema(
+    [
+        ("record_id", pa.string()),
+        ("record_type", pa.string()),
+        ("page_id", pa.int64()),
+        ("refers_to", pa.int64()),
+        ("payload_length", pa.int64()),
+        ("header_digest", pa.string()),
+        ("chunk_no", pa.int64()),
+        ("data", pa.binary()),
+        ("digest", pa.string()),
+        ("last", pa.bool_()),
+    ]
 )
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CHUNKS)], schema=CHUNKS)
+
+
 def read_chunks(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per record and chunk of the listed archives; an empty payload has one empty chunk."""
     if chunk < 1:
         raise ValueError("chunk must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = to_arrow_schema(_parse_datatype_string(CHUNKS))
         for batch in batches:
             for path in batch.column("archive").to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
@@ -164,10 +175,10 @@ def read_chunks(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
                         ))
                         held += len(data)
                         if held >= chunk or len(rows) >= 2000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                            yield _batch(rows)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield _batch(rows)
 
     spread = archives.select("archive").repartition(archives.sparkSession.sparkContext.defaultParallelism, "archive")
-    return spread.mapInArrow(run, CHUNKS)
+    return spread.mapInArrow(run, from_arrow_schema(CHUNKS))
