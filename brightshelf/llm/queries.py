@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import archives, boilerplate, decontaminate, languages, licenses, packing, secrets, sketches
+from brightshelf.llm import archives, boilerplate, brown, decontaminate, languages, licenses, packing, secrets, sketches
 from brightshelf.llm.frames import crc_remainder, table
 from brightshelf.session import configure
 
@@ -120,3 +120,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where("last").select(
         "page_id", size.alias("payload_bytes"), F.when(response, F.col("digest")).otherwise(F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+@query("op7_brown_classes")
+def op7_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-model and unigram scores of every document; a fifth of them is held out of learning."""
+    return brown.score_texts(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 5) == 1)

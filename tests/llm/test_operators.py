@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightshelf.llm import archives, boilerplate, decontaminate, languages, packing, secrets, sketches
+from brightshelf.llm import archives, boilerplate, brown, decontaminate, languages, packing, secrets, sketches
 
 RNG = random.Random(5)
 WORDS = ["w%d" % i for i in range(3000)]
@@ -163,3 +163,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert left.columns == columns, name
     assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 5]
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == [0, 1, 2, 3, 5]
+
+
+def test_class_model(spark):
+    rows = [(i, " ".join(RNG.choice(["a b", "c d", "A b e"]) for _ in range(20))) for i in range(30)] + [(98, None), (99, ""), (100, "new words")]
+    docs = _documents(spark, rows)
+    got = {r.doc_id: r for r in brown.score_texts(docs, F.col("doc_id") > 24, classes=4).collect()}
+    assert len(got) == len(rows) and got[98].n_tokens == got[99].n_tokens == 1 and got[100].n_known == 1
+    assert got[0].n_tokens == len(rows[0][1].split()) + 1 and got[98].score < 0
+    assert sum(got[i].score for i in range(25, 30)) > sum(got[i].base_score for i in range(25, 30))
+    empty = brown.score_texts(docs.limit(1), F.lit(True), classes=4).collect()
+    assert empty[0].train_tokens == 0 and empty[0].n_known == 0
