@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import archives, boilerplate, brown, decontaminate, languages, licenses, packing, secrets, sketches
+from brightshelf.llm import archives, boilerplate, brown, decontaminate, edits, languages, licenses, packing, secrets, sketches
 from brightshelf.llm.frames import crc_remainder, table
 from brightshelf.session import configure
 
@@ -126,3 +126,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-model and unigram scores of every document; a fifth of them is held out of learning."""
     return brown.score_texts(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 5) == 1)
+
+
+# Edits a corpus owner makes to every text: contact data masked, runs of blanks closed up.
+CLEANING = [(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<mail>"), (r"\+?\d(?:[ .-]?\d){6,}", "<number>"), (r"[ \t]{2,}", " ")]
+
+
+@query("op6_edit_counts")
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its cleaning edits, from its segment tree."""
+    planned = edits.find_edits(table(spark, sf_dir, "documents"), ["doc_id", "text"], CLEANING)
+    trees = edits.build_trees(planned, ["doc_id", "text", "edits"])
+    found = edits.apply_edits(trees, ["doc_id", "n_tokens"], with_text=False)
+    return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_encoded")
