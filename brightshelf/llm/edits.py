@@ -14,7 +14,7 @@ of a match, so matches that end `CONTEXT` characters before an edit stay as they
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +24,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from brightshelf.llm.frames import TEXT, scan_text
+from brightshelf.llm.words import member_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 16  # pre-tokens of a leaf when a tree is built
+LEAF = 16  # pre-tokens of a leaf where pre-tokens are counted out
+LEAF_BYTES = 256  # about the size of a leaf where words stand between single blanks
+UNCUT = 1024  # characters of a run without such a blank from which on pre-tokens are counted out
 CROWDED = 64  # pre-tokens of a leaf after which the leaves are laid out anew
 CONTEXT = 3  # characters past its end on which a pre-token may depend
 REMEMBERED = 1 << 18  # pre-tokens whose counts a worker keeps; others are encoded again
@@ -67,14 +70,42 @@ def _tree(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
+VISIBLE = member_table(bytes(range(0x21, 0x7F)), False)
+LETTERS = member_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", False)
+
+
+def _runs(text: str) -> list[str]:
+    """The text cut before single blanks between a visible ASCII character and an ASCII letter.
+
+    Under `PATTERN` such a blank always begins a pre-token, and what stands before it is split the
+    same way without it, so a run is encoded as in the whole text.
+    """
+    data = np.frombuffer(text.encode(), np.uint8)
+    if len(data) < 2 * LEAF_BYTES:
+        return [text]
+    at = 1 + np.flatnonzero((data[1:-1] == 0x20) & VISIBLE[data[:-2]] & LETTERS[data[2:]])
+    block = at // LEAF_BYTES
+    at = at[np.diff(block, prepend=0) > 0]
+    if len(data) > len(text):
+        at = np.cumsum((data & 0xC0) != 0x80)[at - 1]
+    cuts = [0, *at.tolist(), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def build_tree(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Character and token sums of a whole text."""
-    pieces = tokens.pattern.findall(text)
-    begin = np.arange(0, len(pieces), LEAF)
-    if not len(begin):
-        return np.zeros(2, np.int64), np.zeros(2, np.int64)
-    sums = [np.add.reduceat(np.fromiter(map(f, pieces), np.int64, len(pieces)), begin) for f in (len, tokens.count)]
-    return _tree(sums[0]), _tree(sums[1])
+    chars: list[int] = []
+    sums: list[int] = []
+    for run in _runs(text) if tokens.pattern.pattern == PATTERN else [text]:
+        if len(run) < UNCUT and tokens.pattern.pattern == PATTERN:
+            chars.append(len(run))
+            sums.append(tokens.whole(run))
+            continue
+        pieces = tokens.pattern.findall(run)
+        for i in range(0, len(pieces), LEAF):
+            chars.append(sum(map(len, pieces[i : i + LEAF])))
+            sums.append(sum(map(tokens.count, pieces[i : i + LEAF])))
+    return _tree(np.array(chars or [0], np.int64)), _tree(np.array(sums or [0], np.int64))
 
 
 class Counted:
@@ -201,21 +232,29 @@ def build_trees(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
     return scan_text(df, keep, text, kernel, f"{TREE}, n_tokens bigint")
 
 
+def _matches(text: str, searches: list[Callable], inserted: list[str]) -> list[dict]:
+    found, place = [], 0
+    ahead = [(s(text), i) for i, s in enumerate(searches)]
+    while ahead := [(m, i) for m, i in ahead if m]:
+        match, rule = min(ahead, key=lambda a: (a[0].start(), a[1]))
+        if match.end() > match.start():
+            found.append({"at": match.start(), "removed": match.end() - match.start(), "inserted": inserted[rule]})
+        place = max(match.end(), match.start() + 1)
+        ahead = [(m if m.start() >= place else searches[i](text, place), i) for m, i in ahead]
+    return found
+
+
 def find_edits(df: DataFrame, keep: list[str], rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """`keep` and `edits`: for each match of a rule's regex, its replacement, from the last match to the first.
 
     Matches of all rules are leftmost and do not overlap; where two begin together the earlier rule
-    wins. In this order a place in the text is right when its turn comes. Null texts have no edits.
+    wins; empty matches are left out. In this order a place in the text is right when its turn comes. Null texts have no edits.
     """
-    pattern = "|".join(f"({p})" for p, _ in rules)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        compiled = regex.compile(pattern)
-        out = []
-        for t in _texts(batch):
-            found = [{"at": m.start(), "removed": m.end() - m.start(), "inserted": rules[m.lastindex - 1][1]} for m in compiled.finditer(t or "")]
-            out.append(found[::-1])
-        return {"edits": out}
+        # Each regex searches alone: one alternation of all would lose their literal prefixes.
+        searches = [regex.compile(p).search for p, _ in rules]
+        return {"edits": [_matches(t or "", searches, [new for _, new in rules])[::-1] for t in _texts(batch)]}
 
     return scan_text(df, keep, text, kernel, f"edits array<{EDIT}>")
 
