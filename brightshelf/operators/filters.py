@@ -35,8 +35,11 @@ def drop_unavailable(recs: DataFrame, products: DataFrame, min_inventory: int =
 
 
 def limit_per_category(recs: DataFrame, products: DataFrame, per_category: int = 2) -> DataFrame:
-    """At most n items of one category per user; the rest move up."""
-    with_category = recs.join(products.select("item_id", "category"), "item_id")
+    """At most n items of one category per user; the rest move up.
+
+    Items without a product row form one group of their own; `drop_unavailable` removes them.
+    """
+    with_category = recs.join(products.select("item_id", "category"), "item_id", "left")
     w = Window.partitionBy("user_id", "category").orderBy("rank", "item_id")
     kept = with_category.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_category)
     return _reranked(kept.drop("_n"))

@@ -347,7 +347,7 @@ def _r3(spark, sf):
 
 @query("r4_limit_per_category", with_(INTERACTIONS, HISTORY, VECTORS, PRODUCTS, content_sql(20)) + f"""
 SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY rank, item_id) AS rank FROM (
-  SELECT user_id, item_id, {r6('score')} AS score, rank FROM content JOIN products USING (item_id)
+  SELECT user_id, item_id, {r6('score')} AS score, rank FROM content LEFT JOIN products USING (item_id)
   QUALIFY row_number() OVER (PARTITION BY user_id, category ORDER BY rank, item_id) <= 2)""")
 def _r4(spark, sf):
     recs = cand.content_based(feat.history(b.interactions(spark, sf)), b.item_vectors(spark, sf), 20)

@@ -153,9 +153,8 @@ def _s13(spark, sf):
     daily = b.interactions(spark, sf).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("events"), F.avg("value").alias("mean_value")
     )
-    for kind in ("view", "click", "purchase", "error", "signup"):
-        rows = long_metrics(daily.where(F.col("event_type") == kind), ["day"], ["events", "mean_value"])
-        sinks.append_report(rows, path, kind, F.col("day"))
+    rows = long_metrics(daily, ["event_type", "day"], ["events", "mean_value"])
+    sinks.append_report(rows, path, F.col("event_type"), F.col("day"))
     reports = spark.read.schema("kind string, run_ts string, metric string, value double").json(path)
     return sinks.latest_reports(reports).select("kind", "run_ts", "metric", rounded("value").alias("value"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join side even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Ranks up to any k a caller may ask for are pruned per key before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
@@ -31,9 +36,36 @@ def configure(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(max(8, context.defaultParallelism)))
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    Kernels are pickled by reference, so workers must be able to import them wherever Spark was
+    started. The archive goes to the shared folder, where a replaced executor finds it as well.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent).as_posix())
+    path = f"{scratch_path(spark, 'code')}/{root.name}.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(content.getvalue()))
+    stream.close()
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark on one machine."""
     spark = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BATCH_FORMATS = ("json", "csv", "parquet")
 
@@ -61,8 +61,8 @@ def append_new_events(existing: DataFrame | None, incoming: DataFrame, key: str
     return first if existing is None else first.join(existing.select(key), key, "left_anti")
 
 
-def append_report(metrics: DataFrame, path: str, kind: str, run_ts) -> None:
-    """Append a long metric table (.., metric, value) as one run of a report kind."""
+def append_report(metrics: DataFrame, path: str, kind: str | Column, run_ts: Column) -> None:
+    """Append a long metric table (.., metric, value) as one run of a report kind, or of each kind in a column."""
     metrics.withColumn("kind", F.lit(kind)).withColumn("run_ts", run_ts).write.mode("append").json(path)
 
 
