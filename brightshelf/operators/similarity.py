@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -45,8 +46,11 @@ def _each(n: int) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """List column -> (n, dim) float64 matrix."""
+    """List column without nulls -> (n, dim) float64 matrix; vectors of different lengths raise."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False))
+    if array.null_count or len(sizes) > 1:
+        raise ValueError(f"vectors need one common length and no null; found lengths {sizes.tolist()}, {array.null_count} null")
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(array), -1)
 
@@ -121,7 +125,9 @@ def _top_k_in_cells(
 
     left (_q, _v, _cell, _nq, _ni) and right (_i, _v, _cell, _nq, _ni): a cell is cut into
     _nq query blocks and _ni item blocks, so a hot cell becomes many groups of bounded size.
+    Rows whose vector is null take no part.
     """
+    left, right = left.where("_v is not null"), right.where("_v is not null")
     out_item = f"similar_{item_id}" if query_id == item_id else item_id
     left = left.select(
         "_q", "_v", "_cell", F.pmod(F.xxhash64("_q"), "_nq").alias("_qb"),
@@ -223,8 +229,9 @@ def similarity_matrix(
 
     A row holds the similarities of one item to the items of one column block, in id
     order. The matrix has n x n entries by nature; no entry is a row of its own and no
-    row is longer than a block.
+    row is longer than a block. Items whose vector is null take no part.
     """
+    items = items.where(F.col(vector).isNotNull())
     n = _blocks(items, block)
     own = F.pmod(F.xxhash64(item_id), F.lit(n))
     left = items.select(

@@ -4,10 +4,11 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brightshelf.operators import filters
+from brightshelf.operators import filters, similarity
 from brightshelf.sources import sinks
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -49,3 +50,12 @@ def test_every_kind_of_a_column_is_reported(spark, tmp_path):
     sinks.append_report(rows, str(tmp_path / "r"), F.col("event_type"), F.col("day"))
     found = sinks.latest_reports(spark.read.json(str(tmp_path / "r"))).select("kind", "run_ts").collect()
     assert sorted((r.kind, r.run_ts) for r in found) == [(k, "2024-01-02") for k in kinds]
+
+
+def test_null_vectors_take_no_part_and_ragged_ones_raise(spark):
+    ddl = "item_id long, vector array<double>"
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.1])], ddl)
+    rows = similarity.similarity_matrix(some).collect()
+    assert {r.item_id for r in rows} == {1, 3} and all(r.ids == [1, 3] for r in rows)
+    with pytest.raises(Exception, match="common length"):
+        similarity.similarity_matrix(spark.createDataFrame([(1, [1.0, 0.0, 1.0]), (2, [1.0])], ddl)).collect()
