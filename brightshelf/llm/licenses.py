@@ -103,7 +103,16 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("cc-by-nc-nd-4.0", r"cc[- ]by-nc-nd[- ]4\.0", r"(?:creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s|cc[- ]by-nc-nd)(?: licen[sc]e)? 4\.0", "c"),
 ]
 # Short keywords of the table stand for these; the automaton looks for the longer forms.
-_KEYWORDS = {"g": ("general public", "gpl"), "c": ("commons", "cc by", "cc-by", "cc0")}
+_KEYWORDS = {"g": ("general public", "gpl"), "c": ("commons", "cc by", "cc-by", "cc0", "zero")}
+
+
+def stems(ident: str) -> tuple[str, ...]:
+    """Literal beginnings of an identifier regex; every match starts with one of them."""
+    group, rest = re.fullmatch(r"(?:\(\?:([a-z|]+)\))?(.*)", ident).groups()
+    rest = re.split(r"\(\?:|\[", rest)[0].replace("\\.", ".")
+    return tuple(head + rest for head in (group or "").split("|"))
+
+
 
 # How a text refers to a licence: regex around the name, priority, score.
 FORMS: list[tuple[str, str, int, float]] = [
@@ -146,6 +155,9 @@ def signature_rules() -> list[Rule]:
     for label, ident, name, keyword in FAMILIES:
         for form, shape, priority, score in FORMS:
             gate = ("spdx-license",) if form == "spdx" else _KEYWORDS.get(keyword, (keyword,))
+            # Identifiers of Creative Commons begin with a keyword of the name.
+            if form != "spdx" and "{id}" in shape and keyword != "c":
+                gate += stems(ident)
             rules.append(Rule(label, shape.replace("{id}", ident).replace("{name}", name).encode(), gate, priority, score))
     for label, pattern, keywords, priority, score in NOTICES:
         rules.append(Rule(label, pattern.encode(), keywords, priority, score))

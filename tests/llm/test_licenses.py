@@ -1,4 +1,7 @@
+import random
 import re
+import re._constants as c
+import re._parser as parser
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -85,3 +88,50 @@ def test_keyword_filter_loses_no_rule():
     assert scan(text) == settle(everything, rules)
     assert {rules[k].label for *_, k in scan(text)} == {"mpl-2.0", "copyright"}
     assert licenses.BASE[0].always
+
+
+def sample(items, rng):
+    """A random text matched by parsed regex items."""
+    out = b""
+    for op, arg in items:
+        if op is c.LITERAL:
+            out += bytes([arg])
+        elif op is c.NOT_LITERAL:
+            out += b"~"
+        elif op is c.IN:
+            kind, value = rng.choice(arg)
+            if arg[0][0] is c.NEGATE:
+                out += b" "
+            elif kind is c.RANGE:
+                out += bytes([rng.randint(*value)])
+            elif kind is c.CATEGORY:
+                out += rng.choice([b" ", b"\n"]) if value is c.CATEGORY_SPACE else b"~"
+            else:
+                out += bytes([value])
+        elif op is c.BRANCH:
+            out += sample(rng.choice(arg[1]), rng)
+        elif op is c.SUBPATTERN:
+            out += sample(arg[-1], rng)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            low, high, inner = arg
+            out += b"".join(sample(inner, rng) for _ in range(rng.randint(low, min(high, low + 2))))
+    return out
+
+
+def test_gate_passes_what_each_rule_matches():
+    rules, rng = signature_rules(), random.Random(5)
+    for rule in rules:
+        matched = 0
+        for _ in range(60):
+            text = sample(parser.parse(rule.pattern), rng)
+            if re.search(rule.pattern, text):
+                matched += 1
+                assert any(w in text.decode("utf-8", "replace") for w in rule.keywords), (rule.label, rule.priority, text)
+        assert matched, rule
+
+
+@pytest.mark.parametrize("label,ident", [("mpl-2.0", "MPL-2.0"), ("epl-2.0", "EPL-2.0"), ("ofl-1.1", "OFL-1.1"), ("python-2.0", "PSF-2.0"), ("mit-0", "MIT-0"), ("gpl-3.0", "GPL-3.0-or-later"), ("ms-pl", "MS-PL"), ("wtfpl", "WTFPL")])
+def test_short_identifiers_pass_the_gate(label, ident):
+    rules = signature_rules()
+    for text in (f"Licensed under {ident}", f"License: {ident}", f"released under the {ident}"):
+        assert {rules[k].label for *_, k in Scanner(rules)(text.lower().encode())} == {label}
