@@ -20,6 +20,11 @@ from brightshelf.llm.words import LETTER_OR_DIGIT, code_points, split
 
 _W = rb"0-9a-z\x80-\xff"
 _GAP = rb"[^" + _W + rb"]+"
+# What a blank of a name, form or notice stands for: blanks and line ends with the comment signs
+# of the next line, so that wrapped and commented wordings match.
+_SIGNS = r"*/#;%!>|\"'\\<~+=\-"
+_SPACE = r" \t\r\n\f\v"
+_BLANK = rf"(?:[{_SIGNS}]{{0,4}}[{_SPACE}](?:[{_SPACE}{_SIGNS}]|(?<=\n)(?:\.|::)){{0,160}})"
 
 
 @dataclass(frozen=True)
@@ -38,6 +43,20 @@ def phrase(label: str, words: str, keyword: str) -> Rule:
     return Rule(label, rb"(?<![" + _W + rb"])" + body + rb"(?![" + _W + rb"])", (keyword,), 0, 0.6, True)
 
 
+def spread(pattern: str) -> bytes:
+    """The pattern with every blank widened to `_BLANK`; a blank that must stay one is written \\x20."""
+
+    def wide(m: re.Match) -> str:
+        found = m[0]
+        if found == "[- ]":
+            return rf"(?:-{_BLANK}?|{_BLANK})"
+        if found[0] == "[":
+            return found.replace(" ", _SPACE + _SIGNS) if " " in found else found
+        return _BLANK + ("?" if found == " *" else "")
+
+    return re.sub(r"\[[^\]]*\]| \*?", wide, pattern).encode()
+
+
 # Label, identifiers, how prose names it (regex on lower-cased text), keyword of the name.
 FAMILIES: list[tuple[str, str, str, str]] = [
     ("apache-1.1", r"apache-1\.1", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1", "apache"),
@@ -102,8 +121,10 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("cc-by-nc-sa-4.0", r"cc[- ]by-nc-sa[- ]4\.0", r"(?:creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike|cc[- ]by-nc-sa)(?: licen[sc]e)? 4\.0", "c"),
     ("cc-by-nc-nd-4.0", r"cc[- ]by-nc-nd[- ]4\.0", r"(?:creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s|cc[- ]by-nc-nd)(?: licen[sc]e)? 4\.0", "c"),
 ]
+# "cc" with whatever may follow it inside a name.
+_CC = tuple("cc" + sign for sign in "-*/#;%!>|\"'\\<~+= \t\r\n\f\v")
 # Short keywords of the table stand for these; the automaton looks for the longer forms.
-_KEYWORDS = {"g": ("general public", "gpl"), "c": ("commons", "cc by", "cc-by", "cc0", "zero")}
+_KEYWORDS = {"g": ("general", "gpl"), "c": ("commons", *_CC, "cc0", "zero")}
 
 
 def stems(ident: str) -> tuple[str, ...]:
@@ -116,7 +137,8 @@ def stems(ident: str) -> tuple[str, ...]:
 
 # How a text refers to a licence: regex around the name, priority, score.
 FORMS: list[tuple[str, str, int, float]] = [
-    ("spdx", r"spdx-license-identifier: *(?:\(|[a-z0-9.+() -]*? (?:or|and) )?{id}(?![0-9a-z.-])", 90, 1.0),
+    # An SPDX expression ends with its line unless it stands in parentheses.
+    ("spdx", r"spdx-license-identifier:[\x20\t]*(?:\( *|(?:\([a-z0-9.+( -]{0,400}?|[a-z0-9.+()\x20\t-]*?)(?<=[^a-z0-9.+-])(?:or|and) (?:\( *)?)?{id}(?![0-9a-z.-])", 90, 1.0),
     ("grant", r"licen[sc]ed (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}|{id})(?![0-9a-z])", 80, 0.98),
     ("release", r"(?:released|distributed|published|available|redistributed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}|{id})(?![0-9a-z])", 70, 0.95),
     ("terms", r"terms (?:and conditions )?of (?:the )?(?:{name})(?![0-9a-z])", 60, 0.9),
@@ -126,24 +148,24 @@ FORMS: list[tuple[str, str, int, float]] = [
 
 # Notices without one licence's name.
 NOTICES: list[tuple[str, str, tuple[str, ...], int, float]] = [
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby granted",), 85, 0.97),
-    ("isc", r"permission to use, copy, modify, and/or distribute this software for any purpose", ("permission to use",), 85, 0.97),
-    ("bsd", r"redistribution and use in source and binary forms,? with or without modification", ("redistribution and",), 85, 0.95),
-    ("gpl", r"this program is free software[:;,] you can redistribute it and/or modify it", ("free software",), 85, 0.95),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby",), 85, 0.97),
+    ("isc", r"permission to use, copy, modify, and/or distribute this software for any purpose", ("permission",), 85, 0.97),
+    ("bsd", r"redistribution and use in source and binary forms,? with or without modification", ("redistribution",), 85, 0.95),
+    ("gpl", r"this program is free software[:;,] you can redistribute it and/or modify it", ("redistribute",), 85, 0.95),
     ("apache-2.0", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0", ("apache.org",), 75, 0.95),
     ("mpl-2.0", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0", ("mozilla.org",), 75, 0.95),
     ("cc", r"https?://creativecommons\.org/(?:licenses|publicdomain)/[a-z0-9/.-]+", ("creativecommons.org",), 75, 0.9),
     ("gpl", r"https?://(?:www\.)?gnu\.org/licenses/[a-z0-9.-]*gpl[a-z0-9.-]*", ("gnu.org",), 75, 0.9),
     ("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered",), 85, 0.97),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", ("public domain",), 40, 0.8),
-    ("cc-by-nc", r"(?<![0-9a-z])cc[- ]by-nc(?![0-9a-z-])", ("cc by", "cc-by"), 15, 0.7),
-    ("cc-by-sa", r"(?<![0-9a-z])cc[- ]by-sa(?![0-9a-z-])", ("cc by", "cc-by"), 15, 0.7),
-    ("cc-by-nd", r"(?<![0-9a-z])cc[- ]by-nd(?![0-9a-z-])", ("cc by", "cc-by"), 15, 0.7),
-    ("lgpl", r"(?:lesser|library) general public licen[sc]e", ("general public",), 16, 0.7),
-    ("agpl", r"affero general public licen[sc]e", ("general public",), 16, 0.7),
+    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", ("domain",), 40, 0.8),
+    ("cc-by-nc", r"(?<![0-9a-z])cc[- ]by-nc(?![0-9a-z-])", _CC, 15, 0.7),
+    ("cc-by-sa", r"(?<![0-9a-z])cc[- ]by-sa(?![0-9a-z-])", _CC, 15, 0.7),
+    ("cc-by-nd", r"(?<![0-9a-z])cc[- ]by-nd(?![0-9a-z-])", _CC, 15, 0.7),
+    ("lgpl", r"(?:lesser|library) general public licen[sc]e", ("general",), 16, 0.7),
+    ("agpl", r"affero general public licen[sc]e", ("general",), 16, 0.7),
     ("copyright", r"(?:copyright|©|\(c\)) *(?:\(c\)|©)? *(?:19|20)[0-9][0-9]", ("copyright", "©", "(c)"), 5, 0.4),
-    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction)[a-z ,]{0,60}(?:is )?(?:strictly )?prohibited)", ("proprietary", "unauthori"), 30, 0.8),
-    ("no-license", r"no part of this (?:publication|book|work) may be reproduced", ("no part of",), 30, 0.8),
+    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction)[a-z ,]{0,120}(?:is )?(?:strictly )?prohibited)", ("proprietary", "unauthori"), 30, 0.8),
+    ("no-license", r"no part of this (?:publication|book|work) may be reproduced", ("reproduced",), 30, 0.8),
 ]
 
 BASE = [phrase("cc-by", "cc by", "cc"), phrase("gpl", "general public license", "general"), phrase("reserved", "all rights reserved", "reserved")]
@@ -158,9 +180,9 @@ def signature_rules() -> list[Rule]:
             # Identifiers of Creative Commons begin with a keyword of the name.
             if form != "spdx" and "{id}" in shape and keyword != "c":
                 gate += stems(ident)
-            rules.append(Rule(label, shape.replace("{id}", ident).replace("{name}", name).encode(), gate, priority, score))
+            rules.append(Rule(label, spread(shape.replace("{id}", ident).replace("{name}", name)), gate, priority, score))
     for label, pattern, keywords, priority, score in NOTICES:
-        rules.append(Rule(label, pattern.encode(), keywords, priority, score))
+        rules.append(Rule(label, spread(pattern), keywords, priority, score))
     return sorted(rules, key=lambda r: -r.priority)
 
 

@@ -2,6 +2,7 @@ import random
 import re
 import re._constants as c
 import re._parser as parser
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -110,6 +111,8 @@ def sample(items, rng):
                 out += bytes([value])
         elif op is c.BRANCH:
             out += sample(rng.choice(arg[1]), rng)
+        elif op is c.ASSERT:
+            out += sample(arg[1], rng)
         elif op is c.SUBPATTERN:
             out += sample(arg[-1], rng)
         elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
@@ -135,3 +138,43 @@ def test_short_identifiers_pass_the_gate(label, ident):
     rules = signature_rules()
     for text in (f"Licensed under {ident}", f"License: {ident}", f"released under the {ident}"):
         assert {rules[k].label for *_, k in Scanner(rules)(text.lower().encode())} == {label}
+
+
+WRAPPED = [
+    ("gpl", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of"),
+    ("gpl", "This program is free software: you can redistribute it\nand/or modify it under"),
+    ("bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted"),
+    ("isc", ";; Permission to use, copy, modify, and/or distribute this software for any\n;; purpose with or without fee"),
+    ("mit", "// Permission is hereby\r\n//\r\n// granted, free of charge, to any person obtaining a\r\n// copy"),
+    ("mit", "/* Permission is hereby granted, free of charge, to any     *\n * person obtaining a copy"),
+    ("mit", '.\\" Permission is hereby granted, free of charge, to any\n.\\" person obtaining a copy'),
+    ("unlicense", "This is free and unencumbered software released into the public\ndomain"),
+    ("gpl-3.0", "-- licensed under the GNU General\n-- Public License, version\n-- 3"),
+    ("lgpl-2.1", "GNU Lesser General\nPublic License, version 2.1"),
+    ("mpl-2.0", "the terms of the Mozilla Public\n# License, v. 2.0"),
+    ("bsd-3-clause", "licensed under the BSD 3-\nClause License"),
+    ("cc-by-sa-4.0", "licensed under CC\nBY-SA\n4.0"),
+    ("proprietary", "Unauthorized copying of this file, via any\n * medium, is strictly\n * prohibited"),
+    ("copyright", "Copyright (c)\n2020"),
+    ("mit", "License:\n    MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: (MIT OR\n#   Apache-2.0)"),
+]
+
+
+@pytest.mark.parametrize("label,text", WRAPPED)
+def test_wrapped_wordings(label, text):
+    rules = signature_rules()
+    assert label in {rules[k].label for *_, k in Scanner(rules)(text.lower().encode())}
+
+
+def test_spdx_tag_ends_with_its_line():
+    rules = signature_rules()
+    got = {rules[k].label for *_, k in Scanner(rules)(b"spdx-license-identifier: mit or isc\n\nsome words and zlib")}
+    assert "isc" in got and "zlib" not in got
+
+
+def test_blank_runs_cost_little():
+    rules = signature_rules()
+    began = time.perf_counter()
+    Scanner(rules)(b"copyright" + b" \n*" * 100_000 + b"license: " * 20_000 + b"general public license " * 5_000)
+    assert time.perf_counter() - began < 20
