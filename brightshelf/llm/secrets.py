@@ -34,6 +34,16 @@ BASE = [
     Rule("hex", rb"[0-9a-f]+", 24, rb"[0-9a-f]{24}"),
 ]
 
+_LOGIN = rb"(?:https?|ftps?|postgres(?:ql)?|mysql|mongodb|rediss?|amqps?)(?:\+[a-z0-9]+)?://"
+_PASSWORD = rb"[A-Za-z0-9._~%!$&'()*+,;=:-]"  # what RFC 3986 allows there
+_KEY_NAME = rb"(?:(?:RSA|DSA|EC|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY(?: BLOCK)?-----"
+_KEY_LINE = rb"(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n]*|[A-Za-z0-9+/=]+(?=[\x20\t]*(?:[\r\n\\\"']|\Z)))"
+# A private key ends at its END line; one cut off before it, with its last line of headers or base64.
+_KEY_TAIL = (
+    rb"(?:(?:[^-]|-(?!----))*-----END " + _KEY_NAME
+    + rb"|(?:(?:[\x20\t]*(?:\r\n|[\r\n]|\\r|\\n))+[\x20\t>|#*]*" + _KEY_LINE + rb"|[\x20\t]+[A-Za-z0-9+/=]{16,})*)"
+)
+
 # Publicly documented token formats: kind, prefix, body set, least body length.
 FORMATS: list[tuple[str, bytes, bytes, int]] = [
     ("github", rb"gh[pousr]_", rb"[A-Za-z0-9]", 30),
@@ -62,18 +72,19 @@ FORMATS: list[tuple[str, bytes, bytes, int]] = [
     ("twilio", rb"(?:SK|AC)", rb"[a-f0-9]", 32),
     ("mailgun", rb"key-", rb"[a-f0-9]", 32),
     ("aws-temporary", rb"ASIA", rb"[A-Z0-9]", 16),
-    ("jwt", rb"eyJ[A-Za-z0-9_-]{8,40}\.eyJ", rb"[A-Za-z0-9_.-]", 16),
+    ("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ", rb"[A-Za-z0-9_.-]", 16),
     ("bearer", rb"(?i:authorization: *bearer) +", rb"[A-Za-z0-9_.=/+-]", 20),
-    ("basic-auth-url", rb"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._-]{1,24}:[A-Za-z0-9._!$*+~-]{3,24}@", rb"[A-Za-z0-9.-]", 3),
-    ("private-key", rb"-----BEGIN (?:(?:RSA|DSA|EC|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY(?: BLOCK)?-----", rb"[\n\rA-Za-z0-9+/=:, -]", 0),
+    ("basic-auth-url", _LOGIN + rb"[A-Za-z0-9._%+~-]+:" + _PASSWORD + rb"{3,}@", rb"[A-Za-z0-9.-]", 3),
+    ("private-key", rb"-----BEGIN " + _KEY_NAME, b"", 0),
 ]
 
 # Looser triggers of formats whose prefix has counters of its own.
 TRIGGERS = {
     "telegram": rb"[0-9]+:AA",
     "jwt": rb"eyJ[A-Za-z0-9_-]+\.eyJ",
-    "basic-auth-url": rb"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._-]+:[A-Za-z0-9._!$*+~-]+@",
+    "basic-auth-url": _LOGIN + rb"[A-Za-z0-9._%+~-]+:" + _PASSWORD + rb"+@",
 }
+TAILS = {"private-key": _KEY_TAIL}
 
 
 def secret_rules() -> list[Rule]:
@@ -83,7 +94,8 @@ def secret_rules() -> list[Rule]:
         count = str(least).encode()
         # Counters of overlapping bodies multiply states, so the automaton looks for the prefix and
         # one body byte; the exact regex asks for all.
-        rules.append(Rule(kind, rb"(?<![A-Za-z0-9_])" + prefix + body + b"{" + count + b",}", 1, TRIGGERS.get(kind, prefix + (body if least else b"")), True))
+        tail = TAILS.get(kind, body + b"{" + count + b",}")
+        rules.append(Rule(kind, rb"(?<![A-Za-z0-9_])" + prefix + tail, 1, TRIGGERS.get(kind, prefix + (body if least else b"")), True))
     return rules
 
 
