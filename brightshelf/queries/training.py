@@ -184,7 +184,7 @@ def _t20(spark, sf):
 
 @query("t8_trained_embeddings")
 def _t8(spark, sf):
-    users, items = models.train_embeddings(feat.interaction_strength(b.interactions(spark, sf)), dim=64, iterations=5)
+    users, items = models.train_embeddings(feat.interaction_strength(b.interactions(spark, sf)), dim=64)
     return sim.top_k_similar(users, items, 10, "user_id", metric="dot").withColumn("score", rounded("score"))
 
 
@@ -205,7 +205,7 @@ def sampled_rows(spark, sf):
 
 def _fit_and_measure(spark, sf, name):
     rows = sampled_rows(spark, sf)
-    model = models.ranker(name, FEATURES, rounds=20).fit(rows.where("NOT is_test"))
+    model = models.ranker(name, FEATURES).fit(rows.where("NOT is_test"))
     scored = models.score(model, rows.where("is_test"))
     return ev.binary_metrics(scored, "label", "score").withColumn("ranker", F.lit(name))
 
@@ -215,21 +215,21 @@ def _t9(spark, sf):
     return _fit_and_measure(spark, sf, "pointwise")
 
 
+def _differences(train):
+    return models.pairwise_rows(train.where("label = 1"), train.where("label = 0"), FEATURES, ["user_id", "positive_id"])
+
+
 @query("t10_pairwise_ranker")
 def _t10(spark, sf):
     rows = sampled_rows(spark, sf)
-    train = rows.where("NOT is_test")
-    differences = models.pairwise_rows(
-        train.where("label = 1"), train.where("label = 0"), FEATURES, ["user_id", "positive_id"]
-    )
-    model = models.ranker("pairwise", FEATURES, rounds=20).fit(differences)
+    model = models.ranker("pairwise", FEATURES).fit(_differences(rows.where("NOT is_test")))
     return ev.binary_metrics(models.score(model, rows.where("is_test")), "label", "score").withColumn("ranker", F.lit("pairwise"))
 
 
 @query("t11_listwise_ranker")
 def _t11(spark, sf):
     rows = sampled_rows(spark, sf)
-    model = models.ranker("listwise", FEATURES, rounds=20).fit(rows.where("NOT is_test"))
+    model = models.ranker("listwise", FEATURES).fit(rows.where("NOT is_test"))
     scored = models.score(model, rows.where("is_test")).withColumn("relevance", F.col("label").cast("double"))
     return ev.ndcg(scored.dropDuplicates(["user_id", "item_id"]))
 
@@ -243,9 +243,9 @@ def _t12(spark, sf):
 def _t13(spark, sf):
     """One model per known name, each scoring the held-out rows in one batch."""
     rows = sampled_rows(spark, sf)
-    out = None
-    for name in ("pointwise", "lightgbm"):
-        model = models.ranker(name, FEATURES, rounds=20).fit(rows.where("NOT is_test"))
+    train, out = rows.where("NOT is_test"), None
+    for name in models.RANKERS:
+        model = models.ranker(name, FEATURES).fit(_differences(train) if models.RANKERS[name] == "pairwise" else train)
         scored = models.score(model, rows.where("is_test")).groupBy("label").agg(F.avg("score").alias("mean_score"), F.count("*").alias("n"))
         scored = scored.withColumn("ranker", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
@@ -256,14 +256,14 @@ def _t13(spark, sf):
 def _t14(spark, sf):
     rows = sampled_rows(spark, sf)
     path = scratch_path(spark, "model")
-    models.save(models.ranker("pointwise", FEATURES, rounds=20).fit(rows.where("NOT is_test")), path)
+    models.save(models.ranker("pointwise", FEATURES).fit(rows.where("NOT is_test")), path)
     return models.score(models.load(path), rows.where("is_test")).select("user_id", "item_id", "label", "score")
 
 
 @query("t15_feature_importance")
 def _t15(spark, sf):
     rows = sampled_rows(spark, sf)
-    model = models.ranker("xgboost", FEATURES, rounds=20).fit(rows.where("NOT is_test"))
+    model = models.ranker("xgboost", FEATURES).fit(rows.where("NOT is_test"))
     return spark.createDataFrame(models.feature_importance(model), "feature string, importance double")
 
 
