@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightshelf.llm import archives, boilerplate, brown, decontaminate, edits, languages, licenses, packing, secrets, sketches
+from brightshelf.llm import archives, boilerplate, brown, decontaminate, edits, languages, licenses, packing, periods, secrets, sketches, templates, whitening
 from brightshelf.llm.frames import crc_remainder, table
 from brightshelf.session import configure
 
@@ -139,3 +139,56 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = edits.build_trees(planned, ["doc_id", "text", "edits"])
     found = edits.apply_edits(trees, ["doc_id", "n_tokens"], with_text=False)
     return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_encoded")
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page, without what its host repeats."""
+    found = templates.extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", "n_chars", "n_template")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _words_repeated(text: Column, doc_id: Column) -> Column:
+    """Words of a text; for a tenth of the ids everything from one word on becomes a repeated stretch."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (place(i) + 1).cast("int"))), " ")
+
+    # The lambda holds the list of words, so that it is made once per text.
+    words = F.array(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    changed = F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return F.when(F.coalesce(h % 10 == 0, F.lit(False)), changed).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, the one of greatest exponent, and the text without repeats."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", _words_repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periods.find_runs(documents, ["doc_id"])
+    # Ratios are compared by products; runs are in order of start and period, so ties keep the first.
+    best = F.reduce(
+        "runs",
+        F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda top, r: F.when(top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top),
+    )
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col("best")[k].alias(k) for k in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(written, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
