@@ -49,6 +49,8 @@ def _seeds(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while len(at):
         k = LEAST_WORDS - 1 if low == 1 else 3 * low
         at = at[(at + k + low <= end[at]) & (lengths[text[at]] >= LEAST_PERIODS * low)]
+        if not len(at):
+            break
         key = window(at, k) ^ salt[at]
         order = np.argsort(key, kind="stable")  # places stay in order among equal keys
         key, place = key[order], at[order]
