@@ -48,7 +48,7 @@ def _seeds(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at, low = np.flatnonzero(lengths[text] >= LEAST_WORDS), 1
     while len(at):
         k = LEAST_WORDS - 1 if low == 1 else 3 * low
-        at = at[(at + k + low <= end[at]) & (lengths[text[at]] >= LEAST_PERIODS * low)]
+        at = at[(at + k <= end[at]) & (lengths[text[at]] >= LEAST_PERIODS * low)]
         if not len(at):
             break
         key = window(at, k) ^ salt[at]

@@ -2,7 +2,7 @@
 
 Every block element of a page is hashed with all it holds. Spark counts for each host and hash on how many
 different pages it occurs; subtrees found on many pages of a host are its template and are deleted.
-Pages are different when their longest blocks differ, so copies of one article count once and
+Pages are different when their longest paragraphs differ, so copies of one article count once and
 do not turn the article into a template. What occurs once per page but says by its markup
 that it is no article (navigation, forms, comments, ...) goes as well.
 """
@@ -270,26 +270,31 @@ def _signed(value: int) -> int:
 
 
 def subtrees(html: str) -> tuple[int, list[int], list[bool]]:
-    """Hash of the longest block of a page; hashes of its block elements, each once, and which of them need the larger share."""
+    """Hash of a page's longest paragraph (of its longest block, without any); hashes of its block
+    elements, each once, and which of them need the larger share.
+    """
     tree = Tree(html)
     _, inside = tree.marked()
     hidden = [t in NO_TEXT for t in tree.tags]
     _inherited(tree, hidden)
-    longest, now = "", []
+    prose = [t in PROSE for t in tree.tags]
+    for i, up in enumerate(tree.parents):
+        prose[i] |= up >= 0 and prose[up] and tree.tags[i] not in BLOCK
+    longest, now, paragraph = (False, 0, ""), [], False
     for node, text in [*tree.pieces, (0, None)]:
         if text is None:
             block = " ".join("".join(now).split())
-            if (len(block), block) > (len(longest), longest):
-                longest = block
-            now = []
+            longest = max(longest, (paragraph and block != "", len(block), block))
+            now, paragraph = [], False
         elif not hidden[node]:
             now.append(text)
+            paragraph |= prose[node]
     found: dict[int, bool] = {}
     for tag, digest, hid, in_article in zip(tree.tags, tree.digests(), hidden, inside):
         if digest and not hid and tag in BLOCK and tag not in ("html", "body", "article", "main") and not (in_article and tag in PROSE):
             strict = in_article or tag in PROSE
             found[digest] = found.get(digest, True) and strict
-    return _signed(xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass"))), [_signed(d) for d in found], list(found.values())
+    return _signed(xxhash.xxh3_64_intdigest(longest[2].encode("utf-8", "surrogatepass"))), [_signed(d) for d in found], list(found.values())
 
 
 def main_text(html: str, containers: frozenset, prose: frozenset) -> tuple[str, int]:
@@ -342,7 +347,7 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = PA
     """(host, hash, strict): subtrees that recur on many different pages of a host, from columns host and html.
 
     `strict` says that a hash reaches the larger share. Every page with a host counts; pages whose
-    longest blocks are equal count as one.
+    longest paragraphs are equal count as one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

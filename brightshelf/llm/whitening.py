@@ -83,7 +83,7 @@ def solve_shifted(d: np.ndarray, e: np.ndarray, shift: float, b: np.ndarray) ->
     n = len(d)
     main, up, upper, x = d - shift, np.r_[e, 0.0], np.zeros(n), b.copy()
     main, up, below = main.copy(), up.copy(), e.copy()
-    tiny = np.finfo(float).eps * max(np.abs(d).max(), np.abs(e).max() if len(e) else 0.0, np.finfo(float).tiny)
+    tiny = np.finfo(float).eps * (max(np.abs(d).max(), np.abs(e).max() if len(e) else 0.0) or 1.0)
     for i in range(n - 1):
         if abs(below[i]) > abs(main[i]):
             main[i], below[i] = below[i], main[i]
