@@ -1,4 +1,4 @@
-"""Embedding and ranking models on Spark MLlib."""
+"""Embedding and ranking models by name."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from brightshelf.operators import boosting
 from brightshelf.operators.ordered import contiguous_index
 from brightshelf.session import shared_dir
 
@@ -51,7 +52,7 @@ def _estimator(kind: str, width: int, seed: int, rounds: int):
             labelCol="label", maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE,
             featureSubsetStrategy=str(BOOST_SUBSAMPLE), maxIter=rounds, **common,
         )
-    if kind == "listwise":
+    if kind == "regression":
         return GBTRegressor(labelCol="label", maxDepth=5, stepSize=BOOST_RATE, maxIter=rounds, **common)
     return MultilayerPerceptronClassifier(labelCol="label", layers=[width, *HIDDEN_LAYERS, 2], maxIter=rounds, **common)
 
@@ -67,23 +68,34 @@ RANKERS = {
 }
 
 
-def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> Pipeline:
-    """Unfitted ranking pipeline by name; an unknown name is a ValueError.
+def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS):
+    """Unfitted ranker by name; an unknown name is a ValueError.
 
-    An unfitted pipeline has no transform, so predicting before training cannot happen.
+    An unfitted ranker has no transform, so predicting before training cannot happen.
     """
     if name not in RANKERS:
         raise ValueError(f"unknown ranker {name!r}; known: {', '.join(RANKERS)}")
+    if RANKERS[name] == "listwise":
+        return boosting.ListwiseRanker(features, seed, rounds)
+    return _pipeline(RANKERS[name], features, seed, rounds)
+
+
+def boosted_regressor(features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> Pipeline:
+    """Boosted regression on the label, which knows nothing of lists; the listwise ranker is measured against it."""
+    return _pipeline("regression", features, seed, rounds)
+
+
+def _pipeline(kind: str, features: list[str], seed: int, rounds: int) -> Pipeline:
     stages = [
         VectorAssembler(inputCols=features, outputCol="assembled"),
         StandardScaler(inputCol="assembled", outputCol="features"),
-        _estimator(RANKERS[name], len(features), seed, rounds),
+        _estimator(kind, len(features), seed, rounds),
     ]
     return Pipeline(stages=stages)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add `score`: the probability of class 1, or the prediction of a regressor."""
+def score(model, rows: DataFrame) -> DataFrame:
+    """Add `score`: the probability of class 1, or the prediction of a regressor or listwise ranker."""
     out = model.transform(rows)
     value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select(*rows.columns, value.alias("score"))
@@ -104,16 +116,26 @@ def pairwise_rows(positives: DataFrame, negatives: DataFrame, features: list[str
     return signed.select("label", *[(sign * (F.col(f"_p_{c}") - F.col(f"_n_{c}"))).alias(c) for c in features])
 
 
-def save(model: PipelineModel, path: str) -> None:
-    """Write a fitted pipeline with its feature names and parameters."""
-    model.write().overwrite().save(path)
+def save(model, path: str) -> None:
+    """Write a fitted ranker with its feature names and parameters."""
+    if isinstance(model, boosting.Forest):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str):
+    """Read what `save` has written; a pipeline has a metadata folder, a listwise ranker is one text."""
+    spark = SparkSession.active()
+    stored = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if stored.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stored):
+        return PipelineModel.load(path)
+    return boosting.Forest.load(spark, path)
 
 
-def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
+def feature_importance(model) -> list[tuple[str, float]]:
     """(feature, importance) of a fitted tree ranker: one entry per assembled feature."""
+    if isinstance(model, boosting.Forest):
+        return model.importance()
     names = model.stages[0].getInputCols()
     return list(zip(names, (float(x) for x in model.stages[-1].featureImportances.toArray())))
