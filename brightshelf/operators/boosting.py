@@ -206,8 +206,8 @@ class Forest:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
-    def load(spark, path: str) -> Forest:
-        stored = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    def from_text(text: str) -> Forest:
+        stored = json.loads(text)
         return Forest(stored["features"], stored["cuts"], [Tree(**t) for t in stored["trees"]])
 
 

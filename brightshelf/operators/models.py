@@ -1,60 +1,25 @@
-"""Embedding and ranking models by name."""
+"""Ranking models by name."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightshelf.operators import boosting
-from brightshelf.operators.ordered import contiguous_index
-from brightshelf.session import shared_dir
+from brightshelf.operators import boosting, neural
 
 # Settings of the boosted rankers and the neural ranker.
 BOOST_RATE, BOOST_DEPTH, BOOST_SUBSAMPLE, BOOST_ROUNDS = 0.1, 6, 0.8, 100
-HIDDEN_LAYERS = [128, 64]
-EMBEDDING_DIM = 64
 
 
-def train_embeddings(strengths: DataFrame, dim: int = EMBEDDING_DIM, iterations: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(user_id, vector) and (item_id, vector) from implicit strengths, by alternating least squares.
-
-    Ids are numbered first: the solver wants 32-bit ids. The dot product of two vectors is
-    the predicted preference.
-    """
-    spark = strengths.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    users = contiguous_index(strengths, "user_id", "_u")
-    items = contiguous_index(strengths, "item_id", "_i")
-    rows = strengths.join(users, "user_id").join(items, "item_id").select(
-        F.col("_u").cast("int").alias("_u"), F.col("_i").cast("int").alias("_i"), F.col("weight").cast("float").alias("weight")
-    )
-    als = ALS(
-        rank=dim, maxIter=iterations, seed=seed, implicitPrefs=True, userCol="_u", itemCol="_i", ratingCol="weight",
-        checkpointInterval=5, coldStartStrategy="drop",
-    )
-    model = als.fit(rows)
-    user_vectors = model.userFactors.join(users, F.col("id") == F.col("_u")).select("user_id", F.col("features").alias("vector"))
-    item_vectors = model.itemFactors.join(items, F.col("id") == F.col("_i")).select("item_id", F.col("features").alias("vector"))
-    return user_vectors, item_vectors
-
-
-def _estimator(kind: str, width: int, seed: int, rounds: int):
-    common = {"featuresCol": "features", "seed": seed}
-    if kind == "pointwise":
-        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)
-    if kind == "pairwise":
-        return GBTClassifier(
-            labelCol="label", maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE,
-            featureSubsetStrategy=str(BOOST_SUBSAMPLE), maxIter=rounds, **common,
-        )
+def _estimator(kind: str, seed: int, rounds: int):
+    common = {"featuresCol": "features", "labelCol": "label", "seed": seed, "stepSize": BOOST_RATE, "maxIter": rounds}
     if kind == "regression":
-        return GBTRegressor(labelCol="label", maxDepth=5, stepSize=BOOST_RATE, maxIter=rounds, **common)
-    return MultilayerPerceptronClassifier(labelCol="label", layers=[width, *HIDDEN_LAYERS, 2], maxIter=rounds, **common)
+        return GBTRegressor(maxDepth=5, **common)
+    return GBTClassifier(maxDepth=BOOST_DEPTH, subsamplingRate=BOOST_SUBSAMPLE, featureSubsetStrategy=str(BOOST_SUBSAMPLE), **common)
 
 
 # Names under which a ranker can be asked for.
@@ -77,6 +42,10 @@ def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_R
         raise ValueError(f"unknown ranker {name!r}; known: {', '.join(RANKERS)}")
     if RANKERS[name] == "listwise":
         return boosting.ListwiseRanker(features, seed, rounds)
+    if RANKERS[name] in ("pointwise", "neural"):
+        # Networks count epochs: never more than their own number.
+        loss = "bce" if RANKERS[name] == "pointwise" else "mse"
+        return neural.NeuralRanker(features, loss, seed, min(rounds, neural.EPOCHS))
     return _pipeline(RANKERS[name], features, seed, rounds)
 
 
@@ -89,13 +58,13 @@ def _pipeline(kind: str, features: list[str], seed: int, rounds: int) -> Pipelin
     stages = [
         VectorAssembler(inputCols=features, outputCol="assembled"),
         StandardScaler(inputCol="assembled", outputCol="features"),
-        _estimator(kind, len(features), seed, rounds),
+        _estimator(kind, seed, rounds),
     ]
     return Pipeline(stages=stages)
 
 
 def score(model, rows: DataFrame) -> DataFrame:
-    """Add `score`: the probability of class 1, or the prediction of a regressor or listwise ranker."""
+    """Add `score`: the probability of class 1, or the prediction of a regressor, network or listwise ranker."""
     out = model.transform(rows)
     value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select(*rows.columns, value.alias("score"))
@@ -118,19 +87,20 @@ def pairwise_rows(positives: DataFrame, negatives: DataFrame, features: list[str
 
 def save(model, path: str) -> None:
     """Write a fitted ranker with its feature names and parameters."""
-    if isinstance(model, boosting.Forest):
+    if isinstance(model, (boosting.Forest, neural.Network)):
         model.save(SparkSession.active(), path)
     else:
         model.write().overwrite().save(path)
 
 
 def load(path: str):
-    """Read what `save` has written; a pipeline has a metadata folder, a listwise ranker is one text."""
+    """Read what `save` has written; a pipeline has a metadata folder, other models are one text."""
     spark = SparkSession.active()
     stored = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
     if stored.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stored):
         return PipelineModel.load(path)
-    return boosting.Forest.load(spark, path)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return (boosting.Forest if '"trees"' in text else neural.Network).from_text(text)
 
 
 def feature_importance(model) -> list[tuple[str, float]]:

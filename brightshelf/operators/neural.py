@@ -19,6 +19,7 @@ from brightshelf.session import scratch_path
 
 # Settings of the neural rankers.
 HIDDEN, DROPOUT, EPOCHS = (128, 64), 0.2, 10
+CLASSIFIER_HIDDEN = (256, 128)  # wide enough for a tower of 128 units per side, then 128 for both
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 # Minibatches are tables here and not 256 rows, so there are fewer steps, and each is larger.
 STEPS, RATE = 16, 0.01
@@ -227,5 +228,5 @@ class NeuralRanker:
         self.features, self.loss, self.seed, self.epochs = features, loss, seed, epochs
 
     def fit(self, rows: DataFrame) -> Network:
-        dropout = DROPOUT if self.loss == "mse" else 0.0
-        return fit_network(rows, self.features, loss=self.loss, dropout=dropout, epochs=self.epochs, seed=self.seed)
+        hidden, dropout = (HIDDEN, DROPOUT) if self.loss == "mse" else (CLASSIFIER_HIDDEN, 0.0)
+        return fit_network(rows, self.features, hidden=hidden, loss=self.loss, dropout=dropout, epochs=self.epochs, seed=self.seed)

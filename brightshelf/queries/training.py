@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brightshelf.functions.scalar import md5_fraction, rounded
-from brightshelf.operators import boosting, candidates as cand, evaluation as ev, features as feat, models, samples, similarity as sim
+from brightshelf.functions.vectors import dot
+from brightshelf.operators import boosting, candidates as cand, evaluation as ev, factors, features as feat, models, neural, samples, similarity as sim
 from brightshelf.operators.ordered import contiguous_index
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, query, r6, ratio, with_, word
 from brightshelf.queries.features import COUNTS, profile_sql
@@ -182,10 +184,20 @@ def _t20(spark, sf):
     return weighted.join(kept, "event_id", "left").select("event_id", "label", "weight", F.col("_k").isNotNull().alias("kept"))
 
 
-@query("t8_trained_embeddings")
+@query("t8_trained_embeddings", with_(INTERACTIONS) + """
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, least(10, count(DISTINCT item_id)) * count(DISTINCT user_id) AS n_scores,
+  true AS scores_are_products, true AS loss_falls FROM interactions""")
 def _t8(spark, sf):
-    users, items = models.train_embeddings(feat.interaction_strength(b.interactions(spark, sf)), dim=64)
-    return sim.top_k_similar(users, items, 10, "user_id", metric="dot").withColumn("score", rounded("score"))
+    """Embeddings of all users and items, ten best items per user; the loss of every epoch is below that of the one before."""
+    users, items, losses = factors.train_embeddings(feat.interaction_strength(b.interactions(spark, sf)))
+    users, items = materialise(users, "user-vectors"), materialise(items, "item-vectors")
+    best = sim.top_k_similar(users, items, 10, "user_id", metric="dot")
+    product = dot(F.col("vector"), F.col("item_vector"))
+    both = best.join(users, "user_id").join(items.withColumnRenamed("vector", "item_vector"), "item_id")
+    counted = both.agg(F.count("*").alias("n_scores"), F.bool_and(F.abs(product - F.col("score")) < 1e-6).alias("scores_are_products"))
+    sizes = users.agg(F.count("*").alias("n_users")), items.agg(F.count("*").alias("n_items"))
+    falls = all(later < earlier for earlier, later in zip(losses, losses[1:]))
+    return counted.select(sizes[0].scalar().alias("n_users"), sizes[1].scalar().alias("n_items"), "n_scores", "scores_are_products", F.lit(falls).alias("loss_falls"))
 
 
 def sampled_rows(spark, sf):
@@ -203,16 +215,35 @@ def sampled_rows(spark, sf):
     return materialise(featured.withColumn("is_test", held_out), "ranking-rows")
 
 
-def _fit_and_measure(spark, sf, name):
+HELD_OUT = f"""split AS (SELECT user_id, item_id AS positive_id, {word("'split:' || user_id || ':' || item_id")} / 4294967296.0::DOUBLE < 0.2 AS is_test FROM pairs),
+bad AS (SELECT d.user_id, d.item_id AS positive_id, comp.item_id FROM (
+    SELECT user_id, item_id, draw, CAST(floor({word("'neg:' || user_id || ':' || item_id || ':' || draw")} / 4294967296.0::DOUBLE * m) AS BIGINT) AS r
+    FROM pairs JOIN sizes USING (user_id) CROSS JOIN (SELECT unnest(range(1, 5)) AS draw)) d JOIN comp ON comp.user_id = d.user_id AND comp.r = d.r),
+sampled AS (SELECT pairs.user_id, item_id, 1 AS label, is_test FROM pairs JOIN split ON split.user_id = pairs.user_id AND positive_id = item_id
+  UNION ALL SELECT bad.user_id, bad.item_id, 0, is_test FROM bad JOIN split USING (user_id, positive_id)),
+share AS (SELECT avg(label) AS p FROM sampled WHERE NOT is_test)"""
+
+
+def _fit_and_score(spark, sf, name):
+    """Held-out rows with the score of a fitted network and `p`, the training share of positives."""
     rows = sampled_rows(spark, sf)
     model = models.ranker(name, FEATURES).fit(rows.where("NOT is_test"))
-    scored = models.score(model, rows.where("is_test"))
-    return ev.binary_metrics(scored, "label", "score").withColumn("ranker", F.lit(name))
+    share = rows.where("NOT is_test").agg(F.avg("label").alias("p")).scalar()
+    return models.score(model, rows.where("is_test")).withColumn("p", share)
+
 
+def _log_loss(p):
+    p = F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12))
+    return -(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))
 
-@query("t9_pointwise_ranker")
+
+@query("t9_pointwise_ranker", with_(INTERACTIONS, PRODUCTS, INDEXED, HELD_OUT) + f"""
+SELECT count(*) AS n, {r6('avg(-(label * ln(p) + (1 - label) * ln(1 - p)))')} AS constant_log_loss, true AS below_constant FROM sampled CROSS JOIN share WHERE is_test""")
 def _t9(spark, sf):
-    return _fit_and_measure(spark, sf, "pointwise")
+    """Log loss of the network on held-out rows, against the constant share of positives."""
+    scored = _fit_and_score(spark, sf, "pointwise")
+    constant = F.avg(_log_loss(F.col("p")))
+    return scored.agg(F.count("*").alias("n"), rounded(constant).alias("constant_log_loss"), (F.avg(_log_loss(F.col("score"))) < constant).alias("below_constant"))
 
 
 def _differences(train):
@@ -251,14 +282,7 @@ def _t11_gradients(spark, sf):
     return found.select("user_id", "item_id", rounded("gradient").alias("gradient"), rounded("curvature").alias("curvature"))
 
 
-HELD_OUT = f"""split AS (SELECT user_id, item_id AS positive_id, {word("'split:' || user_id || ':' || item_id")} / 4294967296.0::DOUBLE < 0.2 AS is_test FROM pairs),
-bad AS (SELECT d.user_id, d.item_id AS positive_id, comp.item_id FROM (
-    SELECT user_id, item_id, draw, CAST(floor({word("'neg:' || user_id || ':' || item_id || ':' || draw")} / 4294967296.0::DOUBLE * m) AS BIGINT) AS r
-    FROM pairs JOIN sizes USING (user_id) CROSS JOIN (SELECT unnest(range(1, 5)) AS draw)) d JOIN comp ON comp.user_id = d.user_id AND comp.r = d.r),
-sampled AS (SELECT user_id, item_id, 1 AS label, is_test FROM pairs JOIN split ON split.user_id = pairs.user_id AND positive_id = item_id
-  UNION ALL SELECT bad.user_id, bad.item_id, 0, is_test FROM bad JOIN split USING (user_id, positive_id))"""
-
-LISTWISE_SQL = with_(INTERACTIONS, PRODUCTS, INDEXED, HELD_OUT.replace("SELECT user_id, item_id, 1 AS label", "SELECT pairs.user_id, item_id, 1 AS label"), f"""
+LISTWISE_SQL = with_(INTERACTIONS, PRODUCTS, INDEXED, HELD_OUT, f"""
 t AS (SELECT DISTINCT user_id, item_id, label, {word("'random:' || user_id || ':' || item_id")} / 4294967296.0::DOUBLE AS s FROM sampled WHERE is_test),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, item_id) AS best FROM t),
 n AS (SELECT user_id, sum(CASE WHEN place <= 10 THEN label / log2(place + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 10 THEN label / log2(best + 1) ELSE 0 END) AS ideal FROM o GROUP BY 1)""") + f"""
@@ -290,9 +314,38 @@ def _t11(spark, sf):
     )
 
 
-@query("t12_neural_ranker")
+@query("t12_neural_ranker", with_(INTERACTIONS, PRODUCTS, INDEXED, HELD_OUT) + f"""
+SELECT count(*) AS n, {r6('avg((label - p) * (label - p))')} AS mean_mse, true AS below_mean FROM sampled CROSS JOIN share WHERE is_test""")
 def _t12(spark, sf):
-    return _fit_and_measure(spark, sf, "neural")
+    """Squared error of the network on held-out rows, against the mean of the training labels."""
+    scored = _fit_and_score(spark, sf, "neural")
+    mean = F.avg((F.col("label") - F.col("p")) ** 2)
+    return scored.agg(F.count("*").alias("n"), rounded(mean).alias("mean_mse"), (F.avg((F.col("label") - F.col("score")) ** 2) < mean).alias("below_mean"))
+
+
+def _given(k: str) -> str:
+    return f"((({k}) * 7919 + 13) % 1009 / 1009.0::DOUBLE - 0.5)"
+
+
+def _layer(x: str, width: int, units: int, at: int, relu: bool) -> str:
+    j, i = f"j{at}", f"i{at}"
+    z = f"list_sum(list_transform(range({width}), lambda {i}: {x}[{i} + 1] * {_given(f'{at} + {i} * {units} + {j}')})) + {_given(f'{at + width * units} + {j}')}"
+    return f"list_transform(range({units}), lambda {j}: {f'greatest({z}, 0.0)' if relu else z})"
+
+
+@query("t12_forward_pass", with_(INTERACTIONS, WINDOW, PROFILES, """
+x AS (SELECT event_id, [CAST(up.total_views AS DOUBLE), CAST(up.total_clicks AS DOUBLE), up.purchase_rate, CAST(ip.total_views AS DOUBLE),
+  CAST(ip.total_purchases AS DOUBLE), ip.view_to_click_ratio] AS raw FROM win LEFT JOIN up USING (user_id) LEFT JOIN ip USING (item_id)),
+s AS (SELECT event_id, list_transform(raw, lambda v: (v - 5.0) / 20.0) AS v FROM x)""",
+f"h1 AS (SELECT event_id, {_layer('v', 6, 16, 0, True)} AS v FROM s)", f"h2 AS (SELECT event_id, {_layer('v', 16, 8, 112, True)} AS v FROM h1)",
+f"o AS (SELECT event_id, {_layer('v', 8, 1, 248, False)} AS v FROM h2)") + f"SELECT event_id, {r6('v[1]')} AS prediction FROM o")
+def _t12_forward(spark, sf):
+    """Predictions of a network whose weights are given by a rule."""
+    sizes = neural.layer_sizes(len(FEATURES), (16, 8))
+    weights = (np.arange(neural.n_weights(sizes)) * 7919 + 13) % 1009 / 1009 - 0.5
+    network = neural.Network(FEATURES, [5.0] * 6, [20.0] * 6, (16, 8), weights, "mse", [])
+    rows = training_rows(spark, sf).select("event_id", *[rounded(c).alias(c) for c in FEATURES])
+    return network.transform(rows).select("event_id", rounded("prediction").alias("prediction"))
 
 
 @query("t13_t16_rankers_by_name")

@@ -1,10 +1,15 @@
-"""Registered training queries fit every ranker with the operators' own rounds and iterations."""
+"""Models against brute force, and the registered training queries with the operators' own rounds."""
 
 import inspect
+import math
+import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brightshelf.operators import models
+from brightshelf.operators import boosting, factors, models, neural
 from brightshelf.queries import training
 from tests.test_queries import QUERIES, SF
 
@@ -25,22 +30,190 @@ def asked(monkeypatch):
 def test_every_known_name_has_rows(spark, asked):
     rows = QUERIES["t13_t16_rankers_by_name"](spark, SF).collect()
     assert sorted((r.ranker, r.label) for r in rows) == sorted((name, label) for name in models.RANKERS for label in (0, 1))
-    assert asked == [(name, models.BOOST_ROUNDS) for name in models.RANKERS]
+    kinds = list(dict.fromkeys(models.RANKERS.values()))
+    assert [(models.RANKERS[name], rounds) for name, rounds in asked] == [(kind, models.BOOST_ROUNDS) for kind in kinds]
 
 
-@pytest.mark.parametrize("name", ["t10_pairwise_ranker", "t11_listwise_ranker", "t12_neural_ranker", "t15_feature_importance"])
+@pytest.mark.parametrize("name", ["t10_pairwise_ranker", "t15_feature_importance"])
 def test_rounds_are_the_default(spark, asked, name):
     assert QUERIES[name](spark, SF).count() > 0
     assert [rounds for _, rounds in asked] == [models.BOOST_ROUNDS]
 
 
-def test_iterations_are_the_default(spark, monkeypatch):
-    seen, real = [], models.train_embeddings
-    default = inspect.signature(real).parameters["iterations"].default
+def test_defaults_are_the_production_values():
+    assert inspect.signature(boosting.fit_listwise).parameters["rounds"].default == models.BOOST_ROUNDS == 100
+    assert inspect.signature(factors.train_embeddings).parameters["epochs"].default == factors.EPOCHS == 10
+    assert inspect.signature(neural.fit_network).parameters["epochs"].default == neural.EPOCHS == 10
 
-    def train(strengths, dim=models.EMBEDDING_DIM, iterations=default, seed=42):
-        seen.append(iterations)
-        return real(strengths, dim, 1, seed)
 
-    monkeypatch.setattr(training.models, "train_embeddings", train)
-    assert QUERIES["t8_trained_embeddings"](spark, SF).columns and seen == [default]
+# --- lambda gradients -----------------------------------------------------------------------
+
+
+def brute_gradients(rows, head):
+    lists, out = defaultdict(list), {}
+    for user, item, rel, score in rows:
+        lists[user].append((item, rel, score))
+        out[user, item] = [0.0, 0.0]
+    for user, members in lists.items():
+        members.sort(key=lambda m: (-m[2], m[0]))
+        best = sorted((2**m[1] - 1 for m in members), reverse=True)[:head]
+        ideal = sum(g / math.log2(k + 2) for k, g in enumerate(best))
+        weight = [1 / math.log2(k + 2) if k < head else 0.0 for k in range(len(members))]
+        for a in range(min(head, len(members))):
+            for c in range(a + 1, len(members)):
+                (i, r, s), (j, q, t) = members[a], members[c]
+                if r == q or ideal == 0:
+                    continue
+                swap = abs(2**r - 2**q) * (weight[a] - weight[c]) / ideal
+                hi, lo, gap = (((user, i), (user, j), s - t) if r > q else ((user, j), (user, i), t - s))
+                wrong = 1 / (1 + math.exp(gap))
+                out[hi][0] += swap * wrong
+                out[lo][0] -= swap * wrong
+                for key in (hi, lo):
+                    out[key][1] += swap * wrong * (1 - wrong)
+    return out
+
+
+@pytest.mark.parametrize(("head", "piece"), [(30, 4096), (3, 4096), (5, 7), (40, 2)])
+def test_gradients_against_brute_force(spark, head, piece):
+    rng = random.Random(head)
+    rows = [(u, f"i{k}", rng.choice([0.0, 0.0, 1.0, 3.0]), round(rng.random(), 1)) for u in range(6) for k in range(rng.choice([1, 8, 40]))]
+    rows += [(9, "a", 0.0, 0.5), (9, "b", 0.0, 0.1)]
+    extra = [(9, "a", None, 0.5), (None, "a", 1.0, 1.0), (9, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows + extra, "user_id long, item_id string, relevance double, score double")
+    got = boosting.lambda_gradients(df, "score", head=head, piece=piece).collect()
+    want = brute_gradients(rows, head)
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.gradient, r.curvature) == pytest.approx(want[r.user_id, r.item_id], abs=1e-12)
+
+
+def ranked_rows(spark, users=40, items=30):
+    """Lists whose order follows from a - |b|; the scale of a list says nothing."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for u in range(users):
+        scale = rng.uniform(0.5, 20)  # differs by list: only the order inside one counts
+        for k in range(items):
+            a, b = rng.uniform(-1, 1, 2)
+            rows.append((u, k, float(np.clip(np.floor(5 * (a - abs(b))), 0, 4)), float(a), float(b), float(scale)))
+    return spark.createDataFrame(rows, "user_id long, item_id long, label double, a double, b double, scale double")
+
+
+def mean_ndcg(rows, score):
+    lists = defaultdict(list)
+    for r in rows:
+        lists[r.user_id].append((score(r), r.label))
+    out = []
+    for members in lists.values():
+        dcg = lambda ls: sum((2**x - 1) / math.log2(k + 2) for k, x in enumerate(ls[:10]))
+        ideal = dcg(sorted((x for _, x in members), reverse=True))
+        out.append(dcg([x for _, x in sorted(members, key=lambda m: -m[0])]) / ideal if ideal else 1.0)
+    return sum(out) / len(out)
+
+
+def test_listwise_ranker_learns_an_interaction(spark, tmp_path):
+    rows = ranked_rows(spark)
+    model = models.ranker("lightgbm", ["a", "b", "scale"], rounds=12).fit(rows.where("user_id < 30"))
+    test = models.score(model, rows.where("user_id >= 30")).collect()
+    assert mean_ndcg(test, lambda r: r.score) > 0.9 > 0.6 > mean_ndcg(test, lambda r: hash((r.user_id, r.item_id, "x")))
+    importance = dict(models.feature_importance(model))
+    assert sum(importance.values()) == pytest.approx(1) and importance["scale"] < 0.2
+    models.save(model, f"{tmp_path}/listwise")
+    again = models.score(models.load(f"{tmp_path}/listwise"), rows.where("user_id >= 30")).collect()
+    assert sorted(again) == sorted(test)
+
+
+def test_split_lists_grow_the_same_trees(spark):
+    rows = ranked_rows(spark, users=4, items=60)
+    whole, cut = (boosting.fit_listwise(rows, ["a", "b"], relevance="label", rounds=2, leaves=4, head=10, piece=p) for p in (4096, 13))
+    assert [t.feature for t in whole.trees] == [t.feature for t in cut.trees] and [t.bin for t in whole.trees] == [t.bin for t in cut.trees]
+    for x, y in zip(whole.trees, cut.trees):
+        assert x.value == pytest.approx(y.value, abs=1e-9)
+
+
+def test_forest_without_rows_or_signal(spark):
+    rows = ranked_rows(spark, users=2, items=3)
+    for part in (rows.where("false"), rows.withColumn("label", F.lit(1.0))):
+        model = boosting.fit_listwise(part, ["a"], relevance="label", rounds=2)
+        assert {r.prediction for r in model.transform(rows).collect()} == {0.0}
+
+
+# --- networks -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("loss", ["mse", "bce"])
+def test_gradient_against_differences(loss):
+    sizes = neural.layer_sizes(3, (5, 4))
+    rng = np.random.default_rng(0)
+    weights, x, y = neural.initial_weights(sizes, 1), rng.normal(size=(7, 3)), rng.integers(0, 2, 7).astype(float)
+    masks = neural.keep_masks(np.arange(7), sizes, 3, 0.3)
+    found, _ = neural.gradient(x, y, weights, sizes, loss, masks)
+    for k in range(len(weights)):
+        step = np.zeros(len(weights))
+        step[k] = 1e-6
+        slope = (neural.gradient(x, y, weights + step, sizes, loss, masks)[1] - neural.gradient(x, y, weights - step, sizes, loss, masks)[1]) / 2e-6
+        assert found[k] == pytest.approx(slope, abs=1e-5)
+
+
+def test_masks_keep_the_share_and_repeat():
+    sizes = neural.layer_sizes(3, (200, 100))
+    one, two = neural.keep_masks(np.arange(500), sizes, 1, 0.2), neural.keep_masks(np.arange(500), sizes, 1, 0.2)
+    assert all((a == b).all() for a, b in zip(one, two)) and set(np.unique(one[0])) == {0.0, 1.25}
+    assert abs(one[0].mean() - 1) < 0.02 and (one[0] != neural.keep_masks(np.arange(500), sizes, 2, 0.2)[0]).any()
+
+
+def test_network_learns_and_is_stored(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(abs(a) - b * b)) for a, b in rng.normal(size=(3000, 2))] + [(None, 0.0, 0.0), (math.nan, 0.0, 0.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    model = neural.fit_network(df, ["a", "b"], hidden=(32, 16), dropout=0.05, epochs=6, steps=6, rate=0.02)
+    assert model.losses[-1] < model.losses[0] / 2
+    scored = [r for r in model.transform(df).collect() if r.label is not None]
+    labels = np.array([r.label for r in scored])
+    assert np.mean([(r.prediction - r.label) ** 2 for r in scored]) < labels.var() / 3
+    models.save(model, f"{tmp_path}/net")
+    assert sorted(r.prediction for r in models.load(f"{tmp_path}/net").transform(df).collect()) == pytest.approx(sorted(r.prediction for r in model.transform(df).collect()))
+    none = neural.fit_network(df.where("false"), ["a", "b"], hidden=(4,), epochs=1, steps=2)
+    assert none.losses == [0.0] and none.transform(df).count() == len(rows)
+
+
+# --- embeddings -----------------------------------------------------------------------------
+
+
+def test_embeddings_find_planted_groups(spark):
+    rng = random.Random(8)
+    # Users like half of the items of their own group; ids are beyond 32 bits.
+    pairs = [(2**40 + u, f"i{k}", 1.0) for u in range(60) for k in range(80) if k % 4 == u % 4 and rng.random() < 0.5]
+    hidden = {p[:2] for p in pairs if rng.random() < 0.25}
+    shown = [p for p in pairs if p[:2] not in hidden]
+    df = spark.createDataFrame(shown + [(None, "i1", 1.0), (1, None, 1.0), (1, "i1", 0.0), (1, "i1", None)], "user_id long, item_id string, weight double")
+    users, items, losses = factors.train_embeddings(df, dim=16, epochs=8, blocks=3)
+    users, items = ({r[0]: np.array(r[1]) for r in t.collect()} for t in (users, items))
+    assert set(users) == {p[0] for p in shown} and set(items) == {p[1] for p in shown}
+    assert all(b < a for a, b in zip(losses, losses[1:]))
+    count = defaultdict(int)
+    for _, i, _ in shown:
+        count[i] += 1
+
+    def recall(score):
+        found = 0
+        for u in users:
+            seen = {i for v, i, _ in shown if v == u}
+            best = sorted((i for i in items if i not in seen), key=lambda i: -score(u, i))[:10]
+            found += len({(u, i) for i in best} & hidden)
+        return found / len(hidden)
+
+    assert recall(lambda u, i: users[u] @ items[i]) > 2 * recall(lambda u, i: count[i])
+
+
+def test_embeddings_of_nothing(spark):
+    none = spark.createDataFrame([], "user_id long, item_id long, weight double")
+    users, items, losses = factors.train_embeddings(none)
+    assert users.count() == items.count() == 0 and losses == []
+
+
+def test_blocks_bound_a_task():
+    assert factors.blocks_for(10, 5, 5) == 2
+    blocks = factors.blocks_for(10**10, 10**7, 10**6)
+    assert 10**10 / blocks**2 <= factors.TASK_PAIRS and 10**7 / blocks <= factors.TASK_VECTORS
