@@ -5,19 +5,21 @@ A sketch has a fixed number of coordinates. In round i every shingle is hashed t
 value i plus a hash; a coordinate keeps its smallest value and rounds end when all are filled.
 Bands of coordinates give candidates and every link is confirmed on full shingle sets.
 
-Texts with equal sets become one class first. Inside a band, members are compared with one pivot;
-all other pairs of the band are compared only where they still lie in different components, so a
-large group of near copies costs about one comparison per member.
+Texts with equal sets become one class first. Inside a band, members are compared with one pivot
+and then with another; a large group of near copies costs about one comparison per member. Classes of
+a band that still lie in different components meet where they share one of their rarest shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.llm.components import connected
-from brightshelf.llm.frames import scan_text, text_buffer
+from brightshelf.llm.frames import hash_filter, in_filter, scan_text, text_buffer
 from brightshelf.llm.words import NOT_SPACE, Hasher, mix, split, windows
 from brightshelf.session import materialise
 
@@ -122,6 +124,53 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+COMMON = (8, 128)
+
+
+def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share one of their rarest shingles.
+
+    Sets as similar as asked for share one of the first n - ceil(percent * n / 100) + 1 shingles of any
+    common order, so no link is lost. Commoner shingles come last: texts that have a common passage
+    and nothing else in common do not meet. How common a shingle is is read from filters of fixed
+    size; where they are wrong, the order is another one, and the result the same.
+    """
+    sets = materialise(sets.select("class", "component", "shingles"), "apart")
+    counted = materialise(sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON[0]), "common-shingles")
+    spark = sets.sparkSession
+    filters = spark.sparkContext.broadcast([hash_filter(counted.where(F.col("c") >= least), F.col("token")) for least in COMMON])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            start = np.r_[0, np.cumsum(n)]
+            of = np.repeat(np.arange(len(n)), n)
+            common = np.sum([in_filter(f, values) for f in filters.value], axis=0)
+            order = np.lexsort((values, common, of))
+            place = np.arange(len(order)) - start[of]
+            take = place < (n - -(-percent * n // 100) + 1)[of]
+            row = pa.array(of[take])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[order][take]), batch.column("class").take(row), batch.column("component").take(row), pa.array(n[of[take]]), pa.array(place[take])],
+                names=["token", "class", "component", "n", "place"],
+            )
+
+    kind = sets.schema["class"].dataType.simpleString()
+    found = materialise(sets.mapInArrow(first, f"token bigint, class {kind}, component {kind}, n bigint, place bigint"), "rare-shingles")
+    mixed = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    met = materialise(found.join(mixed, "token", "left_semi"), "met")
+    x, y = met.alias("x"), met.alias("y")
+    # Shingles before this one are not shared, so at most the rest of both sets is.
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    able = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
+    return (
+        x.join(y, F.col("x.token") == F.col("y.token"))
+        .where((F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _near(F.col("x.n"), F.col("y.n"), percent) & able)
+        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    )
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -168,22 +217,15 @@ def near_duplicates(
         return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
     edges = add(edges, buckets.where("class <> pivot").select(*pairs(F.col("class"), F.col("pivot"))), "pivots")
-    # Second pivots, then all pairs of a band, but only between components that are still apart.
+    # Second pivots; then classes of bands whose members are still apart meet by their rarest shingles.
     labelled = _labelled(buckets, connected(edges))
     second = labelled.select(F.col("class").alias("other"), F.col("component").alias("there")).distinct()
     apart = labelled.where("class <> other").join(second, "other").where("component <> there")
     edges = add(edges, apart.select(*pairs(F.col("class"), F.col("other"))), "second-pivots")
     labelled = materialise(_labelled(buckets, connected(edges)), "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_buckets = materialise(labelled.join(mixed, "band", "left_semi").select("band", "class", "n", "component"), "open-buckets")
-    # Members of a bucket's largest part are many and alike; they are met block by block.
-    x, y = open_buckets.alias("x"), open_buckets.alias("y")
-    rest = (
-        x.join(y, F.col("x.band") == F.col("y.band"))
-        .where((F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _near(F.col("x.n"), F.col("y.n"), percent))
-        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    )
-    edges = add(edges, rest, "rest")
+    apart = labelled.join(mixed, "band", "left_semi").select("class", "component").distinct()
+    edges = add(edges, _sharing_rare(sets.join(apart, "class"), percent), "rest")
     components = connected(edges)
     of_class = materialise(
         classes.join(components, classes["class"] == components["node"], "left").select("print_a", "print_b", F.coalesce("component", "class").alias("component_id")), "of-class"
