@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightshelf.functions.scalar import md5_fraction, rounded
-from brightshelf.operators import candidates as cand, combine, features as feat, filters, similarity as sim
+from brightshelf.operators import candidates as cand, combine, features as feat, filters, neighbours, similarity as sim
 from brightshelf.plans import recommend as plan
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, USERS, VECTORS, query, r6, with_, word
 from brightshelf.queries.features import COUNTS, decay_sql
 from brightshelf.queries.vectors import (
     COUNTS_SQL, cooccurrence_sql, interaction_counts, similar_sql, vector_top_sql,
 )
+from brightshelf.session import materialise
 from brightshelf.sources import bindings as b
 
 SHOW = f"SELECT user_id, item_id, {r6('score')} AS score, rank FROM "
@@ -352,3 +353,22 @@ SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY
 def _r4(spark, sf):
     recs = cand.content_based(feat.history(b.interactions(spark, sf)), b.item_vectors(spark, sf), 20)
     return _show(filters.limit_per_category(recs, b.products(spark, sf), 2))
+
+
+@query("c17_all_cells_probed", with_(VECTORS, embedding_sql(10)) + SHOW + "embed")
+def _c17_exact(spark, sf):
+    """The inverted file with every cell probed and no cut by codes: exact search."""
+    index = neighbours.fit_index(b.item_vectors(spark, sf))
+    found = neighbours.search(index, b.user_vectors(spark, sf), 10, "user_id", probes=len(index.centres), refine=None)
+    return _show(found)
+
+
+@query("c17_approximate_neighbours", with_(VECTORS) + "SELECT count(*) AS n_users, count(*) * least(10, count(*)) AS n_rows, true AS recall_reached FROM vectors")
+def _c17(spark, sf):
+    """Ten approximate neighbours of every user at the measured number of probes; whether nine tenths of the exact ones are found."""
+    users, items = b.user_vectors(spark, sf), b.item_vectors(spark, sf)
+    found = materialise(neighbours.search(neighbours.fit_index(items), users, 10, "user_id"), "neighbours")
+    exact = cand.embedding(users, items, 10).select("user_id", "item_id", F.lit(1).alias("hit"))
+    return found.join(exact, ["user_id", "item_id"], "left").agg(
+        F.count_distinct("user_id").alias("n_users"), F.count("*").alias("n_rows"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached")
+    )

@@ -1,4 +1,4 @@
-"""Training data and models."""
+"""Training data and models."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightshelf.functions.scalar import md5_fraction, rounded
 from brightshelf.functions.vectors import dot
-from brightshelf.operators import boosting, candidates as cand, evaluation as ev, factors, features as feat, models, neural, samples, similarity as sim
+from brightshelf.operators import boosting, evaluation as ev, factors, features as feat, models, neural, samples, similarity as sim
 from brightshelf.operators.ordered import contiguous_index
 from brightshelf.queries.base import INTERACTIONS, PRODUCTS, query, r6, ratio, with_, word
 from brightshelf.queries.features import COUNTS, profile_sql
@@ -377,13 +377,3 @@ def _t15(spark, sf):
     rows = sampled_rows(spark, sf)
     model = models.ranker("xgboost", FEATURES).fit(rows.where("NOT is_test"))
     return spark.createDataFrame(models.feature_importance(model), "feature string, importance double")
-
-
-@query("c17_approximate_neighbours")
-def _c17(spark, sf):
-    users, items = b.user_vectors(spark, sf), b.item_vectors(spark, sf)
-    exact = cand.embedding(users, items, 10).select("user_id", "item_id", F.lit(1).alias("_e"))
-    near = sim.top_k_approximate(users, items, 10, "user_id")
-    return near.join(exact, ["user_id", "item_id"], "left").select(
-        "user_id", "item_id", rounded("score").alias("score"), "rank", F.col("_e").isNotNull().alias("is_exact")
-    )

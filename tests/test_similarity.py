@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from brightshelf.operators import candidates, similarity as sim
+from brightshelf.operators import candidates, neighbours, similarity as sim
 
 
 def brute_top(q, i, k, skip_self=False):
@@ -29,18 +29,42 @@ def test_top_k_over_blocks(spark, query_block, item_block):
     assert rows == set(brute_top(m, m, 6, skip_self=True))
 
 
-@pytest.mark.parametrize("probes,blocks", [(6, 1000), (6, 9), (2, 1000)])
-def test_approximate_top_k(spark, probes, blocks):
+@pytest.mark.parametrize("probes,refine,blocks", [(6, None, 1000), (6, None, 9), (6, 8, 7), (None, 8, 1000), (1, 2, 1000)])
+def test_inverted_file(spark, probes, refine, blocks):
     rng = np.random.default_rng(4)
     # a third of all items are copies of one vector, so one cell is hot
     m = np.concatenate([rng.normal(size=(40, 4)), np.tile(rng.normal(size=(1, 4)), (20, 1))])
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "item_id bigint, vector array<float>")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)], "item_id bigint, vector array<float>")
     queries = df.withColumnRenamed("item_id", "user_id")
     exact = {(r.user_id, r["rank"]): round(r.score, 6) for r in sim.top_k_similar(queries, df, 5, "user_id").collect()}
-    near = sim.top_k_approximate(queries, df, 5, "user_id", cells=6, probes=probes, query_block=blocks, item_block=blocks)
+    near = neighbours.search(neighbours.fit_index(df, cells=6), queries, 5, "user_id", probes=probes, refine=refine, query_block=blocks, item_block=blocks)
     got = {(r.user_id, r["rank"]): round(r.score, 6) for r in near.collect()}
-    same = np.mean([abs(got.get(key, -9) - score) < 1e-5 for key, score in exact.items()])
-    assert same == 1.0 if probes == 6 else same > 0.5
+    assert set(got) == set(exact)  # probes widen until five rows are found
+    same = np.mean([abs(got[key] - score) < 1e-5 for key, score in exact.items()])
+    assert same == 1.0 if refine is None else same > (0.9 if probes != 1 else 0.3)
+
+
+def test_probes_follow_the_recall(spark):
+    rng = np.random.default_rng(6)
+    centres = 5 * rng.normal(size=(12, 8))
+    m = centres[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(f"i{i}", v.tolist()) for i, v in enumerate(m)], "item_id string, vector array<double>")
+    queries = df.withColumnRenamed("item_id", "user_id")
+    index = neighbours.fit_index(df)
+    assert len(index.centres) == 25 and index.sizes.sum() == 600
+    probes = neighbours.probes_for(index, queries, 10, "user_id")
+    assert probes < 8 and probes <= neighbours.probes_for(index, queries, 10, "user_id", recall=1.0)
+    exact = {(r.user_id, r.item_id) for r in sim.top_k_similar(queries, df, 10, "user_id").collect()}
+    got = {(r.user_id, r.item_id) for r in neighbours.search(index, queries, 10, "user_id").collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
+def test_index_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "user_id long, vector array<float>")
+    assert neighbours.search(neighbours.fit_index(none), queries, 3, "user_id").count() == 0
+    one = spark.createDataFrame([(7, [0.0, 2.0])], none.schema)
+    assert [(r.user_id, r.item_id) for r in neighbours.search(neighbours.fit_index(one), queries, 3, "user_id").collect()] == [(1, 7)]
 
 
 def test_embedding_anchor(spark):
