@@ -363,6 +363,13 @@ def _c17_exact(spark, sf):
     return _show(found)
 
 
+@query("c7_exact_by_cells", with_(VECTORS, embedding_sql(10)) + SHOW + "embed")
+def _c7_cells(spark, sf):
+    """The embedding candidates again, without comparing cells that cannot hold any of them."""
+    index = neighbours.fit_index(b.item_vectors(spark, sf))
+    return _show(neighbours.exact_top_k(index, b.user_vectors(spark, sf), 10, "user_id"))
+
+
 @query("c17_approximate_neighbours", with_(VECTORS) + "SELECT count(*) AS n_users, count(*) * least(10, count(*)) AS n_rows, true AS recall_reached FROM vectors")
 def _c17(spark, sf):
     """Ten approximate neighbours of every user at the measured number of probes; whether nine tenths of the exact ones are found."""

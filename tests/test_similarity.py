@@ -59,6 +59,22 @@ def test_probes_follow_the_recall(spark):
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_cells_out_of_reach_are_not_compared(spark, clustered):
+    rng = np.random.default_rng(7)
+    centres = 5 * rng.normal(size=(12, 8))
+    m = (centres[rng.integers(0, 12, 500)] if clustered else 0) + 0.3 * rng.normal(size=(500, 8))
+    m[3] = m[4] = 0.0
+    m[10:40] = m[9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "item_id long, vector array<double>")
+    queries = df.withColumnRenamed("item_id", "user_id")
+    index = neighbours.fit_index(df)
+    exact = {(r.user_id, r["rank"], r.item_id) for r in sim.top_k_similar(queries, df, 5, "user_id").collect()}
+    assert {(r.user_id, r["rank"], r.item_id) for r in neighbours.exact_top_k(index, queries, 5, "user_id", query_block=90, item_block=20).collect()} == exact
+    compared = sum(index.sizes[r["_cell"]] for r in neighbours.cells_within_reach(index, queries, 5, "user_id").collect())
+    assert compared < (0.35 if clustered else 1.01) * 500 * 500
+
+
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, vector array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "user_id long, vector array<float>")
