@@ -35,7 +35,7 @@ def recommender_weights(weights: dict[str, float] | None = None) -> dict[str, fl
     chosen = {**RECOMMENDER_WEIGHTS, **(weights or {})}
     total = sum(chosen.values())
     if total == 0:
-        raise ValueError("at least one weight must be non-zero")
+        raise ValueError("all four sources are weighted 0, so nothing could be recommended")
     return {n: w / total for n, w in chosen.items()}
 
 
