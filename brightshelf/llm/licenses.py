@@ -135,12 +135,14 @@ def stems(ident: str) -> tuple[str, ...]:
 
 
 
-# How a text refers to a licence: regex around the name, priority, score.
+# Further names of a list, up to the end of its sentence; the licence found there is a group of its own.
+_LISTED = r"(?:[a-z0-9+()\x20\t-]|\.(?=[0-9])|,)*?(?<=[^a-z0-9.+-])(?:or|and|and/or) (?:the )?({name}|{id})"
+# How a text refers to a licence: regex around the name, priority, score. A group is the span to report.
 FORMS: list[tuple[str, str, int, float]] = [
     # An SPDX expression ends with its line unless it stands in parentheses.
-    ("spdx", r"spdx-license-identifier:[\x20\t]*(?:\( *|(?:\([a-z0-9.+( -]{0,400}?|[a-z0-9.+()\x20\t-]*?)(?<=[^a-z0-9.+-])(?:or|and) (?:\( *)?)?{id}(?![0-9a-z.-])", 90, 1.0),
-    ("grant", r"licen[sc]ed (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}|{id})(?![0-9a-z])", 80, 0.98),
-    ("release", r"(?:released|distributed|published|available|redistributed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}|{id})(?![0-9a-z])", 70, 0.95),
+    ("spdx", r"spdx-license-identifier:[\x20\t]*(?:\( *|(?:\([a-z0-9.+( -]*?|[a-z0-9.+()\x20\t-]*?)(?<=[^a-z0-9.+-])(?:or|and) (?:\( *)?)?({id})(?![0-9a-z.-])", 90, 1.0),
+    ("grant", rf"licen[sc]ed (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:(?:{{name}}|{{id}})|{_LISTED})(?![0-9a-z])", 80, 0.98),
+    ("release", rf"(?:released|distributed|published|available|redistributed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:(?:{{name}}|{{id}})|{_LISTED})(?![0-9a-z])", 70, 0.95),
     ("terms", r"terms (?:and conditions )?of (?:the )?(?:{name})(?![0-9a-z])", 60, 0.9),
     ("field", r"(?<![0-9a-z])licen[sc]e: *(?:the )?(?:{name}|{id})(?![0-9a-z])", 50, 0.9),
     ("name", r"(?<![0-9a-z])(?:the )?(?:{name})(?![0-9a-z])", 20, 0.8),
@@ -164,7 +166,7 @@ NOTICES: list[tuple[str, str, tuple[str, ...], int, float]] = [
     ("lgpl", r"(?:lesser|library) general public licen[sc]e", ("general",), 16, 0.7),
     ("agpl", r"affero general public licen[sc]e", ("general",), 16, 0.7),
     ("copyright", r"(?:copyright|©|\(c\)) *(?:\(c\)|©)? *(?:19|20)[0-9][0-9]", ("copyright", "©", "(c)"), 5, 0.4),
-    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction)[a-z ,]{0,120}(?:is )?(?:strictly )?prohibited)", ("proprietary", "unauthori"), 30, 0.8),
+    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction)(?:(?!unauthori)[a-z ,])*?(?:is )?(?:strictly )?prohibited)", ("proprietary", "unauthori"), 30, 0.8),
     ("no-license", r"no part of this (?:publication|book|work) may be reproduced", ("reproduced",), 30, 0.8),
 ]
 
@@ -232,7 +234,7 @@ class Scanner:
             pattern = self.compiled.get(k)
             if pattern is None:
                 pattern = self.compiled[k] = re.compile(self.rules[k].pattern)
-            found += [(*m.span(), k) for m in pattern.finditer(text)]
+            found += [(*m.span(m.lastindex or 0), k) for m in pattern.finditer(text)]
         return settle(found, self.rules) if found else []
 
 

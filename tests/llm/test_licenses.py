@@ -124,9 +124,9 @@ def sample(items, rng):
 def test_gate_passes_what_each_rule_matches():
     rules, rng = signature_rules(), random.Random(5)
     for rule in rules:
-        matched = 0
+        matched, parsed = 0, parser.parse(rule.pattern)
         for _ in range(60):
-            text = sample(parser.parse(rule.pattern), rng)
+            text = sample(parsed, rng)
             if re.search(rule.pattern, text):
                 matched += 1
                 assert any(w in text.decode("utf-8", "replace") for w in rule.keywords), (rule.label, rule.priority, text)
@@ -178,3 +178,22 @@ def test_blank_runs_cost_little():
     began = time.perf_counter()
     Scanner(rules)(b"copyright" + b" \n*" * 100_000 + b"license: " * 20_000 + b"general public license " * 5_000)
     assert time.perf_counter() - began < 20
+
+
+LISTS = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ("SPDX-License-Identifier: Apache-2.0 AND BSD-3-Clause AND MPL-2.0", {"apache-2.0", "bsd-3-clause", "mpl-2.0"}),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT\nApache-2.0", {"gpl-2.0", "mit"}),
+    ("SPDX-License-Identifier: (MIT AND (ISC OR\n# Zlib))", {"mit", "isc", "zlib"}),
+    ("SPDX-License-Identifier: (" + "MIT AND " * 200 + "ISC)", {"mit", "isc"}),
+    ("Licensed under MIT and Apache-2.0.", {"mit", "apache-2.0"}),
+    ("released under the MIT License, the ISC License and the Apache License, Version 2.0", {"mit", "isc", "apache-2.0"}),
+    ("Licensed under MIT. Cats and Apache-2.0", {"mit"}),
+    ("Unauthorized copying of " + "this file or any part of it " * 20 + "is strictly prohibited", {"proprietary"}),
+]
+
+
+@pytest.mark.parametrize("text,labels", LISTS)
+def test_every_licence_of_an_expression(text, labels):
+    rules = signature_rules()
+    assert {rules[k].label for *_, k in Scanner(rules)(text.lower().encode())} == labels
