@@ -11,31 +11,67 @@ from brightshelf.llm.frames import table
 from brightshelf.session import configure, materialise
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number per row, and the name of that column, which no column of `docs` has.
+
+    Numbers follow from the files of the table a stage reads, so scanning it twice numbers it alike.
+    """
+    name = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with columns named column_0, column_1, ..., so that no name can clash, and that of the text."""
+    plain = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    return plain, plain.columns[docs.columns.index("text")]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line labelling keeps."""
+    """Documents that the line labelling keeps.
+
+    Null and empty texts go (they fail the base rules); rows that repeat are judged alike; an empty table stays
+    empty; columns of any other name are carried along.
+    """
     chain = boilerplate.train(docs, table(spark, sf_dir, "labels"))
-    return boilerplate.judge(docs.select("*", F.col("text").alias("_judged")), docs.columns, chain, "_judged").where("kept").select(*docs.columns)
+    plain, text = _plain(docs)
+    judged = boilerplate.judge(plain.select("*", F.col(text).alias("judged_text")), plain.columns, chain, "judged_text")
+    return judged.where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8): the smallest id.
+    """One row of each group of near copies (5-word shingles, similarity 0.8): that with the smallest id.
 
-    Of rows with equal ids one stays; rows without an id all stay.
+    Rows are compared by number, whatever their ids: of rows that repeat one stays, an id that stands
+    on different texts keeps them all, rows without an id stand behind those with one. Null and empty
+    texts are no copies of anything and stay.
     """
-    kept = sketches.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows, number = _numbered(docs)
+    found = sketches.near_duplicates(rows.select(number, "text"), number).select(F.col(number).alias("n"), "component_id")
+    ids = rows.select(F.col(number).alias("m"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    kept = found.join(ids, F.col("n") == F.col("m")).groupBy("component_id").agg(first.alias("first")).select(F.col("first.n").alias(number))
+    return rows.join(materialise(kept, "kept"), number, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialise(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of a benchmark item.
+
+    Rows are judged by number, so a row without an id or with that of another row goes only for its own text.
+    Null and empty texts stay; without items all rows stay.
+    """
+    rows, number = _numbered(docs)
+    found = decontaminate.find_overlaps(rows.select(number, "text"), table(spark, sf_dir, "benchmark"), number).select(number).distinct()
+    return rows.join(materialise(found, "contaminated"), number, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by the name of their kind."""
-    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, secrets in their texts replaced by the name of their kind.
+
+    Null and empty texts stay as they are; columns of any other name are carried along.
+    """
+    plain, text = _plain(docs)
+    clean = secrets.redact_secrets(plain, text).toDF(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,29 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == [0, 1, 2, 3, 5]
 
 
+def test_stages_judge_rows_by_number(spark, tmp_path):
+    first, second, item = ("\n".join(_text(20) + "." for _ in range(5)) for _ in range(3))
+    rows = [(1, first), (1, second), (None, first), (None, item), (1, item), (7, None), (1, first)]
+    docs = _documents(spark, rows)
+    for name in ("kept", "n_words", "_text", "_judged", "_redacted", "row_0", "n", "m", "id", "spans"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item[:300])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, want in (
+        ("quality_rules", [r for r in rows if r[1]]),
+        ("near_duplicates", [(1, first), (1, second), (1, item), (7, None)]),
+        ("decontamination", [r for r in rows if r[1] != item]),
+        ("secret_scan", rows),
+    ):
+        got = stages[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        key = lambda r: (r[0] or 0, r[1] or "")
+        assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key), name
+
+
 def test_class_model(spark):
     rows = [(i, " ".join(RNG.choice(["a b", "c d", "A b e"]) for _ in range(20))) for i in range(30)] + [(98, None), (99, ""), (100, "new words")]
     docs = _documents(spark, rows)
