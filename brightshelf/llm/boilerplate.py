@@ -1,30 +1,31 @@
 """Line sequence labelling: a linear-chain CRF marks lines as content or boilerplate.
 
-The chain has two states. It is fitted by gradient ascent on the lines of at most
-`TRAINING_TEXTS` labelled documents: lines of documents of good quality count as content, lines of
-bad documents, and in any document lines that repeat an earlier one or are mostly symbols, as
-boilerplate. Viterbi decoding labels the lines of whole texts; a text is kept when enough of its
-words stand in content lines.
+The chain has two states. It is fitted on all lines of at most `TRAINING_TEXTS` labelled documents:
+lines of documents of good quality count as content, lines of bad documents, and in any document
+lines that repeat an earlier one or are mostly symbols, as boilerplate. Spark keeps three bytes per line
+and adds up the gradients. Viterbi decoding labels the lines of whole texts; a text is kept when
+enough of its words stand in content lines.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brightshelf.llm.frames import TEXT, scan_text, text_buffer
+from brightshelf.llm.frames import TEXT, bounded, scan_text, text_buffer
 from brightshelf.llm.words import NOT_SPACE, Hasher, Words, code_points, member_table, split, windows
+from brightshelf.session import materialise
 
 SYMBOLS = member_table(b"#*$%&|<>", False)
 NOT_NEWLINE = member_table(b"\n", True)
 DIGITS = member_table(b"0123456789", False)
 STOPS = member_table(b".!?:;\"')", False)
-TRAINING_TEXTS = 2000  # bound of the labelled sample that is fitted on the driver
-TRAINING_LINES = 400  # lines used of one training text
-TRAINING_CHARS = 20_000  # characters used of one training text; judged texts are read whole
+TRAINING_TEXTS = 2000  # bound of the labelled sample; its texts are read whole
+TEXTS_PER_FILE = 128  # about so many texts are in one task of a pass of the fit
 CONTENT, BOILERPLATE = 0, 1
 FEATURES = 12
 
@@ -132,56 +133,101 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gradient(x: np.ndarray, y: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
-    """Observed minus expected feature counts of one labelled chain (forward-backward)."""
-    scores, n = x @ chain.emit, len(x)
-    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-    forward[0] = scores[0]
-    for i in range(1, n):
-        forward[i] = scores[i] + np.logaddexp(forward[i - 1, 0] + chain.move[0], forward[i - 1, 1] + chain.move[1])
-    for i in range(n - 2, -1, -1):
-        ahead = scores[i + 1] + backward[i + 1]
-        backward[i] = np.logaddexp(chain.move[:, 0] + ahead[0], chain.move[:, 1] + ahead[1])
-    total = np.logaddexp(*forward[-1])
-    marginal = np.exp(forward + backward - total)
-    emit = x.T @ (np.eye(2)[y] - marginal)
-    move = np.zeros((2, 2))
-    if n > 1:
-        np.add.at(move, (y[:-1], y[1:]), 1)
-        move -= np.exp(forward[:-1, :, None] + chain.move + (scores[1:] + backward[1:])[:, None, :] - total).sum(axis=0)
-    return emit, move
-
-
-def fit_chain(texts: list[bytes], good: list[bool], rounds: int = 30, rate: float = 1.0, pull: float = 0.02) -> Chain:
-    """Fit by gradient ascent, pulled to the prior chain; without texts the prior itself."""
-    emit, move = PRIOR.emit.copy(), PRIOR.move.copy()
-    chains = []
-    for text, fine in zip(texts, good):
-        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-        lines = line_table(data, offsets, split(data, offsets, NOT_SPACE))
-        if len(lines.words):
-            bad = lines.repeated | lines.symbolic | (not fine)
-            chains.append((lines.features[:TRAINING_LINES], bad[:TRAINING_LINES].astype(np.int64)))
-    total = sum(len(y) for _, y in chains)
-    for _ in range(rounds if total else 0):
-        steps = [_gradient(x, y, Chain(emit, move)) for x, y in chains]
-        emit = emit + rate * (sum(s[0] for s in steps) / total - pull * (emit - PRIOR.emit))
-        move = move + rate * (sum(s[1] for s in steps) / total - pull * (move - PRIOR.move))
-    return Chain(emit, move)
+def _gradient(flags: np.ndarray, label: np.ndarray, length: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
+    """Observed minus expected feature and transition counts of many labelled chains (forward-backward).
+
+    The chains stand one after the other in `flags` and `label`. With two labels a message is one
+    number, the log odds of boilerplate, and a step is taken by all chains that are long enough at once.
+    """
+    x = (flags[:, None].astype(np.int64) >> np.arange(FEATURES)) & 1
+    odds = x @ (chain.emit[:, BOILERPLATE] - chain.emit[:, CONTENT])
+    order = np.argsort(-length, kind="stable")
+    start = (np.cumsum(length) - length)[order]
+    active = len(length) - np.searchsorted(np.sort(length), np.arange(1, length.max() + 1))
+    forward, backward = odds.copy(), np.zeros(len(odds))
+    move = np.exp(chain.move)
+    for i in range(1, len(active)):
+        at = start[: active[i]] + i
+        b = np.exp(forward[at - 1])
+        forward[at] += np.log((move[0, 1] + b * move[1, 1]) / (move[0, 0] + b * move[1, 0]))
+    for i in range(len(active) - 1, 0, -1):
+        at = start[: active[i]] + i
+        b = np.exp(odds[at] + backward[at])
+        backward[at - 1] = np.log((move[1, 0] + b * move[1, 1]) / (move[0, 0] + b * move[0, 1]))
+    miss = label - 1 / (1 + np.exp(-forward - backward))
+    inner = np.ones(len(odds), bool)
+    inner[start] = False
+    to = np.flatnonzero(inner)
+    b, e = np.exp(forward[to - 1]), np.exp(odds[to] + backward[to])
+    joint = np.stack([np.full(len(to), move[0, 0]), e * move[0, 1], b * move[1, 0], b * e * move[1, 1]])
+    seen = np.bincount(2 * label[to - 1].astype(np.int64) + label[to], minlength=4)
+    emit = x.T @ miss
+    return np.column_stack([-emit, emit]), (seen - (joint / joint.sum(axis=0)).sum(axis=1)).reshape(2, 2)
+
+
+def labelled_chains(texts: DataFrame, text: str = "text", fine: str = "fine") -> DataFrame:
+    """(flags, label): per text with lines, two bytes of flags and one of the label for each of its lines."""
+    source = texts.select(F.col(text).cast("string").cast("binary").alias(TEXT), F.col(fine).alias("fine"))
+
+    def run(batches):
+        for batch in batches:
+            for part in bounded(batch):
+                data, offsets = text_buffer(part)
+                lines = line_table(data, offsets, split(data, offsets, NOT_SPACE))
+                good = part.column("fine").to_numpy(zero_copy_only=False).astype(bool)
+                label = (lines.repeated | lines.symbolic | ~good[lines.text]).astype(np.uint8)
+                flags = (lines.features.astype(np.int64) @ (1 << np.arange(FEATURES))).astype(np.uint16)
+                first = np.searchsorted(lines.text, np.arange(part.num_rows + 1))
+                used = [(a, b) for a, b in zip(first, first[1:]) if a < b]
+                columns = [pa.array([v[a:b].tobytes() for a, b in used], pa.binary()) for v in (flags, label)]
+                yield pa.RecordBatch.from_arrays(columns, names=["flags", "label"])
+
+    return source.mapInArrow(run, "flags binary, label binary")
+
+
+def _step(chains: DataFrame, chain: Chain) -> tuple[int, np.ndarray, np.ndarray]:
+    """Lines of all chains and the sum of their gradients; a task hands on one row of 29 numbers per Arrow batch."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("flags", "label")]
+            if columns[0]:
+                flags, label = np.frombuffer(b"".join(columns[0]), np.uint16), np.frombuffer(b"".join(columns[1]), np.uint8)
+                emit, move = _gradient(flags, label, np.array([len(c) for c in columns[1]]), chain)
+                total = np.r_[len(label), emit.ravel(), move.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    total = np.sum([np.zeros(2 * FEATURES + 5), *(r.sums for r in chains.mapInArrow(run, "sums array<double>").collect())], axis=0)
+    return int(total[0]), total[1:-4].reshape(FEATURES, 2), total[-4:].reshape(2, 2)
+
+
+def fit_chain(chains: DataFrame, rounds: int = 30, rate: float = 1.0, pull: float = 0.02) -> Chain:
+    """Fit by gradient ascent, pulled to the prior chain; without chains the prior itself.
+
+    Each round is one pass of Spark over `chains`; the driver holds 28 weights.
+    """
+    chain = PRIOR
+    for _ in range(rounds):
+        total, emit, move = _step(chains, chain)
+        if not total:
+            break
+        emit, move = emit / total - pull * (chain.emit - PRIOR.emit), move / total - pull * (chain.move - PRIOR.move)
+        chain = Chain(chain.emit + rate * emit, chain.move + rate * move)
+    return chain
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", bound: int = TRAINING_TEXTS) -> Chain:
-    """Chain fitted on at most `bound` labelled documents, those with the smallest hashed ids."""
-    chosen = labels.where(F.col(quality).isNotNull()).groupBy(doc_id).agg(F.min(quality).alias("_q")).orderBy(F.xxhash64(doc_id), doc_id).limit(bound)
-    rows = (
-        documents.select(doc_id, F.substring(F.col(text).cast("string"), 1, TRAINING_CHARS).alias(TEXT))
-        .join(F.broadcast(chosen), doc_id)
-        .where(F.col(TEXT).isNotNull())
-        .orderBy(F.xxhash64(doc_id), doc_id, TEXT)
-        .limit(bound)
-        .collect()
-    )
-    return fit_chain([r[TEXT].encode() for r in rows], [r["_q"] == 1 for r in rows])
+    """Chain fitted on the documents of at most `bound` labelled ids, those with the smallest hashes.
+
+    The texts are read whole. Of several labels of an id the smallest counts; every row of a repeated
+    id is read; rows without an id, text or label teach nothing; without labelled lines the prior chain is returned.
+    """
+    chosen = labels.where(F.col(quality).isNotNull()).groupBy(doc_id).agg((F.min(quality) == 1).alias("fine")).orderBy(F.xxhash64(doc_id), doc_id).limit(bound)
+    texts = documents.select(doc_id, F.col(text).alias(TEXT)).join(F.broadcast(chosen), doc_id)
+    chains = labelled_chains(texts, TEXT)
+    # Few bytes a line, so a pass of the fit is one short task per TEXTS_PER_FILE texts.
+    chains = chains.repartition(math.ceil(bound / TEXTS_PER_FILE), "flags", "label").sortWithinPartitions("flags", "label")
+    return fit_chain(materialise(chains, "labelled-chains"))
 
 
 def _kernel(chain: Chain, content_share: float):

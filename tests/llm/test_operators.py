@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ import corpus_pipeline
 from brightshelf.llm import archives, boilerplate, brown, decontaminate, languages, packing, secrets, sketches
 
 RNG = random.Random(5)
+SF = "/root/testdata/sf0.001"
 WORDS = ["w%d" % i for i in range(3000)]
 
 
@@ -96,7 +99,7 @@ def test_line_labels(spark):
     text = "\n".join([_text(30) + "."] * 1 + [_text(30) + "." for _ in range(5)])
     junk = "\n".join("## $$ %% && || <> ## $$ %% %d" % i for i in range(60))
     docs = _documents(spark, [(1, text), (2, junk), (3, None), (4, ""), (5, "short"), (1, text)])
-    got = {r.doc_id: r for r in boilerplate.judge(docs, ["doc_id"], boilerplate.fit_chain([], [])).collect()}
+    got = {r.doc_id: r for r in boilerplate.judge(docs, ["doc_id"], boilerplate.PRIOR).collect()}
     assert got[1].kept and not got[2].kept and got[3].base_failed and got[4].n_words == 0 and got[5].n_words == 1
 
 
@@ -112,6 +115,64 @@ def test_viterbi_is_the_best_path():
         assert tuple(boilerplate.viterbi(scores, move)) == best
 
 
+def test_gradient_equals_all_labellings():
+    rng = np.random.default_rng(3)
+    chain = boilerplate.Chain(rng.normal(size=(boilerplate.FEATURES, 2)), rng.normal(size=(2, 2)))
+    length = np.array([3, 1, 5, 2, 5])
+    flags = rng.integers(0, 1 << boilerplate.FEATURES, length.sum()).astype(np.uint16)
+    label = rng.integers(0, 2, length.sum()).astype(np.uint8)
+    emit, move = boilerplate._gradient(flags, label, length, chain)
+
+    def counts(x, y):
+        return x.T @ np.eye(2)[list(y)], sum((np.outer(np.eye(2)[a], np.eye(2)[b]) for a, b in zip(y, y[1:])), np.zeros((2, 2)))
+
+    want_emit, want_move = np.zeros_like(emit), np.zeros((2, 2))
+    for end, n in zip(np.cumsum(length), length):
+        x = (flags[end - n : end, None].astype(int) >> np.arange(boilerplate.FEATURES)) & 1
+        seen = counts(x, label[end - n : end])
+        ways = [counts(x, y) for y in itertools.product((0, 1), repeat=n)]
+        weight = np.exp([(e * chain.emit).sum() + (m * chain.move).sum() for e, m in ways])
+        want_emit += seen[0] - sum(w * e for w, (e, _) in zip(weight, ways)) / weight.sum()
+        want_move += seen[1] - sum(w * m for w, (_, m) in zip(weight, ways)) / weight.sum()
+    assert np.allclose(emit, want_emit) and np.allclose(move, want_move)
+
+
+def test_training_reads_whole_texts(spark):
+    clean = "A plain sentence with more than eight words stands here today.\n"
+    tail = "buy 1234567 now 99\n"
+    docs = spark.createDataFrame([(1, clean * 900), (2, clean * 900 + "".join(f"{i} {tail}" for i in range(900))), (3, None), (4, ""), (None, tail)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (5, None)], "doc_id bigint, quality int")
+    chain = boilerplate.train(docs, labels)
+    digits = 11  # more than a tenth digits, which only lines behind the 900th have
+    assert chain.emit[digits, 1] > boilerplate.PRIOR.emit[digits, 1] + 0.05
+    assert boilerplate.train(docs, labels.limit(0)) is boilerplate.PRIOR
+    assert boilerplate.train(docs.limit(0), labels) is boilerplate.PRIOR
+
+
+def _base_counts(text):
+    words = re.findall("[^ \t-\r]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + j for i, w in enumerate(windows) if w in twice for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^ \t-\r]", x)]
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered),
+        len(words) < 50 or 100 * len(covered) > 50 * len(words),
+    )
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["a", "b c", "\n", " ", "\t", "#", "é\u3000x", "<p>", "word", "\x0b", "\u00a0", "😀"]
+    texts = [None, "", " \n ", "w " * 300_000, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 400))) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    got = boilerplate.judge(docs, ["doc_id", "text"], boilerplate.PRIOR).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == _base_counts(r.text)
+        assert not (r.kept and r.base_failed)
+
+
 def test_language_prototypes(spark):
     docs = spark.createDataFrame(
         [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !", "de"), (5, "the dog", None)], "doc_id long, text string, lang string"
