@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightshelf.llm import archives, boilerplate, brown, decontaminate, edits, languages, licenses, packing, periods, secrets, sketches, templates, whitening
 from brightshelf.llm.frames import crc_remainder, table
-from brightshelf.session import configure
+from brightshelf.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -134,10 +134,14 @@ CLEANING = [(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<mail>"), (r"\+?\d(?:[ .-]?\d){6,
 
 @query("op6_edit_counts")
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after its cleaning edits, from its segment tree."""
-    planned = edits.find_edits(table(spark, sf_dir, "documents"), ["doc_id", "text"], CLEANING)
-    trees = edits.build_trees(planned, ["doc_id", "text", "edits"])
-    found = edits.apply_edits(trees, ["doc_id", "n_tokens"], with_text=False)
+    """Token counts of every document before and after its cleaning edits, from its stored segment tree.
+
+    Trees are written beside their texts once; the edits are found and applied in a later pass over
+    that table, which encodes nothing but the edited regions.
+    """
+    stored = materialise(edits.build_trees(table(spark, sf_dir, "documents"), ["doc_id", "text"]), "token-trees")
+    planned = edits.find_edits(stored, stored.columns, CLEANING)
+    found = edits.apply_edits(planned, ["doc_id", "n_tokens"], with_text=False)
     return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_encoded")
 
 
