@@ -226,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     texts = documents.select(doc_id, F.col(text).alias(TEXT)).join(F.broadcast(chosen), doc_id)
     chains = labelled_chains(texts, TEXT)
     # Few bytes a line, so a pass of the fit is one short task per TEXTS_PER_FILE texts.
-    chains = chains.repartition(math.ceil(bound / TEXTS_PER_FILE), "flags", "label").sortWithinPartitions("flags", "label")
+    chains = chains.repartition(math.ceil(bound / TEXTS_PER_FILE))
     return fit_chain(materialise(chains, "labelled-chains"))
 
 
