@@ -175,6 +175,34 @@ def diversity(recs: DataFrame, catalogue: DataFrame) -> DataFrame:
     ).select("category_coverage", "entropy", gini(items, "exposures").scalar().alias("gini"))
 
 
+def exposure_gauges(shown: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: exposures, coverage (share of the catalogue shown) and diversity (entropy of categories).
+
+    Exposures are added up per item before anything is joined, so a hot key or item is one row per
+    item afterwards. Items outside the catalogue count as exposures only; with an empty catalogue,
+    or nothing of it shown, coverage and diversity are 0. An item without a category is a category of its own kind.
+    """
+    per_item = shown.groupBy(*keys, "item_id").agg(F.count("*").alias("_n"))
+    items = catalogue.select("item_id", "category", F.lit(1).alias("_known")).dropDuplicates(["item_id"])
+    per_category = per_item.join(items, "item_id", "left").groupBy(*keys, "_known", "category").agg(
+        F.sum("_n").alias("_n"), F.count("*").alias("_items")
+    )
+    known = F.when(F.col("_known") == 1, F.col("_n"))
+    # H = ln(total) - sum(n ln n) / total, so the share of a category needs no second pass.
+    sums = per_category.groupBy(*keys).agg(
+        F.sum("_n").alias("exposures"),
+        F.sum(F.when(F.col("_known") == 1, F.col("_items"))).alias("_items"),
+        F.sum(known).alias("_total"),
+        F.sum(known * F.log(known)).alias("_log"),
+    )
+    size = items.count()
+    return sums.select(
+        *keys, "exposures",
+        (F.coalesce("_items", F.lit(0)) / F.lit(float(max(size, 1)))).alias("coverage"),
+        F.coalesce(F.log("_total") - F.col("_log") / F.col("_total"), F.lit(0.0)).alias("diversity"),
+    )
+
+
 def business_rates(events: DataFrame, keys: list[str] | None = None, shown: str = "view") -> DataFrame:
     """CTR, conversion and revenue per impression, over all rows or per key."""
     kind = F.col("event_type")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightshelf.functions.scalar import count_when, md5_mod_10000, md5_word, safe_divide
@@ -185,27 +190,92 @@ def two_sample_tests(units: DataFrame, control: str, binary: str, measure: str)
     )
 
 
-def poisson_draw(fraction: Column) -> Column:
-    """Poisson(1) count for a uniform draw, from the distribution function (exact to 1e-9)."""
-    count, cumulative, term = F.lit(0), 0.0, 0.36787944117144233
+# The finaliser of MurmurHash3 (32 bits), and the step between counters.
+MIX_1, MIX_2, GOLDEN = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B9
+WORD = 2**32
+DRAW_CELLS = 1 << 20  # draws held at once by a task
+MERGE_TASKS = 32
+
+
+def poisson_bounds() -> list[int]:
+    """A 32-bit draw at or above the k-th bound counts more than k: Poisson(1), exact to 1e-9."""
+    bounds, cumulative, term = [], 0.0, math.exp(-1)
     for k in range(12):
         cumulative += term
-        count = count + (fraction >= cumulative).cast("int")
+        bounds.append(math.ceil(cumulative * WORD))
         term /= k + 1
-    return count
+    return bounds
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser on 32-bit values held in 64 bits."""
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(MIX_1) & np.uint64(WORD - 1)
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(MIX_2) & np.uint64(WORD - 1)
+    return h ^ (h >> np.uint64(16))
+
+
+def poisson_weights(seeds: np.ndarray, replicates: int) -> np.ndarray:
+    """seed x replicate counts, each from the seed and the replicate's number (from 1) alone."""
+    counter = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(GOLDEN) & np.uint64(WORD - 1)
+    draws = _mixed((seeds[:, None] + _mixed(counter)) & np.uint64(WORD - 1))
+    return np.searchsorted(np.array(poisson_bounds(), np.uint64), draws.ravel(), "right").reshape(draws.shape).astype(np.float64)
 
 
-def bootstrap_means(units: DataFrame, measure: str, replicates: int, seed: str) -> DataFrame:
+SUMS_DDL = "variant string, weights array<double>, totals array<double>"
+
+
+def _sums_batch(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    names = sorted(sums)
+    columns = [pa.array([sums[v][i].tolist() for v in names], pa.list_(pa.float64())) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], names=["variant", "weights", "totals"])
+
+
+def _merged_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for v, w, t in zip(*[batch.column(n).to_pylist() for n in ("variant", "weights", "totals")]):
+            sums[v] = sums.get(v, 0.0) + np.array([w, t])
+    yield _sums_batch(sums)
+
+
+def bootstrap_sums(units: DataFrame, measure: str, replicates: int, seed: str) -> DataFrame:
+    """Per variant the sum of weights and of weighted measures of every replicate, as two arrays.
+
+    Every unit draws its own Poisson(1) weight per replicate from a hash, so a replicate is a weighted
+    sum. A task adds up all replicates while it reads its units and hands on one row per variant, so
+    no unit is ever copied per replicate; rows are merged by element, first in up to `MERGE_TASKS`
+    tasks, whose few rows are merged in one. Units without an id, variant or measure are left out.
+    """
+    text = F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"))
+    source = units.where(F.col("user_id").isNotNull()).select("variant", F.col(measure).cast("double").alias("x"), md5_word(text).alias("seed")).dropna()
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        step = max(1, DRAW_CELLS // replicates)
+        for batch in batches:
+            variant = batch.column("variant").to_numpy(zero_copy_only=False)
+            x, seeds = batch.column("x").to_numpy(), batch.column("seed").to_numpy().astype(np.uint64)
+            for v in set(variant.tolist()):
+                at = np.flatnonzero(variant == v)
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
+                    weights = poisson_weights(seeds[part], replicates)
+                    sums[v] = sums.get(v, 0.0) + np.stack([weights.sum(axis=0), x[part] @ weights])
+        yield _sums_batch(sums)
+
+    partial = source.mapInArrow(run, SUMS_DDL)
+    return partial.repartition(MERGE_TASKS).mapInArrow(_merged_sums, SUMS_DDL).repartition(1).mapInArrow(_merged_sums, SUMS_DDL)
+
+
+def bootstrap_means(units: DataFrame, measure: str, replicates: int, seed: str, control: str = "control", treatment: str = "treatment") -> DataFrame:
     """Bootstrap difference of means per replicate: (replicate, difference).
 
-    Every unit draws its own Poisson(1) weight per replicate from a hash, so a replicate
-    is a weighted sum: no resampled table, and (variant x replicate) sums leave each task.
+    Null where a replicate gives all units of a side the weight zero; without units of both sides no rows.
     """
-    drawn = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    text = F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), F.col("replicate").cast("string"))
-    weighted = drawn.withColumn("_w", poisson_draw(md5_word(text) / F.lit(4294967296.0)))
-    means = weighted.groupBy("replicate", "variant").agg((F.sum(F.col("_w") * F.col(measure)) / F.sum("_w")).alias("mean"))
-    return means.groupBy(F.col("replicate").cast("bigint").alias("replicate")).agg(
-        (F.max(F.when(F.col("variant") == "treatment", F.col("mean")))
-         - F.max(F.when(F.col("variant") == "control", F.col("mean")))).alias("difference")
+    sums = bootstrap_sums(units, measure, replicates, seed)
+    mean = F.transform(F.arrays_zip("weights", "totals"), lambda s: F.when(s["weights"] > 0, s["totals"] / s["weights"]))
+    sides = sums.select("variant", mean.alias("mean")).groupBy().agg(
+        F.max(F.when(F.col("variant") == treatment, F.col("mean"))).alias("t"), F.max(F.when(F.col("variant") == control, F.col("mean"))).alias("c")
     )
+    zipped = sides.where("t IS NOT NULL AND c IS NOT NULL").select(F.posexplode(F.arrays_zip("t", "c")).alias("i", "m"))
+    return zipped.select((F.col("i") + 1).cast("bigint").alias("replicate"), (F.col("m.t") - F.col("m.c")).alias("difference"))

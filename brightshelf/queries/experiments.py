@@ -169,21 +169,20 @@ def _x7(spark, sf):
     return out
 
 
-REPLICATES = 40
+REPLICATES = 2000
 
 
-def _poisson_sql(fraction: str) -> str:
-    parts, cumulative, term = [], 0.0, 0.36787944117144233
-    for k in range(12):
-        cumulative += term
-        parts.append(f"({fraction} >= {cumulative!r}::DOUBLE)::INT")
-        term /= k + 1
-    return " + ".join(parts)
+def _steps(table: str, start: str) -> list[str]:
+    """One step of the finaliser per table, so that no expression holds another one twice."""
+    first = f"{table}1 AS (SELECT *, (xor({start}, {start} >> 16) * {ex.MIX_1}::HUGEINT % {ex.WORD})::BIGINT AS h1 FROM {table}0)"
+    second = f"{table}2 AS (SELECT *, (xor(h1, h1 >> 13) * {ex.MIX_2}::HUGEINT % {ex.WORD})::BIGINT AS h2 FROM {table}1)"
+    return [first, second, f"{table} AS (SELECT *, xor(h2, h2 >> 16) AS h FROM {table}2)"]
 
 
-@query("x7_bootstrap_interval", with_(INTERACTIONS, USERS, ASSIGNED_ALL, UNITS, f"""
-w AS (SELECT variant, revenue, r, {word("'boot:' || user_id || ':' || r")} / 4294967296.0::DOUBLE AS f FROM units CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS r))""", f"""
-m AS (SELECT r, variant, sum(k * revenue) / sum(k) AS mean FROM (SELECT *, {_poisson_sql('f')} AS k FROM w) GROUP BY ALL)""", """
+@query("x7_bootstrap_interval", with_(INTERACTIONS, USERS, ASSIGNED_ALL, UNITS,
+f"rep0 AS (SELECT r, (r * {ex.GOLDEN}::HUGEINT % {ex.WORD})::BIGINT AS c FROM (SELECT unnest(range(1, {REPLICATES + 1})) AS r))", *_steps("rep", "c"),
+f"draw0 AS (SELECT variant, revenue, r, (s + rep.h) % {ex.WORD} AS c FROM (SELECT *, {word("'boot:' || user_id")} AS s FROM units) CROSS JOIN rep)", *_steps("draw", "c"), f"""
+m AS (SELECT r, variant, sum(k * revenue) / sum(k) AS mean FROM (SELECT *, {' + '.join(f'(h >= {bound})::INT' for bound in ex.poisson_bounds())} AS k FROM draw) GROUP BY ALL)""", """
 d AS (SELECT r, max(mean) FILTER (variant = 'treatment') - max(mean) FILTER (variant = 'control') AS difference FROM m GROUP BY r)""") + f"""
 SELECT count(*) AS n, {r6('quantile_cont(difference, 0.025)')} AS low, {r6('quantile_cont(difference, 0.975)')} AS high FROM d""")
 def _x7b(spark, sf):
@@ -234,3 +233,16 @@ def _d10(spark, sf):
         rounded(F.when(F.col("impressions") > 0, F.col("_carts") / F.col("impressions")).otherwise(0.0)).alias("add_to_cart_rate"),
         rounded(F.col("_items") / size).alias("coverage"),
     )
+
+
+@query("d10_experiment_gauges", with_(INTERACTIONS, PRODUCTS, ASSIGNED, f"""
+shown AS (SELECT '{EXPERIMENT}' AS experiment_id, item_id FROM interactions JOIN assigned USING (user_id) WHERE event_type = 'view')""", """
+c AS (SELECT experiment_id, category, count(*) AS n FROM shown JOIN products USING (item_id) GROUP BY ALL)""", """
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY experiment_id) AS p FROM c)""") + f"""
+SELECT experiment_id, (SELECT count(*) FROM shown) AS exposures,
+  {r6("(SELECT count(DISTINCT item_id) FROM shown JOIN products USING (item_id)) / (SELECT count(*) FROM products)")} AS coverage,
+  {r6("sum(-p * ln(p))")} AS diversity FROM p GROUP BY experiment_id""")
+def _d10e(spark, sf):
+    events = b.interactions(spark, sf).where("event_type = 'view'").join(assignments(spark, sf), "user_id")
+    out = ev.exposure_gauges(events, b.products(spark, sf), ["experiment_id"])
+    return out.withColumn("coverage", rounded("coverage")).withColumn("diversity", rounded("diversity"))
