@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.functions.scalar import md5_fraction, md5_word
 from brightshelf.operators.features import time_slice
-from brightshelf.operators.ordered import bucket_count, bucket_of, contiguous_index, cut_points, hash_bucket, prefix_sums
+from brightshelf.operators.ordered import bucket_of, contiguous_index, cut_points, hash_bucket, prefix_sums
 from brightshelf.session import materialise, small_side
 from brightshelf.sources.schemas import EVENT_TYPES, POSITIVE_EVENTS
 
@@ -166,38 +166,35 @@ def negatives_without_replacement(
     )
 
 
-def global_negatives(events: DataFrame, ratio: int = 2, max_tries: int = 10, seed: str = "global") -> DataFrame:
-    """ratio x n random (user, item) pairs without interaction: the first accepted of numbered tries.
+def global_negatives(events: DataFrame, ratio: int = 2, seed: str = "global") -> DataFrame:
+    """ratio x n random (user, item) pairs without interaction, over the users and items of `events`.
 
-    Tries are drawn in parallel, rejected by an anti join, and ranked by number. The tries
-    made follow from the density of the table and grow only if too few were accepted, so
-    the result equals that of all max_tries x ratio x n tries.
+    Draw number `try` is a uniform rank among all free pairs, ordered by user and item, so no draw is
+    ever rejected and every free pair has the same chance, however dense the table is; a pair may come
+    twice. Prefix sums of the users' complement sizes lead from the rank to the user, the complement
+    ranges from there to the item. Users of a table without free pairs give no rows; rows without a
+    user or item count in n only.
     """
-    spark = events.sparkSession
-    pairs = materialise(events.select("user_id", "item_id").distinct(), "pairs")
-    users, items = contiguous_index(pairs, "user_id", "_ui"), contiguous_index(pairs, "item_id", "_ii")
-    wanted = ratio * events.count()
-    n_users, n_items, n_pairs = users.count(), items.count(), pairs.count()
-    limit = wanted * max_tries
-    free = 1.0 - n_pairs / max(1, n_users * n_items)
-    tries = limit if free <= 0 else min(limit, math.ceil(wanted / free * 1.05) + 1000)
-    while True:
-        t = spark.range(1, tries + 1).select(F.col("id").alias("try"))
-        text = F.concat_ws(":", F.lit(seed), F.col("try").cast("string"))
-        drawn = t.select(
-            "try",
-            F.floor(md5_fraction(text) * n_users).alias("_ui"),
-            F.floor(md5_word(text, 1) / F.lit(4294967296.0) * n_items).alias("_ii"),
-        )
-        named = drawn.join(users, "_ui").join(items, "_ii").select("try", "user_id", "item_id")
-        accepted = named.join(pairs, ["user_id", "item_id"], "left_anti")
-        ranked = materialise(
-            prefix_sums(accepted, [F.col("try")], {"_rank": F.lit(1)}, F.floor(F.col("try") / F.lit(tries // bucket_count(pairs) + 1))),
-            "global-negatives",
-        )
-        if tries >= limit or ranked.where(F.col("_rank") >= wanted).limit(1).count():
-            return ranked.where(F.col("_rank") <= wanted).select("try", "user_id", "item_id")
-        tries = min(limit, tries * 2)
+    pairs = materialise(events.select("user_id", "item_id").dropna().distinct(), "pairs")
+    catalogue = materialise(contiguous_index(pairs.select("item_id"), "item_id"), "catalogue")
+    ranges = materialise(not_interacted_ranges(pairs, catalogue), "complement")
+    sizes = ranges.groupBy("user_id").agg(F.max("n_other").alias("n_other"), F.max("buckets").alias("buckets"))
+    users = contiguous_index(sizes.select("user_id"), "user_id", "_ui").join(sizes, "user_id")
+    summed = prefix_sums(users, [F.col("_ui")], {"_until": F.col("n_other")}, F.floor(F.col("_ui") / INDEX_BUCKET))
+    summed = materialise(summed.select("user_id", "n_other", "buckets", (F.col("_until") - F.col("n_other")).alias("_from"), F.col("_until")), "complement-sums")
+    n_users, free = summed.agg(F.count("*"), F.coalesce(F.max("_until"), F.lit(0))).first()
+    # Stretches of ranks: about one user each, and as many draws in each, so no key is hot.
+    width = max(1, math.ceil(free / max(1, n_users)))
+    first, last = F.floor(F.col("_from") / width), F.floor((F.col("_until") - 1) / width)
+    owners = summed.withColumn("_stretch", F.explode(F.sequence(first, last)))
+    text = F.concat_ws(":", F.lit(seed), F.col("try").cast("string"))
+    fraction = (md5_word(text, 0) + md5_word(text, 1) / F.lit(4294967296.0)) / F.lit(4294967296.0)
+    draws = events.sparkSession.range(1, ratio * events.count() + 1).select(F.col("id").alias("try"))
+    draws = draws.withColumn("_g", F.least(F.floor(fraction * F.lit(float(free))), F.lit(free - 1)))
+    draws = draws.withColumn("_stretch", F.floor(F.col("_g") / width))
+    owned = draws.join(owners, "_stretch").where((F.col("_g") >= F.col("_from")) & (F.col("_g") < F.col("_until")))
+    ranked = owned.select("try", "user_id", "n_other", "buckets", (F.col("_g") - F.col("_from")).alias("r"))
+    return pick_from_ranges(ranked, ranges, catalogue).select("try", "user_id", F.col("negative_item_id").alias("item_id"))
 
 
 def context_features(events: DataFrame, context: Column) -> DataFrame:

@@ -110,14 +110,13 @@ def _t5(spark, sf):
 
 
 @query("t6_global_negatives", with_(INTERACTIONS, """
-u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ui FROM (SELECT DISTINCT user_id FROM interactions)),
-i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ii FROM (SELECT DISTINCT item_id FROM interactions)),
-n AS (SELECT count(*) * 2 AS wanted FROM interactions)""", f"""
-t AS (SELECT try, CAST(floor({word("'global:' || try")} / 4294967296.0::DOUBLE * (SELECT count(*) FROM u)) AS BIGINT) AS ui,
-  CAST(floor({word("'global:' || try", 1)} / 4294967296.0::DOUBLE * (SELECT count(*) FROM i)) AS BIGINT) AS ii
-  FROM (SELECT unnest(range(1, (SELECT wanted * 10 + 1 FROM n))) AS try)),
-a AS (SELECT try, user_id, item_id FROM t JOIN u USING (ui) JOIN i USING (ii) ANTI JOIN interactions USING (user_id, item_id))""") + """
-SELECT try, user_id, item_id FROM a QUALIFY row_number() OVER (ORDER BY try) <= (SELECT wanted FROM n)""")
+free AS (SELECT u.user_id, i.item_id, row_number() OVER (ORDER BY u.user_id, i.item_id) - 1 AS g
+  FROM (SELECT DISTINCT user_id FROM interactions) u CROSS JOIN (SELECT DISTINCT item_id FROM interactions) i ANTI JOIN interactions USING (user_id, item_id))""", """
+n AS (SELECT count(*) AS n FROM free)""", f"""
+t AS (SELECT try, least(CAST(floor(({word("'global:' || try")} + {word("'global:' || try", 1)} / 4294967296.0::DOUBLE) / 4294967296.0::DOUBLE
+    * (SELECT n::DOUBLE FROM n)) AS BIGINT), (SELECT n - 1 FROM n)) AS g
+  FROM (SELECT unnest(range(1, (SELECT count(*) * 2 + 1 FROM interactions))) AS try))""") + """
+SELECT try, user_id, item_id FROM t JOIN free USING (g)""")
 def _t6(spark, sf):
     return samples.global_negatives(b.interactions(spark, sf))
 
