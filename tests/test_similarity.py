@@ -163,3 +163,44 @@ def test_lookup_of_unknown_vector(spark):
     rows = found.select("user_id", "vector", cosine(F.col("vector"), F.col("vector")).alias("c")).toPandas().set_index("user_id")
     assert list(rows.loc[2, "vector"]) == [0.0, 0.0] and rows.loc[2, "c"] == 0.0 and rows.loc[1, "c"] == 1.0
     assert isinstance(rows, pd.DataFrame)
+
+
+def test_matrix_of_whole_rows(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(31, 4)).astype(np.float32)
+    ids = [i if i < 29 else 5 for i in range(31)]  # one id three times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "item_id bigint, vector array<float>")
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    got = {r.item_id: (r.ids, r.similarities) for r in sim.similarity_matrix(df, block=None, rows=4).collect()}
+    assert len(got) == 29
+    for item, (names, values) in got.items():
+        pairs = sorted((i, s) for row, name in enumerate(ids) if name == item for i, s in zip(ids, u[row] @ u.T))
+        assert names == [i for i, _ in pairs] and np.allclose(values, [s for _, s in pairs])
+
+
+def test_matrix_entries_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "item_id bigint, vector array<float>")
+    plan = sim.similarity_matrix(df, block=None)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_in_block_with_ties(k, monkeypatch):
+    monkeypatch.setattr(sim, "SCORE_CELLS", 500)
+    rng = np.random.default_rng(9)
+    q, i = rng.integers(-2, 3, (30, 3)).astype(float), rng.integers(-2, 3, (300, 3)).astype(float)
+    found = [p for part in sim._best_in_block(sim._unit(q), sim._unit(i), k, None) for p in zip(*part[:2])]
+    assert found == [(r, c) for r, c, _ in brute_top(q, i, k)]
+
+
+def test_probed_rows_are_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "PROBED_ROWS", 10)
+    batch = pa.RecordBatch.from_pydict({"_q": list(range(8)), "_v": [[1.0]] * 8})
+    row, cell = np.repeat(np.arange(8), 12), np.tile(np.arange(12), 8)
+    packs = np.repeat([0, 1, 2], 4)
+    parts = list(neighbours._in_packs(batch, row, cell, packs))
+    assert max(p.num_rows for p in parts) <= 10 and sum(p.num_rows for p in parts) == 24
+    seen = [(q, c) for p in parts for q, cells in zip(p["_q"].to_pylist(), p["_cells"].to_pylist()) for c in cells]
+    assert sorted(seen) == [(r, c) for r in range(8) for c in range(12)]
