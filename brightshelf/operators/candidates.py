@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightshelf.operators import similarity as sim
 from brightshelf.operators.topk import bounded_list, global_top_k, top_k
+from brightshelf.session import BROADCAST_ROWS, materialise, partitions_for
 
+# Similar items that the users of one task bring together; users with longer histories are spread over tasks.
+TASK_ENTRIES, LONG_HISTORY = 1_000_000, 1_024
 COLUMNS = ["user_id", "item_id", "score", "rank", "source"]
 
 
@@ -21,15 +24,32 @@ def _named(df: DataFrame, source: str) -> DataFrame:
 def from_similar_items(history: DataFrame, similar: DataFrame, limit: int, source: str) -> DataFrame:
     """Sum the similarities of the items similar to each user's history; best `limit` per user.
 
-    History items may come back as candidates. `similar` holds at most k rows per item,
-    so a popular history item multiplies rows by k and no more; AQE splits its partition.
+    History items may come back as candidates. The similar items of an item that occurs in a
+    history travel as one list. Histories are dealt out by user first, into tasks of bounded size, so the
+    rows they become are added up and ranked where they arise and are never shuffled; those
+    of users with more than LONG_HISTORY items are added up over all tasks.
     """
-    scored = (
-        history.join(similar.select("item_id", "similar_item_id", "similarity"), "item_id")
-        .groupBy("user_id", F.col("similar_item_id").alias("item_id"))
-        .agg(F.sum("similarity").alias("score"))
-    )
-    return _named(top_k(scored, limit, ["user_id"]), source)
+    history = materialise(history.select("user_id", "item_id"), "history")
+    wanted = similar.join(history.select("item_id").distinct(), "item_id", "left_semi")
+    lists = materialise(wanted.groupBy("item_id").agg(F.collect_list(F.struct("similar_item_id", "similarity")).alias("_s")), "similar-lists")
+    entries = lists.agg(F.coalesce(F.sum(F.size("_s")), F.lit(0))).first()[0]
+    parts = partitions_for(history.sparkSession, history.count() * max(1, limit), TASK_ENTRIES)
+    counts = history.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("_n"))
+    long = materialise(counts.where(F.col("_n") > LONG_HISTORY).select("user_id"), "long-histories")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        listed = rows.select("user_id", F.inline("_s")).groupBy("user_id", F.col("similar_item_id").alias("item_id"))
+        return top_k(listed.agg(F.sum("similarity").alias("score")), limit, ["user_id"])
+
+    def beside_lists(rows: DataFrame, *keys: str) -> DataFrame:
+        if entries <= 10 * BROADCAST_ROWS:
+            return rows.repartition(parts, *keys).join(F.broadcast(lists), "item_id")
+        return rows.join(lists, "item_id").repartition(parts, *keys)
+
+    if long.isEmpty():
+        return _named(scored(beside_lists(history, "user_id")), source)
+    short, spread = (history.join(long, "user_id", how) for how in ("left_anti", "left_semi"))
+    return _named(scored(beside_lists(short, "user_id")).unionByName(scored(beside_lists(spread, "user_id", "item_id"))), source)
 
 
 def collaborative(history: DataFrame, strengths: DataFrame, limit: int) -> DataFrame:

@@ -204,3 +204,26 @@ def test_probed_rows_are_few_at_a_time(monkeypatch):
     assert max(p.num_rows for p in parts) <= 10 and sum(p.num_rows for p in parts) == 24
     seen = [(q, c) for p in parts for q, cells in zip(p["_q"].to_pylist(), p["_cells"].to_pylist()) for c in cells]
     assert sorted(seen) == [(r, c) for r in range(8) for c in range(12)]
+
+
+@pytest.mark.parametrize("long_history", [1024, 3])
+def test_similar_items_of_histories(spark, monkeypatch, long_history):
+    monkeypatch.setattr(candidates, "LONG_HISTORY", long_history)
+    rng = np.random.default_rng(12)
+    history = [(int(u), int(i)) for u in range(8) for i in rng.choice(20, rng.integers(1, 8), replace=False)] + [(None, 3), (2, None)]
+    similar = [(int(i), int(j), float(rng.integers(1, 5))) for i in range(15) for j in rng.choice(20, 4, replace=False)]
+    h = spark.createDataFrame(history, "user_id long, item_id long")
+    s = spark.createDataFrame(similar, "item_id long, similar_item_id long, similarity double")
+    out = candidates.from_similar_items(h, s, 5, "x")
+    sums = {}
+    for u, i in history:
+        for a, j, w in similar:
+            if a == i:
+                sums[u, j] = sums.get((u, j), 0) + w
+    want = set()
+    for u in {u for u, _ in sums}:
+        best = sorted((-w, j) for (v, j), w in sums.items() if v == u)[:5]
+        want |= {(u, j, -w, r + 1) for r, (w, j) in enumerate(best)}
+    assert {(r.user_id, r.item_id, r.score, r["rank"]) for r in out.collect()} == want
+    if long_history == 1024:  # one exchange, of the histories
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
