@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightshelf.functions.scalar import md5_fraction, md5_word
 from brightshelf.operators.features import time_slice
 from brightshelf.operators.ordered import bucket_of, contiguous_index, cut_points, hash_bucket, prefix_sums
-from brightshelf.session import materialise, small_side
+from brightshelf.session import materialise, partitions_for, small_side
 from brightshelf.sources.schemas import EVENT_TYPES, POSITIVE_EVENTS
 
 INDEX_BUCKET = 65_536
+# Rows of drawn negatives a task sorts.
+TASK_DRAWS = 250_000
 
 
 def labelled_window(events: DataFrame, window_days: int) -> DataFrame:
@@ -106,13 +108,18 @@ def pick_from_ranges(draws: DataFrame, ranges: DataFrame, catalogue: DataFrame)
     spread = ranges.select(
         F.col("user_id").alias("_u"), "start", "end", "shift", F.explode(F.sequence(first, last)).alias("_b")
     )
-    keyed = draws.withColumn("_bucket", bucket)
+    # A task's share stays the same however many draws there are: joins alone would keep to a fixed number of tasks.
+    draws = materialise(draws.withColumn("_bucket", bucket), "draws")
+    parts = partitions_for(draws.sparkSession, draws.count(), TASK_DRAWS)
+    keyed = draws.repartition(parts, "user_id", "_bucket")
+    spread = spread.repartition(parts, "_u", "_b")
     on = (
         (F.col("user_id") == F.col("_u")) & (F.col("_bucket") == F.col("_b"))
         & (F.col("r") >= F.col("start")) & (F.col("r") < F.col("end"))
     )
     found = keyed.join(spread, on).withColumn("index", F.col("r") + F.col("shift"))
-    return found.join(catalogue.withColumnRenamed("item_id", "negative_item_id"), "index")
+    named = catalogue.withColumnRenamed("item_id", "negative_item_id").repartition(parts, "index")
+    return found.repartition(parts, "index").join(named, "index")
 
 
 def _with_complement_size(df: DataFrame, ranges: DataFrame) -> DataFrame:

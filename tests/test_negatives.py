@@ -32,3 +32,12 @@ def test_no_free_pairs_and_empty_tables(spark):
     full = spark.createDataFrame([(u, i) for u in range(4) for i in range(5)], DDL)
     assert samples.global_negatives(full).count() == 0
     assert samples.global_negatives(full.limit(0)).count() == 0
+
+
+def test_draws_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(samples, "TASK_DRAWS", 10)
+    pairs = spark.createDataFrame([(u, u % 7) for u in range(50)], "user_id long, item_id long")
+    products = spark.createDataFrame([(i,) for i in range(30)], "item_id long")
+    out = samples.negatives_with_replacement(pairs, products)
+    assert out.count() == 200 and out.where("negative_item_id = item_id").count() == 0
+    assert "hashpartitioning(index" in (plan := out._jdf.queryExecution().toString()) and ", 20)" in plan
