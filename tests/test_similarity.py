@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from brightshelf.operators import candidates, neighbours, similarity as sim
+from brightshelf.session import materialise
 
 
 def brute_top(q, i, k, skip_self=False):
@@ -139,6 +140,33 @@ def test_best_partners_with_heavy_users(spark, heavy_users, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("heavy_users,hot", [(0, 10_000), (0, 2), (2, 2)])
+def test_pairs_are_summed_group_by_group(spark, monkeypatch, heavy_users, hot):
+    """Only the pairs of one group of items are on disk at a time; hot items are spread, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    dense = rng.integers(1, 4, (60, 50)) * (rng.random((60, 50)) < 0.15)
+    dense[0] = rng.integers(1, 4, 50)
+    rows = [(int(u), int(i) * 3 - 40, float(dense[u, i])) for u, i in zip(*np.nonzero(dense))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    monkeypatch.setattr(sim, "GROUP_PAIRS", 1_000)
+    monkeypatch.setattr(sim, "TASK_PAIRS", 50)
+    monkeypatch.setattr(sim, "HOT_USERS", hot)
+    monkeypatch.setattr(sim, "PAIR_BATCH", 64)
+    written = []
+    monkeypatch.setattr(sim, "materialise", lambda t, name: written.append(name) or materialise(t, name))
+    found = sim.similar_by_users(df, 5, chunk=12, heavy_users=heavy_users).collect()
+    assert written.count("similar-items") > 2
+    unit = dense / np.linalg.norm(dense, axis=0, keepdims=True)
+    gram = np.round(unit.T @ unit, 9)
+    want = {}
+    for i in range(50):
+        order = sorted((j for j in range(50) if j != i and gram[i, j] > 0), key=lambda j: (-gram[i, j], j))
+        want.update({(i * 3 - 40, n + 1, j * 3 - 40): gram[i, j] for n, j in enumerate(order[:5])})
+    got = {(r.item_id, r["rank"], r.similar_item_id): r.similarity for r in found}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_given_pairs_count_twice(spark):
     pairs = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (1, 3, 0.4)], "item_id_1 bigint, item_id_2 bigint, similarity double")
     history = spark.createDataFrame([(9, 1)], "user_id bigint, item_id bigint")
