@@ -15,13 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from brightshelf.session import materialise
+from brightshelf.session import discard, materialise, removing_shuffles
 
 # Size of the vectors, epochs and pairs of a minibatch.
 DIM, EPOCHS, BATCH = 64, 10, 512
 RATE, DECAY, NEGATIVES = 0.1, 1e-3, 4
-# A task holds about this many pairs and vectors.
-TASK_PAIRS, TASK_VECTORS = 1_000_000, 100_000
+# A task holds about this many pairs and vectors at most; below that, cores are worth a block per so many pairs.
+TASK_PAIRS, TASK_VECTORS, LEAST_PAIRS = 1_000_000, 100_000, 50_000
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -35,9 +35,10 @@ class Side:
         self.vectors, self.past, self.rate = vectors, past, rate
 
     def move(self, rows: np.ndarray, gradients: np.ndarray) -> None:
-        at, back = np.unique(rows, return_inverse=True)
-        g = np.zeros((len(at), self.vectors.shape[1]))
-        np.add.at(g, back, gradients)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        at, g = rows[first], np.add.reduceat(gradients[order], first, axis=0)
         self.past[at] += (g * g).mean(axis=1)
         self.vectors[at] -= self.rate * g / np.sqrt(self.past[at] + 1e-8)[:, None]
 
@@ -45,18 +46,17 @@ class Side:
 def descend(users: Side, items: Side, u: np.ndarray, i: np.ndarray, weight: np.ndarray, rng: np.random.Generator, negatives: int, decay: float, batch: int) -> float:
     """One pass over the pairs (u, i) in random order; the summed loss, each minibatch before it moves."""
     lost, order = 0.0, rng.permutation(len(u))
+    y = np.r_[1.0, np.zeros(negatives)]
     for at in range(0, len(order), batch):
         take = order[at : at + batch]
-        a = np.repeat(u[take], negatives + 1)
-        c = np.column_stack([i[take], rng.integers(0, len(items.vectors), (len(take), negatives))]).ravel()
-        y = np.tile(np.r_[1.0, np.zeros(negatives)], len(take))
-        w = np.repeat(weight[take], negatives + 1)
+        a, w = u[take], weight[take, None]
+        c = np.column_stack([i[take], rng.integers(0, len(items.vectors), (len(take), negatives))])
         p, q = users.vectors[a], items.vectors[c]
-        z = (p * q).sum(axis=1)
+        z = np.einsum("pd,pkd->pk", p, q)
         lost += float((w * (np.logaddexp(0, z) - y * z)).sum())
-        d = (w * (_sigmoid(z) - y))[:, None]
-        users.move(a, d * q + decay * p)
-        items.move(c, d * p + decay * q)
+        d = w * (_sigmoid(z) - y)
+        users.move(a, np.einsum("pk,pkd->pd", d, q) + decay * (negatives + 1) * p)
+        items.move(c.ravel(), (d[:, :, None] * p[:, None, :] + decay * q).reshape(-1, p.shape[1]))
     return lost
 
 
@@ -98,9 +98,13 @@ def _solver(dim: int, blocks: int, step: int, seed: tuple, negatives: int, rate:
     return solve
 
 
-def blocks_for(pairs: int, users: int, items: int) -> int:
-    """Blocks per side so that a task's pairs and vectors stay within their bounds."""
-    return max(2, math.ceil(math.sqrt(pairs / TASK_PAIRS)), math.ceil(max(users, items) / TASK_VECTORS))
+def blocks_for(pairs: int, users: int, items: int, cores: int = 1) -> int:
+    """Blocks per side so that a task's pairs and vectors stay within their bounds.
+
+    A step has as many tasks as blocks, so there are blocks for all cores as soon as tasks have enough to do.
+    """
+    spread = min(cores, math.ceil(math.sqrt(pairs / LEAST_PAIRS)))
+    return max(2, spread, math.ceil(math.sqrt(pairs / TASK_PAIRS)), math.ceil(max(users, items) / TASK_VECTORS))
 
 
 def train_embeddings(
@@ -116,7 +120,7 @@ def train_embeddings(
     pairs = strengths.where("user_id is not null and item_id is not null and weight > 0").groupBy("user_id", "item_id").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     pairs = materialise(pairs, "pairs")
     n, mean, n_users, n_items = pairs.agg(F.count("*"), F.avg("weight"), F.count_distinct("user_id"), F.count_distinct("item_id")).first()
-    blocks = blocks or blocks_for(n, n_users, n_items)
+    blocks = blocks or blocks_for(n, n_users, n_items, pairs.sparkSession.sparkContext.defaultParallelism)
     sides = {name: materialise(_first_vectors(pairs, f"{name}_id", blocks, dim, seed + 1000 * k), f"{name}-vectors") for k, name in enumerate(("user", "item"))}
     of = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
     placed = materialise(
@@ -125,6 +129,7 @@ def train_embeddings(
     kinds = {name: pairs.schema[f"{name}_id"].dataType.simpleString() for name in ("user", "item")}
     schema = f"kind string, user_id {kinds['user']}, item_id {kinds['item']}, block int, vector array<double>, past double"
     losses: list[float] = []
+    past = list(sides.values())
     rng = np.random.default_rng(seed)
     for epoch in range(epochs if n else 0):
         lost = 0.0
@@ -138,7 +143,12 @@ def train_embeddings(
                 rows = rows.unionByName(
                     sides[name].select(task[name].cast("int").alias("task"), F.lit(name).alias("kind"), columns[0].alias("user_id"), columns[1].alias("item_id"), "vector", "past")
                 )
-            moved = materialise(rows.groupBy("task").applyInArrow(_solver(dim, blocks, step, (seed, epoch), negatives, rate, decay, batch), schema), "moved")
+            solve = _solver(dim, blocks, step, (seed, epoch), negatives, rate, decay, batch)
+            with removing_shuffles(rows.sparkSession):
+                moved = materialise(rows.repartitionById(blocks, F.col("task")).groupBy("task").applyInArrow(solve, schema), "moved")
+            for table in past:  # nothing reads the vectors before this step any more
+                discard(table)
+            past = [moved]
             lost += moved.where("kind = 'loss'").agg(F.sum("past")).first()[0] or 0.0
             sides = {name: moved.where(F.col("kind") == name).select(F.col(f"{name}_id").alias("id"), "block", "vector", "past") for name in ("user", "item")}
         losses.append(lost / n)

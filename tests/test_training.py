@@ -1,5 +1,6 @@
 """Models against brute force, and the registered training queries with the operators' own rounds."""
 
+import glob
 import inspect
 import math
 import random
@@ -213,6 +214,19 @@ def test_embeddings_of_nothing(spark):
     assert users.count() == items.count() == 0 and losses == []
 
 
+def test_steps_use_all_cores_and_leave_one_table(spark):
+    """A step has a task per block: 26 million pairs on 12 cores were 6 tasks; vectors of earlier steps stayed on disk."""
+    assert factors.blocks_for(26_000_000, 540_000, 36_000, 12) == 12
+    assert factors.blocks_for(60_000, 1_500, 100, 12) == 2
+    df = spark.createDataFrame([(u, i, 1.0) for u in range(20) for i in range(10) if (u + i) % 2], "user_id long, item_id long, weight double")
+    users, items, _ = factors.train_embeddings(df, dim=4, epochs=2, blocks=3)
+    (folder,) = {f.rsplit("/", 1)[0] for t in (users, items) for f in t.inputFiles()}
+    tables = glob.glob(folder.removeprefix("file://").rsplit("-", 1)[0] + "-*")
+    before = set(tables)
+    factors.train_embeddings(df, dim=4, epochs=2, blocks=3)
+    assert len(set(glob.glob(folder.removeprefix("file://").rsplit("-", 1)[0] + "-*")) - before) == 1
+
+
 def test_blocks_bound_a_task():
     assert factors.blocks_for(10, 5, 5) == 2
     blocks = factors.blocks_for(10**10, 10**7, 10**6)
