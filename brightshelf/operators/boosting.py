@@ -1,10 +1,9 @@
 """Listwise ranker: boosted trees grown on lambda gradients of NDCG.
 
 Rows of one list (the candidates of one user) are stored together, long lists in pieces of bounded
-size. A pass over the pieces scores every row with the trees so far, forms its gradient from
-the swaps with the head of its list, and adds up gradient histograms per tree node, feature and
-bin; the histograms of all tasks are summed in a shuffle and the driver chooses the splits. Trees grow
-level by level, so a tree costs one pass per level.
+size. Blocks of pieces are kept by the executors while the trees grow. A pass per tree brings the scores
+up to date and forms the gradient of every row from the swaps with the head of its list; a pass per
+level adds up gradient histograms per tree node, feature and bin, and the driver chooses the splits.
 
 A pair of rows counts if its better placed row is among the first `head` of the list. A piece
 of a long list is told that head only: it makes the gradients of its own rows and the share its
@@ -14,20 +13,26 @@ rows have in those of the head, and since histograms are sums nothing else is ne
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brightshelf.session import materialise, small_side
+from brightshelf.session import checkpointed, drop_checkpoint, materialise, small_side
 
 # Settings of the listwise ranker.
 RATE, LEAVES, FEATURE_SHARE, ROW_SHARE, ROW_SHARE_ROUNDS = 0.1, 31, 0.8, 0.8, 5
 HEAD, BINS, PIECE = 30, 64, 4_096
 LEAST_ROWS, LEAST_HESSIAN = 20, 1e-3
 STORE_ROUNDS = 10
+# Rows of a block, at which its arrays stay in the processor's cache; least and most rows of a task.
+BLOCK_ROWS, TASK_LEAST, TASK_MOST = 32_768, 16_384, 500_000
+# Up to so many tasks hand their histograms straight to the driver.
+DIRECT_TASKS = 64
 
 
 # --- gradients ------------------------------------------------------------------------------
@@ -38,23 +43,32 @@ def gains_of(relevance: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Pieces of one Arrow batch, their rows one behind the other, sorted by item within a piece."""
+    """Pieces of lists, their rows one behind the other, sorted by item within a piece.
+
+    `heads` has the head of the whole list by piece, for pieces of split lists. `pulls` are
+    gradients made from the scores: (bin codes, draws, gradient and curvature, 1 if these rows count).
+    """
 
     def __init__(self, batch: pa.RecordBatch):
         items = batch.column("items")
         self.first = np.r_[0, np.cumsum(np.diff(items.offsets.to_numpy()))]
-        self.of = np.repeat(np.arange(batch.num_rows), np.diff(self.first))
+        self.of = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(self.first))
         self.items = items.flatten()
         self.draws, self.relevance, self.scores = (batch.column(c).flatten().to_numpy() for c in ("draws", "relevance", "scores"))
         raw = batch.column("codes").to_pylist()
         self.codes = np.frombuffer(b"".join(raw), np.uint8).reshape(len(self.of), -1) if len(self.of) else np.zeros((0, 0), np.uint8)
         self.ideal = batch.column("ideal").to_numpy()
         self.lists = batch.column("list_id")
-        self.heads = {c: batch.column(f"head_{c}") for c in ("s", "item", "rel", "codes", "draw")} if "head_s" in batch.schema.names else None
+        self.split = np.flatnonzero(batch.column("pieces").to_numpy() > 1)
+        self.heads, self.pulls = {}, []
+        if "head_s" in batch.schema.names:
+            for p in self.split.tolist():
+                s, rel, draw = (batch.column(f"head_{c}")[p].values.to_numpy() for c in ("s", "rel", "draw"))
+                self.heads[p] = Head(s, rel, draw, batch.column("head_item")[p].as_py(), batch.column("head_codes")[p].as_py())
 
     def order(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows by piece, falling score and item, and the place of each of them in its piece."""
-        order = np.lexsort((np.arange(len(scores)), -scores, self.of))
+        order = np.lexsort((-scores, self.of))
         return order, np.arange(len(order)) - self.first[self.of[order]]
 
     def gradients(self, scores: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,37 +79,38 @@ class Block:
         piece if the list is split. A pair weighs what a swap would change NDCG by.
         """
         n = len(self.first) - 1
-        top, gain = np.zeros((n, head)), np.zeros((n, head))
-        size, at = np.zeros(n, np.int64), np.full((n, head), -1)
-        order, place_of = self.order(scores)
-        inside = place_of < head
-        rows, places = order[inside], place_of[inside]
-        top[self.of[rows], places], gain[self.of[rows], places], at[self.of[rows], places] = scores[rows], gains_of(self.relevance[rows]), rows
-        size[:] = np.minimum(np.diff(self.first), head)
-        place = np.empty(len(scores), np.int64)
-        place[order] = np.minimum(place_of, head)
-        split = np.flatnonzero(self.heads["s"].is_valid()) if self.heads else np.zeros(0, np.int64)
-        for p in split:
-            s, rel, draw = (self.heads[c][p].values.to_numpy() for c in ("s", "rel", "draw"))
-            size[p], at[p] = len(s), -1
-            top[p, : len(s)], gain[p, : len(s)] = s, gains_of(rel)
+        # Gains as shares of the ideal; a list without any relevant row has none, so no pair of it counts.
+        shares = np.divide(1.0, self.ideal, out=np.zeros(n), where=self.ideal > 0)
+        order, place = self.order(scores)
+        of, s = self.of[order], scores[order]
+        gain = gains_of(self.relevance[order]) * shares[of]
+        top, top_gain, at = np.zeros((n, head)), np.zeros((n, head)), np.full((n, head), -1)
+        inside = np.flatnonzero(place < head)
+        cells = of[inside], place[inside]
+        top[cells], top_gain[cells], at[cells] = s[inside], gain[inside], inside
+        place = np.minimum(place, head)
+        for p, best in self.heads.items():
+            at[p] = -1
+            top[p, : len(best.s)], top_gain[p, : len(best.s)] = best.s, gains_of(best.rel) * shares[p]
             own = slice(self.first[p], self.first[p + 1])
-            by_draw = np.argsort(draw)
-            found = by_draw[np.minimum(np.searchsorted(draw, self.draws[own], sorter=by_draw), len(draw) - 1)]
-            place[own] = np.where(draw[found] == self.draws[own], found, head)
+            draws = self.draws[order[own]]
+            by_draw = np.argsort(best.draw)
+            found = by_draw[np.minimum(np.searchsorted(best.draw, draws, sorter=by_draw), len(by_draw) - 1)]
+            place[own] = np.where(best.draw[found] == draws, found, head)
         weights = np.r_[1 / np.log2(np.arange(head) + 2.0), 0.0]
-        g, h = np.zeros(len(scores)), np.zeros(len(scores))
+        weight = weights[place]
+        g, h = np.zeros(len(s)), np.zeros(len(s))
         top_g, top_h = np.zeros((n, head)), np.zeros((n, head))
-        mine, of, ideal = gains_of(self.relevance), self.of, self.ideal
         for a in range(head):
-            r = np.flatnonzero((place > a) & (size[of] > a) & (ideal[of] > 0) & (mine != gain[of, a]))
+            r = np.flatnonzero((place > a) & (gain != top_gain[:, a][of]))
             if not len(r):
                 continue
             o = of[r]
-            up = np.sign(mine[r] - gain[o, a])  # +1: the row should stand before the head row
-            swap = np.abs(mine[r] - gain[o, a]) * (weights[a] - weights[place[r]]) / ideal[o]
-            wrong = 1 / (1 + np.exp(np.clip(up * (scores[r] - top[o, a]), -50, 50)))
-            pull, bend = up * swap * wrong, swap * wrong * (1 - wrong)
+            more = gain[r] - top_gain[:, a][o]  # positive: the row should stand before the head row
+            gap = s[r] - top[:, a][o]
+            wrong = 1 / (1 + np.exp(np.clip(np.where(more > 0, gap, -gap), -50, 50)))
+            pull = more * (weights[a] - weight[r]) * wrong
+            bend = np.abs(pull) * (1 - wrong)
             g[r] += pull
             h[r] += bend
             top_g[:, a] -= np.bincount(o, pull, n)
@@ -103,15 +118,40 @@ class Block:
         held = at >= 0
         g[at[held]] += top_g[held]
         h[at[held]] += top_h[held]
-        of_head = np.repeat(split, size[split])
-        away = [np.concatenate([t[p, : size[p]] for p in split]) if len(split) else np.zeros(0) for t in (top_g, top_h)]
-        return np.stack([g, h]), np.stack(away), of_head
+        own = np.empty((2, len(s)))
+        own[:, order] = g, h
+        away = [np.concatenate([t[p, : len(b.s)] for p, b in self.heads.items()] or [np.zeros(0)]) for t in (top_g, top_h)]
+        return own, np.stack(away), np.repeat(np.array(list(self.heads), np.int64), [len(b.s) for b in self.heads.values()])
+
+    def advance(self, tree: Tree | None) -> Block:
+        """Bring the scores up to date with one more tree."""
+        if tree:
+            self.scores = self.scores + tree.predict(self.codes)
+        return self
+
+    def pull(self, head: int) -> Block:
+        """Form the gradients of the present scores."""
+        own, away, piece_of = self.gradients(self.scores, head)
+        self.pulls = [(self.codes, self.draws, own, 1)]
+        if len(piece_of):
+            codes = np.frombuffer(b"".join(c for b in self.heads.values() for c in b.codes), np.uint8).reshape(len(piece_of), -1)
+            self.pulls.append((codes, np.concatenate([b.draw for b in self.heads.values()]), away, 0))
+        self.heads = {}
+        return self
+
+
+@dataclass
+class Head:
+    """First rows of a whole list, best first."""
 
-    def head_column(self, name: str) -> pa.Array:
-        return pa.concat_arrays([self.heads[name][p].values for p in np.flatnonzero(self.heads["s"].is_valid())])
+    s: np.ndarray
+    rel: np.ndarray
+    draw: np.ndarray
+    item: list
+    codes: list[bytes]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS) -> Iterator[Block]:
     """Blocks of about `rows` rows."""
     for batch in batches:
         ends = np.r_[0, np.cumsum(np.diff(batch.column("items").offsets.to_numpy()))]
@@ -268,14 +308,14 @@ def list_pieces(
     return materialise(joined.withColumn("ideal", F.when(F.size("best") > 0, dcg).otherwise(0.0)).drop("best"), "list-pieces")
 
 
-def _heads(pieces: DataFrame, score, head: int) -> DataFrame | None:
-    """Head of every list in more than one piece, with the bin codes of its rows; None without such lists."""
+def _heads(pieces: DataFrame, head: int) -> DataFrame:
+    """Head of every list in more than one piece, with the bin codes of its rows."""
     split = pieces.where("pieces > 1")
     item = pieces.schema["items"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            s = score(block)
+            s = block.scores
             order, place = block.order(s)
             top = order[place < head]
             codes = pa.array([c.tobytes() for c in block.codes[top]], pa.binary())
@@ -299,16 +339,15 @@ def lambda_gradients(
     grows by |swap| / (1 + exp(s - s')), that of the other shrinks by it. A list without any relevant row gets zeros.
     """
     pieces = list_pieces(rows, [], None, list_id, item_id, relevance, head, piece, F.col(score))
-    given = scored_with([])
-    joined = _with_heads(pieces, given, head)
+    joined = pieces if pieces.where("pieces > 1").isEmpty() else pieces.join(small_side(_heads(pieces, head), "heads"), "list_id", "left")
     types = [pieces.schema["list_id"].dataType.simpleString(), pieces.schema["items"].dataType.elementType.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            own, away, piece_of = block.gradients(given(block), head)
+            own, away, piece_of = block.gradients(block.scores, head)
             parts = [(block.of, block.items, own)]
             if len(piece_of):
-                parts.append((piece_of, block.head_column("item"), away))
+                parts.append((piece_of, pa.array([i for b in block.heads.values() for i in b.item], block.items.type), away))
             for of, items, (g, h) in parts:
                 yield pa.RecordBatch.from_arrays([block.lists.take(pa.array(of)), items, pa.array(g), pa.array(h)], names=["l", "i", "g", "h"])
 
@@ -316,12 +355,6 @@ def lambda_gradients(
     return found.groupBy(F.col("l").alias(list_id), F.col("i").alias(item_id)).agg(F.sum("g").alias("gradient"), F.sum("h").alias("curvature"))
 
 
-def _with_heads(pieces: DataFrame, score, head: int) -> DataFrame:
-    if pieces.where("pieces > 1").isEmpty():
-        return pieces
-    return pieces.join(small_side(_heads(pieces, score, head), "heads"), "list_id", "left")
-
-
 # --- boosting -------------------------------------------------------------------------------
 
 
@@ -333,41 +366,76 @@ def _taken(draws: np.ndarray, seed: int, share: float) -> np.ndarray:
     return h < np.uint64(int(share * 2**64) - 1)
 
 
-def _histograms(pieces: DataFrame, scored, tree: Tree, open_nodes: list[int], features: list[int], head: int, seed: int, n_bins: int) -> np.ndarray:
+def tasks_for(rows: int, cores: int) -> int:
+    """Tasks of a pass: one per core from TASK_LEAST rows each, more where a task would hold over TASK_MOST."""
+    return max(1, min(cores, rows // TASK_LEAST), -(-rows // TASK_MOST))
+
+
+def _blocks_of(pieces: DataFrame) -> RDD:
+    """A list of blocks per task; the blocks of all tasks are alike in size, whatever files the pieces lie in."""
+    n_rows = pieces.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    tasks = tasks_for(n_rows, pieces.sparkSession.sparkContext.defaultParallelism)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+
+    packed = pieces.repartition(tasks).mapInArrow(pack, "block binary").rdd
+    return packed.mapPartitions(lambda rows: [[pickle.loads(r.block) for r in rows]])
+
+
+def _told_heads(blocks_of: RDD, head: int) -> RDD:
+    """The blocks, each told the head of every split list it has a piece of."""
+    n = blocks_of.getNumPartitions()
+
+    def best(task: int, parts):
+        for block in (b for part in parts for b in part):
+            order, place = block.order(block.scores)
+            for p in block.split:
+                rows = order[block.first[p] : block.first[p + 1]][:head]
+                items = block.items.take(pa.array(rows)).to_pylist()
+                yield block.lists[int(p)].as_py(), ({task}, [(-block.scores[r], i, block.relevance[r], block.draws[r], block.codes[r].tobytes()) for r, i in zip(rows, items)])
+
+    def tell(pair):
+        part, heads = pair
+        for block in part:
+            for p in block.split.tolist():
+                s, item, rel, draw, codes = zip(*heads[block.lists[p].as_py()])
+                block.heads[p] = Head(-np.array(s), np.array(rel), np.array(draw), list(item), list(codes))
+        return part
+
+    whole = blocks_of.mapPartitionsWithIndex(best).reduceByKey(lambda x, y: (x[0] | y[0], sorted(x[1] + y[1], key=lambda r: r[:2])[:head]), n)
+    sent = whole.flatMap(lambda kv: [(task, (kv[0], kv[1][1])) for task in kv[1][0]]).partitionBy(n, int)
+    return blocks_of.zip(sent.mapPartitions(lambda rows: [dict(v for _, v in rows)])).map(tell)
+
+
+def _pulled(blocks_of: RDD, tree: Tree | None, head: int, split_lists: bool) -> RDD:
+    """The blocks with scores that include `tree`, and with the gradients of these scores."""
+    ahead = blocks_of.map(lambda part: [b.advance(tree) for b in part])
+    told = _told_heads(ahead, head) if split_lists else ahead
+    return told.map(lambda part: [b.pull(head) for b in part]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[int], seed: int, n_bins: int) -> np.ndarray:
     """Sums (gradient, curvature, rows) by open node, feature and bin."""
-    slot = {node: k for k, node in enumerate(open_nodes)}
     shape = (len(open_nodes), len(features), n_bins, 3)
+    lookup = np.full(len(tree.feature), -1)
+    lookup[open_nodes] = np.arange(len(open_nodes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts):
         total = np.zeros(shape)
-        lookup = np.full(len(tree.feature), -1)
-        for node, k in slot.items():
-            lookup[node] = k
-
-        def add(codes, draws, values, count):
-            keep = _taken(draws, seed, ROW_SHARE)
+        for codes, draws, values, count in (pull for part in parts for block in part for pull in block.pulls):
             node = lookup[tree.leaf_of(codes)]
-            keep &= node >= 0
-            node, codes, values = node[keep], codes[keep], values[:, keep]
+            keep = np.flatnonzero(_taken(draws, seed, ROW_SHARE) & (node >= 0))
+            node, (g, h) = node[keep], values[:, keep]
             for k, f in enumerate(features):
-                at = node * n_bins + codes[:, f]
-                for v, weights in enumerate((values[0], values[1], np.full(len(at), float(count)))):
+                at = node * n_bins + codes[keep, f]
+                for v, weights in enumerate((g, h, None)[: 2 + count]):
                     total[:, k, :, v] += np.bincount(at, weights, shape[0] * n_bins).reshape(shape[0], n_bins)
+        yield total
 
-        for block in blocks(batches):
-            own, away, piece_of = block.gradients(scored(block), head)
-            add(block.codes, block.draws, own, 1)
-            if len(piece_of):
-                codes = np.frombuffer(b"".join(block.head_column("codes").to_pylist()), np.uint8).reshape(len(piece_of), -1)
-                add(codes, block.head_column("draw").to_numpy(), away, 0)
-        at = np.flatnonzero(total.reshape(-1, 3).any(axis=1))
-        sums = total.reshape(-1, 3)[at]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in sums.T]], names=["at", "g", "h", "n"])
-
-    found = pieces.mapInArrow(run, "at int, g double, h double, n double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((int(np.prod(shape[:3])), 3))
-    out[found["at"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in "ghn"])
-    return out.reshape(shape)
+    depth = 1 if pulled.getNumPartitions() <= DIRECT_TASKS else 2
+    return pulled.mapPartitions(run).treeReduce(np.add, depth)
 
 
 def best_splits(sums: np.ndarray) -> list[tuple[float, int, int, tuple[float, float]] | None]:
@@ -408,55 +476,37 @@ def fit_listwise(
     n_bins = max((len(c) for c in cuts), default=0) + 1
     split_lists = not pieces.where("pieces > 1").isEmpty()
     rng = np.random.default_rng(seed)
-    forest, fresh = Forest(features, cuts, []), []
-    base = pieces
+    spark, forest = rows.sparkSession, Forest(features, cuts, [])
+    blocks_of, stored, tree = _blocks_of(pieces), None, None
     for number in range(rounds):
-        scored = scored_with(list(fresh))
-        joined = base.join(small_side(_heads(base, scored, head), "heads"), "list_id", "left") if split_lists else base
+        before, blocks_of = blocks_of, _pulled(blocks_of, tree, head, split_lists)
+        if number % STORE_ROUNDS == STORE_ROUNDS - 1 and number + 1 < rounds:
+            checkpointed(spark, blocks_of)
         chosen = sorted(rng.permutation(len(features))[: max(1, round(FEATURE_SHARE * len(features)))].tolist())
-        tree, open_nodes, n_leaves = Tree(), [0], 1
+        grown, open_nodes, n_leaves = Tree(), [0], 1
         while open_nodes and n_leaves < leaves:
-            sums = _histograms(joined, scored, tree, open_nodes, chosen, head, seed + number // ROW_SHARE_ROUNDS, n_bins)
+            sums = _histograms(blocks_of, grown, open_nodes, chosen, seed + number // ROW_SHARE_ROUNDS, n_bins)
             splits = [(*s, node) for s, node in zip(best_splits(sums), open_nodes) if s]
             open_nodes = []
             for gain, f, b, values, node in sorted(splits, reverse=True)[: leaves - n_leaves]:
-                open_nodes += tree.split(node, chosen[f], b, gain, values)
+                open_nodes += grown.split(node, chosen[f], b, gain, values)
                 n_leaves += 1
-        if n_leaves == 1:
-            if len(chosen) == len(features):
-                break
-            continue
-        forest.trees.append(tree)
-        fresh.append(tree)
-        if len(fresh) == STORE_ROUNDS:
-            base, fresh = _stored(base, scored_with(fresh)), []
+        if number:
+            before.unpersist()
+        if blocks_of.isCheckpointed():
+            drop_checkpoint(spark, stored)
+            stored = blocks_of
+        tree = grown if n_leaves > 1 else None
+        if tree:
+            forest.trees.append(tree)
+        elif len(chosen) == len(features):
+            break
+    if rounds:
+        blocks_of.unpersist()
+    drop_checkpoint(spark, stored)
     return forest
 
 
-def scored_with(trees: list[Tree]):
-    """Function from a block to its scores: the stored ones and those of `trees`."""
-
-    def scored(block: Block) -> np.ndarray:
-        return block.scores + sum((t.predict(block.codes) for t in trees), np.zeros(len(block.scores)))
-
-    return scored
-
-
-def _stored(pieces: DataFrame, scored) -> DataFrame:
-    """The pieces with their scores brought up to date, written anew."""
-    names = pieces.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = Block(batch)
-            scores = pa.ListArray.from_arrays(pa.array(block.first, pa.int32()), pa.array(scored(block)))
-            yield pa.RecordBatch.from_arrays([scores if n == "scores" else batch.column(n) for n in names], names=names)
-
-    return materialise(pieces.mapInArrow(run, pieces.schema), "list-pieces")
-
-
 class ListwiseRanker:
     """Unfitted listwise ranker; rows need user_id, item_id and label besides the features."""
 
