@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brightshelf.session import checkpointed, drop_checkpoint, materialise, small_side
+from brightshelf.session import checkpointed, drop_checkpoint, materialise, small_side, tasks_for
 
 # Settings of the listwise ranker.
 RATE, LEAVES, FEATURE_SHARE, ROW_SHARE, ROW_SHARE_ROUNDS = 0.1, 31, 0.8, 0.8, 5
 HEAD, BINS, PIECE = 30, 64, 4_096
 LEAST_ROWS, LEAST_HESSIAN = 20, 1e-3
 STORE_ROUNDS = 10
-# Rows of a block, at which its arrays stay in the processor's cache; least and most rows of a task.
-BLOCK_ROWS, TASK_LEAST, TASK_MOST = 32_768, 16_384, 500_000
+# Rows of a block, at which its arrays stay in the processor's cache.
+BLOCK_ROWS = 32_768
 # Up to so many tasks hand their histograms straight to the driver.
 DIRECT_TASKS = 64
 
@@ -98,23 +98,25 @@ class Block:
             found = by_draw[np.minimum(np.searchsorted(best.draw, draws, sorter=by_draw), len(by_draw) - 1)]
             place[own] = np.where(best.draw[found] == draws, found, head)
         weights = np.r_[1 / np.log2(np.arange(head) + 2.0), 0.0]
-        weight = weights[place]
+        weight, of = weights[place], of.astype(np.intp)
         g, h = np.zeros(len(s)), np.zeros(len(s))
         top_g, top_h = np.zeros((n, head)), np.zeros((n, head))
-        for a in range(head):
-            r = np.flatnonzero((place > a) & (gain != top_gain[:, a][of]))
-            if not len(r):
-                continue
-            o = of[r]
-            more = gain[r] - top_gain[:, a][o]  # positive: the row should stand before the head row
-            gap = s[r] - top[:, a][o]
-            wrong = 1 / (1 + np.exp(np.clip(np.where(more > 0, gap, -gap), -50, 50)))
-            pull = more * (weights[a] - weight[r]) * wrong
-            bend = np.abs(pull) * (1 - wrong)
-            g[r] += pull
-            h[r] += bend
-            top_g[:, a] -= np.bincount(o, pull, n)
-            top_h[:, a] += np.bincount(o, bend, n)
+        longest = max([*np.diff(self.first), *(len(b.s) for b in self.heads.values())], default=0)
+        for a in range(min(head, longest)):
+            more = gain - top_gain[:, a].take(of)  # positive: the row should stand before the head row
+            gap = s - top[:, a].take(of)
+            gap *= np.sign(more)
+            odds = np.exp(np.clip(gap, -50, 50, out=gap), out=gap)
+            odds += 1
+            # Rows placed before the head row, or being it, differ from it by no positive weight.
+            more *= np.maximum(weights[a] - weight, 0)
+            more /= odds
+            bend = np.abs(more)
+            bend *= 1 - 1 / odds
+            g += more
+            h += bend
+            top_g[:, a] -= np.bincount(of, more, n)
+            top_h[:, a] += np.bincount(of, bend, n)
         held = at >= 0
         g[at[held]] += top_g[held]
         h[at[held]] += top_h[held]
@@ -299,12 +301,15 @@ def list_pieces(
     kept = ["list_id", "pieces", "items", "draws", "relevance", "scores"]
     coded = grouped.mapInArrow(code, ", ".join(f"{c} {grouped.schema[c].dataType.simpleString()}" for c in kept) + ", codes binary")
     whole = F.slice(F.sort_array(F.flatten(F.collect_list(F.slice(F.sort_array("relevance", False), 1, head))), False), 1, head)
-    best = small_side(coded.where("pieces > 1").groupBy("list_id").agg(whole.alias("best")), "best-relevance")
+    if long.isEmpty():
+        joined = coded.withColumn("best", F.lit(None).cast("array<double>"))
+    else:
+        joined = coded.join(small_side(coded.where("pieces > 1").groupBy("list_id").agg(whole.alias("best")), "best-relevance"), "list_id", "left")
     own = F.slice(F.sort_array("relevance", False), 1, head)
     dcg = F.aggregate(
         F.sequence(F.lit(1), F.size("best")), F.lit(0.0), lambda acc, i: acc + (F.pow(F.lit(2.0), F.element_at("best", i)) - 1) / F.log2(i + 1.0)
     )
-    joined = coded.join(best, "list_id", "left").withColumn("best", F.coalesce("best", own))
+    joined = joined.withColumn("best", F.coalesce("best", own))
     return materialise(joined.withColumn("ideal", F.when(F.size("best") > 0, dcg).otherwise(0.0)).drop("best"), "list-pieces")
 
 
@@ -366,11 +371,6 @@ def _taken(draws: np.ndarray, seed: int, share: float) -> np.ndarray:
     return h < np.uint64(int(share * 2**64) - 1)
 
 
-def tasks_for(rows: int, cores: int) -> int:
-    """Tasks of a pass: one per core from TASK_LEAST rows each, more where a task would hold over TASK_MOST."""
-    return max(1, min(cores, rows // TASK_LEAST), -(-rows // TASK_MOST))
-
-
 def _blocks_of(pieces: DataFrame) -> RDD:
     """A list of blocks per task; the blocks of all tasks are alike in size, whatever files the pieces lie in."""
     n_rows = pieces.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
