@@ -1,21 +1,23 @@
 """Neural rankers: fully connected networks trained by data-parallel minibatches.
 
-Rows are dealt into minibatches by hash and each minibatch is a partition of the stored table, so a
-step reads its own files only. Tasks add up the gradients of their rows; the sums of all tasks are
-added parameter by parameter in a shuffle. The driver holds the weights and the optimiser's state.
+Rows are dealt into minibatches by hash. The executors keep them as arrays, every minibatch in partitions
+of its own, about one per core, so a step is one pass over these. Tasks add up the gradients of their
+rows; the driver adds the sums of the tasks, and holds the weights and the optimiser's state.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightshelf.session import scratch_path
+from brightshelf.session import materialise, tasks_for
 
 # Settings of the neural rankers.
 HIDDEN, DROPOUT, EPOCHS = (128, 64), 0.2, 10
@@ -23,6 +25,8 @@ CLASSIFIER_HIDDEN = (256, 128)  # wide enough for a tower of 128 units per side,
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 # Minibatches are tables here and not 256 rows, so there are fewer steps, and each is larger.
 STEPS, RATE = 16, 0.01
+# Rows whose values of all units stay in the processor's cache.
+CHUNK = 2_048
 
 
 def layer_sizes(width: int, hidden: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -48,9 +52,9 @@ def forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], masks: l
     for k, (w, c) in enumerate(layers):
         z = out[-1] @ w + c
         if k + 1 < len(layers):
-            z = np.maximum(z, 0)
+            np.maximum(z, 0, out=z)
             if masks is not None:
-                z = z * masks[k]
+                z *= masks[k]
         out.append(z)
     return out
 
@@ -61,7 +65,8 @@ def keep_masks(draws: np.ndarray, sizes: list[tuple[int, int]], seed: int, dropo
     for _, width in sizes[:-1]:
         h = draws.astype(np.uint64)[:, None] + np.arange(unit, unit + width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
         masks.append((h >= np.uint64(int(dropout * 2**64))) / (1 - dropout))
         unit += width
     return masks
@@ -81,9 +86,10 @@ def gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray, sizes, loss: str
     for k in range(len(layers) - 1, -1, -1):
         parts = [(values[k].T @ delta).ravel(), delta.sum(axis=0), *parts]
         if k:
-            delta = delta @ layers[k][0].T * (values[k] > 0)
+            delta = delta @ layers[k][0].T
+            delta *= values[k] > 0
             if masks is not None:
-                delta = delta * masks[k - 1]
+                delta *= masks[k - 1]
     return np.concatenate(parts), lost
 
 
@@ -161,28 +167,40 @@ class Adam:
         return weights - self.rate * m / (np.sqrt(v) + EPSILON)
 
 
-def _step(batch_rows: DataFrame, weights: np.ndarray, sizes, loss: str, seed: int, dropout: float) -> tuple[np.ndarray | None, float, int]:
-    """Summed gradient, loss and number of rows of one minibatch."""
-    n = len(weights)
+def _minibatches(dealt: DataFrame, steps: int, seed: int) -> tuple[RDD, int]:
+    """(draw, x, y) as arrays, those of a step in as many partitions as returned, one step behind the other."""
+    dealt = materialise(dealt, "minibatches")
+    rows = dealt.count()
+    tasks = tasks_for(-(-rows // steps), dealt.sparkSession.sparkContext.defaultParallelism)
+    step = F.pmod(F.xxhash64("draw"), F.lit(steps)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lost, rows = np.zeros(n), 0.0, 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 8_192):
-                part = batch.slice(at, 8_192)
-                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
-                masks = keep_masks(part.column("draw").to_numpy(), sizes, seed, dropout) if dropout else None
-                g, l = gradient(x, part.column("y").to_numpy(), weights, sizes, loss, masks)
-                total, lost, rows = total + g, lost + l, rows + part.num_rows
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 2), pa.int32()), pa.array(np.r_[total, lost, rows])], names=["i", "v"])
-
-    found = batch_rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    if not found.num_rows:
-        return None, 0.0, 0
-    sums = np.zeros(n + 2)
-    sums[found["i"].to_numpy()] = found["v"].to_numpy()
-    return sums[:n], sums[n], int(sums[n + 1])
+            if batch.num_rows:
+                part = batch.column("draw").to_numpy(), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("y").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary())], names=["part"])
+
+    spread = dealt.repartitionById(steps * tasks, step * tasks + F.floor(F.rand(seed) * tasks).cast("int"))
+    packed = spread.mapInArrow(pack, "part binary").rdd.map(lambda r: pickle.loads(r.part))
+    return packed.persist(StorageLevel.MEMORY_AND_DISK), tasks if rows else 0
+
+
+def _step(dealt: RDD, parts: range, weights: np.ndarray, sizes, loss: str, seed: int, dropout: float) -> tuple[np.ndarray, float, int]:
+    """Summed gradient, loss and number of rows of one minibatch, which lies in these partitions."""
+
+    def run(arrays):
+        total, lost, rows = np.zeros(len(weights)), 0.0, 0
+        for draw, x, y in arrays:
+            for at in range(0, len(y), CHUNK):
+                part = slice(at, at + CHUNK)
+                masks = keep_masks(draw[part], sizes, seed, dropout) if dropout else None
+                g, l = gradient(x[part], y[part], weights, sizes, loss, masks)
+                total += g
+                lost, rows = lost + l, rows + len(y[part])
+        yield total, lost, rows
+
+    found = dealt.context.runJob(dealt, run, parts) if parts else []
+    return sum((g for g, _, _ in found), np.zeros(len(weights))), sum(l for _, l, _ in found), sum(n for _, _, n in found)
 
 
 def fit_network(
@@ -204,20 +222,19 @@ def fit_network(
         F.arrays_zip(inputs(features).alias("x"), F.array(*[F.lit(m) for m in mean]).alias("m"), F.array(*[F.lit(s) for s in scale]).alias("s")),
         lambda v: (v["x"] - v["m"]) / v["s"],
     )
-    spark = rows.sparkSession
-    path = scratch_path(spark, "minibatches")
     dealt = labelled.select(F.xxhash64(*rows.columns).alias("draw"), x.alias("x"), F.col(label).cast("double").alias("y"))
-    dealt.withColumn("step", F.pmod(F.xxhash64("draw"), F.lit(steps)).cast("int")).repartition("step", F.rand(seed)).write.partitionBy("step").parquet(path)
-    stored = spark.read.schema("draw bigint, x array<double>, y double, step int").parquet(path)
+    dealt, tasks = _minibatches(dealt, steps, seed)
     adam, rng, losses = Adam(len(weights), rate), np.random.default_rng(seed + 1), []
     for epoch in range(epochs):
         lost, n = 0.0, 0
         for step in rng.permutation(steps):
-            g, l, count = _step(stored.where(F.col("step") == int(step)).select("draw", "x", "y"), weights, sizes, loss, seed + epoch * steps + int(step), dropout)
+            parts = range(int(step) * tasks, (int(step) + 1) * tasks)
+            g, l, count = _step(dealt, parts, weights, sizes, loss, seed + epoch * steps + int(step), dropout)
             if count:
                 weights = adam.step(weights, g / count)
                 lost, n = lost + l, n + count
         losses.append(lost / n if n else 0.0)
+    dealt.unpersist()
     return Network(list(features), mean, scale, tuple(hidden), weights, loss, losses)
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brightshelf import session
 from brightshelf.operators import boosting, factors, models, neural
 from brightshelf.queries import training
 from tests.test_queries import QUERIES, SF
@@ -140,6 +141,21 @@ def test_forest_without_rows_or_signal(spark):
         assert {r.prediction for r in model.transform(rows).collect()} == {0.0}
 
 
+def test_a_tree_forms_gradients_once_on_all_cores(spark, monkeypatch):
+    """Every level formed all gradients again, in as many tasks as adaptive merging had left files: one."""
+    monkeypatch.setattr(session, "TASK_LEAST", 100)
+    passes, real = [], boosting._pulled
+    monkeypatch.setattr(boosting, "_pulled", lambda blocks_of, *rest: passes.append(blocks_of.getNumPartitions()) or real(blocks_of, *rest))
+    rows = ranked_rows(spark)
+    model = boosting.fit_listwise(rows, ["a", "b", "scale"], relevance="label", rounds=12)
+    assert len(model.trees) == len(passes) == 12 and set(passes) == {spark.sparkContext.defaultParallelism}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_tasks_follow_cores_and_are_bounded():
+    assert [session.tasks_for(n, 12) for n in (0, 1_000, 1_750_000, 108_000_000)] == [1, 1, 12, 216]
+
+
 # --- networks -------------------------------------------------------------------------------
 
 
@@ -179,6 +195,18 @@ def test_network_learns_and_is_stored(spark, tmp_path):
     assert none.losses == [0.0] and none.transform(df).count() == len(rows)
 
 
+def test_minibatches_hold_every_row_once_on_all_cores(spark, monkeypatch):
+    """A step had as many tasks as its folder had files; equal rows share a minibatch and still spread over its partitions."""
+    monkeypatch.setattr(session, "TASK_LEAST", 10)
+    df = spark.range(2000).select((F.col("id") % 50).alias("draw"), F.array(F.col("id").cast("double")).alias("x"), F.lit(1.0).alias("y"))
+    dealt, tasks = neural._minibatches(df, 4, 1)
+    assert tasks == spark.sparkContext.defaultParallelism and dealt.getNumPartitions() == 4 * tasks
+    found = [(i // tasks, int(d), float(x)) for i, part in enumerate(dealt.glom().collect()) for draws, xs, _ in part for d, x in zip(draws, xs[:, 0])]
+    dealt.unpersist()
+    assert sorted(x for _, _, x in found) == [float(i) for i in range(2000)]
+    assert len({(step, d) for step, d, _ in found}) == 50
+
+
 # --- embeddings -----------------------------------------------------------------------------
 
 
