@@ -188,15 +188,17 @@ class Tree:
     def leaf_of(self, codes: np.ndarray) -> np.ndarray:
         """Leaf of each row of bin codes."""
         feature, bins, left = np.array(self.feature), np.array(self.bin), np.array(self.left)
+        leaf = feature < 0
+        feature[leaf], bins[leaf], left[leaf] = 0, 255, np.flatnonzero(leaf)  # a row stays at its leaf
+        depth = [0] * len(feature)
+        for node in np.flatnonzero(~leaf).tolist():
+            depth[left[node]] = depth[left[node] + 1] = depth[node] + 1
+        flat, first = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
         at = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            right = codes[rows, np.maximum(f, 0)] > bins[at]
-            at = np.where(inner, left[at] + right, at)
+        for _ in range(max(depth)):
+            right = flat.take(first + feature.take(at)) > bins.take(at)
+            at = left.take(at) + right
+        return at
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaf_of(codes)]
@@ -204,11 +206,12 @@ class Tree:
 
 @dataclass
 class Forest:
-    """Fitted ranker: feature names, their cut points and the trees."""
+    """Fitted ranker: feature names, their cut points and the trees; `logistic` if twice the sum of the trees is log odds."""
 
     features: list[str]
     cuts: list[list[float]]
     trees: list[Tree]
+    logistic: bool = False
 
     def codes(self, matrix: np.ndarray) -> np.ndarray:
         """Bin of every value: how many cut points lie below it. Null and NaN count as 0.0."""
@@ -218,16 +221,20 @@ class Forest:
         return out
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """`rows` and `prediction`."""
+        """`rows` and `prediction`: the sum of the trees, or the probability that follows from it."""
         if "prediction" in rows.columns:
             raise ValueError("column prediction is there already")
-        packed = rows.select(F.struct(*rows.columns).alias("_row"), F.array(*[F.col(c).cast("double") for c in self.features]).alias("_x"))
+        value = checked if self.logistic else lambda c: F.col(c).cast("double")
+        packed = rows.select(F.struct(*rows.columns).alias("_row"), F.array(*[value(c) for c in self.features]).alias("_x"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    codes = self.codes(matrix_of(batch.column("_x"), len(self.features)))
-                    score = np.sum([t.predict(codes) for t in self.trees], axis=0) if self.trees else np.zeros(batch.num_rows)
+                    # Rows with the same bins have the same score.
+                    codes, of = np.unique(self.codes(matrix_of(batch.column("_x"), len(self.features))), axis=0, return_inverse=True)
+                    score = (np.sum([t.predict(codes) for t in self.trees], axis=0) if self.trees else np.zeros(len(codes)))[of]
+                    if self.logistic:
+                        score = 1 / (1 + np.exp(np.minimum(-2 * score, 700)))
                     yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score)], names=["_row", "prediction"])
 
         schema = packed.select("_row").withColumn("prediction", F.lit(0.0)).schema
@@ -244,13 +251,19 @@ class Forest:
         return [(name, gain[f] / total) for f, name in enumerate(self.features)]
 
     def save(self, spark, path: str) -> None:
-        text = json.dumps({"features": self.features, "cuts": self.cuts, "trees": [vars(t) for t in self.trees]})
+        text = json.dumps({"features": self.features, "cuts": self.cuts, "trees": [vars(t) for t in self.trees], "logistic": self.logistic})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
     def from_text(text: str) -> Forest:
         stored = json.loads(text)
-        return Forest(stored["features"], stored["cuts"], [Tree(**t) for t in stored["trees"]])
+        return Forest(stored["features"], stored["cuts"], [Tree(**t) for t in stored["trees"]], stored.get("logistic", False))
+
+
+def checked(name: str) -> Column:
+    """A feature as a double; null and NaN are errors."""
+    value = F.col(name).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit(f"null or NaN in feature {name}"))).otherwise(value)
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
@@ -261,11 +274,11 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
 # --- the table of list pieces ---------------------------------------------------------------
 
 
-def cut_points(rows: DataFrame, features: list[str], bins: int = BINS) -> list[list[float]]:
+def cut_points(rows: DataFrame, features: list[str], bins: int = BINS, accuracy: int = 100 * BINS) -> list[list[float]]:
     """At most `bins` - 1 cut points of each feature, at about equal shares of the rows."""
     probs = [i / bins for i in range(1, bins)]
     columns = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
-    row = rows.agg(*[F.percentile_approx(c, probs, 100 * bins).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    row = rows.agg(*[F.percentile_approx(c, probs, accuracy).alias(f"c{k}") for k, c in enumerate(columns)]).first()
     return [sorted(set(cuts or [])) for cuts in row]
 
 
@@ -363,12 +376,17 @@ def lambda_gradients(
 # --- boosting -------------------------------------------------------------------------------
 
 
-def _taken(draws: np.ndarray, seed: int, share: float) -> np.ndarray:
-    """Rows of a repeatable sample, by hashed row numbers."""
+def hashed(draws: np.ndarray, seed: int) -> np.ndarray:
+    """Evenly spread 64-bit words that follow from row numbers and a seed."""
     h = draws.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h < np.uint64(int(share * 2**64) - 1)
+    return h
+
+
+def _taken(draws: np.ndarray, seed: int, share: float) -> np.ndarray:
+    """Rows of a repeatable sample, by hashed row numbers."""
+    return hashed(draws, seed) < np.uint64(int(share * 2**64) - 1)
 
 
 def _blocks_of(pieces: DataFrame) -> RDD:
@@ -416,8 +434,8 @@ def _pulled(blocks_of: RDD, tree: Tree | None, head: int, split_lists: bool) ->
     return told.map(lambda part: [b.pull(head) for b in part]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[int], seed: int, n_bins: int) -> np.ndarray:
-    """Sums (gradient, curvature, rows) by open node, feature and bin."""
+def histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[int], n_bins: int, seed: int = 0) -> np.ndarray:
+    """Sums (gradient, curvature, rows) by open node, feature and bin; pulls without draws count whole."""
     shape = (len(open_nodes), len(features), n_bins, 3)
     lookup = np.full(len(tree.feature), -1)
     lookup[open_nodes] = np.arange(len(open_nodes))
@@ -426,7 +444,7 @@ def _histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[i
         total = np.zeros(shape)
         for codes, draws, values, count in (pull for part in parts for block in part for pull in block.pulls):
             node = lookup[tree.leaf_of(codes)]
-            keep = np.flatnonzero(_taken(draws, seed, ROW_SHARE) & (node >= 0))
+            keep = np.flatnonzero(node >= 0 if draws is None else _taken(draws, seed, ROW_SHARE) & (node >= 0))
             node, (g, h) = node[keep], values[:, keep]
             for k, f in enumerate(features):
                 at = node * n_bins + codes[keep, f]
@@ -438,8 +456,13 @@ def _histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[i
     return pulled.mapPartitions(run).treeReduce(np.add, depth)
 
 
-def best_splits(sums: np.ndarray) -> list[tuple[float, int, int, tuple[float, float]] | None]:
-    """Per node: gain, feature slot, bin and the values of both sides of its best split; None without one."""
+def best_splits(
+    sums: np.ndarray, least_rows: float = LEAST_ROWS, least_hessian: float = LEAST_HESSIAN, rate: float = RATE, allowed: np.ndarray | None = None
+) -> list[tuple[float, int, int, tuple[float, float]] | None]:
+    """Per node: gain, feature slot, bin and the values of both sides of its best split; None without one.
+
+    `allowed` marks the features that a node may be split by (all if not given).
+    """
     left = sums.cumsum(axis=2)
     whole = left[:, :, -1:, :]
     right = whole - left
@@ -448,7 +471,9 @@ def best_splits(sums: np.ndarray) -> list[tuple[float, int, int, tuple[float, fl
         return part[..., 0] ** 2 / np.maximum(part[..., 1], 1e-12)
 
     gain = score(left) + score(right) - score(whole)
-    fit = (left[..., 2] >= LEAST_ROWS) & (right[..., 2] >= LEAST_ROWS) & (left[..., 1] >= LEAST_HESSIAN) & (right[..., 1] >= LEAST_HESSIAN)
+    fit = (left[..., 2] >= least_rows) & (right[..., 2] >= least_rows) & (left[..., 1] >= least_hessian) & (right[..., 1] >= least_hessian)
+    if allowed is not None:
+        fit &= allowed[:, :, None]
     gain = np.where(fit, gain, -np.inf)
     out = []
     for node in range(len(sums)):
@@ -457,7 +482,7 @@ def best_splits(sums: np.ndarray) -> list[tuple[float, int, int, tuple[float, fl
         if best <= 1e-12:
             out.append(None)
             continue
-        values = tuple(RATE * float(p[node, f, b, 0] / p[node, f, b, 1]) for p in (left, right))
+        values = tuple(rate * float(p[node, f, b, 0] / p[node, f, b, 1]) for p in (left, right))
         out.append((best, int(f), int(b), values))
     return out
 
@@ -485,7 +510,7 @@ def fit_listwise(
         chosen = sorted(rng.permutation(len(features))[: max(1, round(FEATURE_SHARE * len(features)))].tolist())
         grown, open_nodes, n_leaves = Tree(), [0], 1
         while open_nodes and n_leaves < leaves:
-            sums = _histograms(blocks_of, grown, open_nodes, chosen, seed + number // ROW_SHARE_ROUNDS, n_bins)
+            sums = histograms(blocks_of, grown, open_nodes, chosen, n_bins, seed + number // ROW_SHARE_ROUNDS)
             splits = [(*s, node) for s, node in zip(best_splits(sums), open_nodes) if s]
             open_nodes = []
             for gain, f, b, values, node in sorted(splits, reverse=True)[: leaves - n_leaves]:

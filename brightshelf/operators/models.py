@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightshelf.operators import boosting, neural
+from brightshelf.operators import boosting, classifier, neural
 
-# Settings of the boosted rankers and the neural ranker.
-BOOST_RATE, BOOST_DEPTH, BOOST_SUBSAMPLE, BOOST_ROUNDS = 0.1, 6, 0.8, 100
-
-
-def _estimator(kind: str, seed: int, rounds: int):
-    common = {"featuresCol": "features", "labelCol": "label", "seed": seed, "stepSize": BOOST_RATE, "maxIter": rounds}
-    if kind == "regression":
-        return GBTRegressor(maxDepth=5, **common)
-    return GBTClassifier(maxDepth=BOOST_DEPTH, subsamplingRate=BOOST_SUBSAMPLE, featureSubsetStrategy=str(BOOST_SUBSAMPLE), **common)
+# Settings of the boosted rankers and the boosted regressor.
+BOOST_RATE, BOOST_ROUNDS = 0.1, 100
 
 
 # Names under which a ranker can be asked for.
@@ -46,19 +38,15 @@ def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_R
         # Networks count epochs: never more than their own number.
         loss = "bce" if RANKERS[name] == "pointwise" else "mse"
         return neural.NeuralRanker(features, loss, seed, min(rounds, neural.EPOCHS))
-    return _pipeline(RANKERS[name], features, seed, rounds)
+    return classifier.BoostedClassifier(features, seed, rounds)
 
 
 def boosted_regressor(features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> Pipeline:
     """Boosted regression on the label, which knows nothing of lists; the listwise ranker is measured against it."""
-    return _pipeline("regression", features, seed, rounds)
-
-
-def _pipeline(kind: str, features: list[str], seed: int, rounds: int) -> Pipeline:
     stages = [
         VectorAssembler(inputCols=features, outputCol="assembled"),
         StandardScaler(inputCol="assembled", outputCol="features"),
-        _estimator(kind, seed, rounds),
+        GBTRegressor(featuresCol="features", labelCol="label", maxDepth=5, seed=seed, stepSize=BOOST_RATE, maxIter=rounds),
     ]
     return Pipeline(stages=stages)
 

@@ -8,10 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from brightshelf import session
-from brightshelf.operators import boosting, factors, models, neural
+from brightshelf.operators import boosting, classifier, factors, models, neural
 from brightshelf.queries import training
 from tests.test_queries import QUERIES, SF
 
@@ -156,6 +158,83 @@ def test_tasks_follow_cores_and_are_bounded():
     assert [session.tasks_for(n, 12) for n in (0, 1_000, 1_750_000, 108_000_000)] == [1, 1, 12, 216]
 
 
+# --- boosted classifier ---------------------------------------------------------------------
+
+
+def labelled_rows(spark, n=400):
+    """Labels that follow from a and b, with noise; few values, so that every one has a bin of its own."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(n):
+        a, b, c = (int(rng.integers(k)) for k in (19, 23, 7))
+        rows.append((float(rng.random() < 1 / (1 + np.exp(-(a - 9) * (b - 11) / 20 - 0.3 * c))), a / 3, b / 7, float(c)))
+    return spark.createDataFrame(rows, "label double, a double, b double, c double")
+
+
+def test_classifier_equals_sparks_without_draws(spark, monkeypatch):
+    """With all rows and features in every tree nothing is left to chance: scores are those of Spark's boosted classifier."""
+    monkeypatch.setattr(classifier, "ROW_SHARE", 1.0)
+    monkeypatch.setattr(classifier, "FEATURE_SHARE", 1.0)
+    names, rows = ["a", "b", "c"], labelled_rows(spark).repartition(3)
+    got = models.score(models.ranker("pairwise", names, rounds=5).fit(rows), rows)
+    spark_rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    model = GBTClassifier(maxIter=5, maxDepth=6, stepSize=0.1, seed=1).fit(spark_rows)
+    want = models.score(model, spark_rows).select(*names, "label", "score")
+    for x, y in zip(sorted(got.collect(), key=lambda r: (r.a, r.b, r.c, r.label)), sorted(want.collect(), key=lambda r: (r.a, r.b, r.c, r.label))):
+        assert x.score == pytest.approx(y.score, abs=1e-9)
+
+
+def test_passes_do_not_grow_with_equal_rows(spark):
+    """Every level of every tree went through all rows; equal ones are now one cell with a number."""
+    rows = labelled_rows(spark)
+    many = rows.crossJoin(spark.range(20).select()).repartition(4)
+    (_, few), (_, all_of) = (classifier._cells(x, ["a", "b", "c"], "label") for x in (rows, many))
+    assert {(bytes(r.codes), r.label, 20 * r.n, r.draw) for r in few.collect()} == {(bytes(r.codes), r.label, r.n, r.draw) for r in all_of.collect()}
+    assert all_of.agg(F.sum("n")).first()[0] == 8000
+
+
+def test_differences_have_bounded_cells(spark):
+    """Differences within a user say nothing about the user, so their cells are those of the product features."""
+    rows = training.sampled_rows(spark, SF)
+    cuts, cells = classifier._cells(training._differences(rows), training.FEATURES, "label")
+    assert cuts[:3] == [[], [], []] and all(len(c) < classifier.BINS for c in cuts)
+    assert cells.count() <= 2 * classifier.BINS**3
+
+
+def test_a_frequent_value_takes_no_bins_from_the_rest(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, 0.0).otherwise(F.col("id") / 7).alias("x"), F.col("id").cast("double").alias("y"))
+    x, y = classifier.cuts_of(rows, ["x", "y"])
+    assert len(x) == len(y) == classifier.BINS - 1
+    assert max(abs(c - 1250 * (k + 1)) for k, c in enumerate(y)) < 100
+
+
+@pytest.mark.parametrize("n", [1, 5, 32, 400])
+def test_draws_of_equal_rows(n):
+    got = classifier.drawn(np.full(40_000, n), np.arange(40_000), 3, 0.8)
+    assert set(np.unique(got)) <= set(range(n + 1))
+    assert got.mean() == pytest.approx(0.8 * n, rel=0.01) and got.var() == pytest.approx(0.16 * n, rel=0.05)
+    assert (got == classifier.drawn(np.full(40_000, n), np.arange(40_000), 3, 0.8)).all()
+    assert (got != classifier.drawn(np.full(40_000, n), np.arange(40_000), 4, 0.8)).any()
+
+
+def test_classifier_is_stored_and_refuses_bad_rows(spark, tmp_path):
+    rows, kept = labelled_rows(spark), set(spark.sparkContext._jsc.getPersistentRDDs())
+    model = models.ranker("pairwise", ["a", "b", "c"], rounds=12).fit(rows)
+    assert len(model.trees) == 12 and set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+    models.save(model, f"{tmp_path}/boosted")
+    scored = models.score(model, rows).collect()
+    assert sorted(models.score(models.load(f"{tmp_path}/boosted"), rows).collect()) == sorted(scored)
+    assert all(0 < r.score < 1 for r in scored)
+    fit = lambda df: models.ranker("pairwise", ["a", "b"], rounds=1).fit(df)
+    with pytest.raises(ValueError, match="no rows"):
+        fit(rows.where("false"))
+    for bad in (rows.withColumn("label", F.lit(2.0)), rows.withColumn("label", F.lit(None).cast("double")), rows.withColumn("b", F.lit(None).cast("double"))):
+        with pytest.raises(Exception, match="labels must be|null or NaN"):
+            fit(bad)
+    one = fit(rows.withColumn("label", F.lit(1.0)))
+    assert {round(r.score, 6) for r in models.score(one, rows).collect()} == {round(1 / (1 + math.exp(-2)), 6)}
+
+
 # --- networks -------------------------------------------------------------------------------
 
 
