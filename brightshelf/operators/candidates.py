@@ -58,8 +58,9 @@ def collaborative(history: DataFrame, strengths: DataFrame, limit: int) -> DataF
 
 
 def content_based(history: DataFrame, item_features: DataFrame, limit: int) -> DataFrame:
-    """Items whose feature vectors are close to the history, by cosine."""
-    return from_similar_items(history, sim.similar_items(item_features, limit), limit, "content")
+    """Items whose feature vectors are close to the history, by cosine; neighbours are looked for where a history asks for them."""
+    wanted = materialise(history.select("item_id").distinct(), "history-items")
+    return from_similar_items(history, sim.similar_items(item_features, limit, wanted=wanted), limit, "content")
 
 
 def from_given_pairs(history: DataFrame, pairs: DataFrame, limit: int, source: str) -> DataFrame:

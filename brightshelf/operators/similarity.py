@@ -93,15 +93,21 @@ def _best_of(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int):
 def _best_in_block(queries: np.ndarray, items: np.ndarray, k: int, self_at: np.ndarray | None):
     """(row, column, score) of the k best items per query row; ties go to the lower column."""
     step = max(1, SCORE_CELLS // max(1, len(items)))
+    # One array for the scores of all steps: a new one each time costs more than the product.
+    columns, held = np.ascontiguousarray(items.T), np.empty((min(step, len(queries)), len(items)))
     for start in range(0, len(queries), step):
-        scores = queries[start : start + step] @ items.T
+        part = queries[start : start + step]
+        scores = np.matmul(part, columns, out=held[: len(part)])
         if self_at is not None:
             own = self_at[start : start + step]
             rows = np.nonzero(own >= 0)[0]
             scores[rows, own[rows]] = -np.inf
         if np.isnan(scores).any():
             scores[np.isnan(scores)] = -np.inf
-        r, c = np.nonzero((scores >= _kth_at_least(scores, k)) & (scores > -np.inf))
+        # In one dimension: over rows and columns `nonzero` takes longer than the product.
+        r, c = np.divmod(np.flatnonzero(scores >= _kth_at_least(scores, k)), max(1, len(items)))
+        real = scores[r, c] > -np.inf
+        r, c = r[real], c[real]
         r, c, best = _best_of(r, c, scores[r, c], k)
         yield r + start, c, best
 
@@ -344,9 +350,13 @@ def _runs(ids: pa.Array) -> list[int]:
     return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist() if len(codes) else []
 
 
-def similar_items(items: DataFrame, k: int, item_id: str = "item_id", vector: str = "vector") -> DataFrame:
-    """k most similar other items per item by cosine: (item_id, similar_item_id, similarity, rank)."""
-    return top_k_similar(items, items, k, item_id, item_id, vector, exclude_self=True).withColumnRenamed(
+def similar_items(items: DataFrame, k: int, item_id: str = "item_id", vector: str = "vector", wanted: DataFrame | None = None) -> DataFrame:
+    """k most similar other items per item by cosine: (item_id, similar_item_id, similarity, rank).
+
+    With `wanted` only for the items of that table; they are still compared with all.
+    """
+    asked = items if wanted is None else items.join(wanted, item_id, "left_semi")
+    return top_k_similar(asked, items, k, item_id, item_id, vector, exclude_self=True).withColumnRenamed(
         "score", "similarity"
     )
 

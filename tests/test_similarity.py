@@ -255,3 +255,15 @@ def test_similar_items_of_histories(spark, monkeypatch, long_history):
     assert {(r.user_id, r.item_id, r.score, r["rank"]) for r in out.collect()} == want
     if long_history == 1024:  # one exchange, of the histories
         assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_neighbours_are_looked_for_where_a_history_asks(spark, monkeypatch):
+    """All items were compared with all, though only lists of items in a history are read."""
+    asked, real = [], candidates.sim.top_k_similar
+    monkeypatch.setattr(candidates.sim, "top_k_similar", lambda queries, items, *rest, **more: asked.append((queries.count(), items.count())) or real(queries, items, *rest, **more))
+    vectors = spark.createDataFrame([(i, [float(i), float(i % 3), 1.0]) for i in range(40)], "item_id long, vector array<double>")
+    history = spark.createDataFrame([(1, 3), (1, 5), (2, 3), (2, None), (3, 99)], "user_id long, item_id long")
+    got = {(r.user_id, r.item_id, r.rank): r.score for r in candidates.content_based(history, vectors, 4).collect()}
+    assert asked == [(2, 40)]
+    every = candidates.from_similar_items(history, candidates.sim.similar_items(vectors, 4), 4, "content")
+    assert got == {(r.user_id, r.item_id, r.rank): r.score for r in every.collect()} and len(got) == 8
