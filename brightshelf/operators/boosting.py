@@ -2,8 +2,9 @@
 
 Rows of one list (the candidates of one user) are stored together, long lists in pieces of bounded
 size. Blocks of pieces are kept by the executors while the trees grow. A pass per tree brings the scores
-up to date and forms the gradient of every row from the swaps with the head of its list; a pass per
-level adds up gradient histograms per tree node, feature and bin, and the driver chooses the splits.
+up to date, forms the gradient of every row from the swaps with the head of its list, and adds up those of
+rows with the same bin codes; a pass per level reads these sums only, adds up gradient histograms per
+tree node, feature and bin, and the driver chooses the splits.
 
 A pair of rows counts if its better placed row is among the first `head` of the list. A piece
 of a long list is told that head only: it makes the gradients of its own rows and the share its
@@ -20,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightshelf.session import checkpointed, drop_checkpoint, materialise, small_side, tasks_for
@@ -31,6 +33,10 @@ LEAST_ROWS, LEAST_HESSIAN = 20, 1e-3
 STORE_ROUNDS = 10
 # Rows of a block, at which its arrays stay in the processor's cache.
 BLOCK_ROWS = 32_768
+# Pairs of a row and a head row formed at a time; from so many rows on a list is gone through along its rows.
+PAIRS, LONG = 32_768, 64
+# Differences of scores whose exponential is a product of two.
+SPAN = 300
 # Up to so many tasks hand their histograms straight to the driver.
 DIRECT_TASKS = 64
 
@@ -45,8 +51,7 @@ def gains_of(relevance: np.ndarray) -> np.ndarray:
 class Block:
     """Pieces of lists, their rows one behind the other, sorted by item within a piece.
 
-    `heads` has the head of the whole list by piece, for pieces of split lists. `pulls` are
-    gradients made from the scores: (bin codes, draws, gradient and curvature, 1 if these rows count).
+    `heads` has the head of the whole list by piece, for pieces of split lists.
     """
 
     def __init__(self, batch: pa.RecordBatch):
@@ -60,7 +65,7 @@ class Block:
         self.ideal = batch.column("ideal").to_numpy()
         self.lists = batch.column("list_id")
         self.split = np.flatnonzero(batch.column("pieces").to_numpy() > 1)
-        self.heads, self.pulls = {}, []
+        self.heads = {}
         if "head_s" in batch.schema.names:
             for p in self.split.tolist():
                 s, rel, draw = (batch.column(f"head_{c}")[p].values.to_numpy() for c in ("s", "rel", "draw"))
@@ -85,38 +90,33 @@ class Block:
         of, s = self.of[order], scores[order]
         gain = gains_of(self.relevance[order]) * shares[of]
         top, top_gain, at = np.zeros((n, head)), np.zeros((n, head)), np.full((n, head), -1)
+        top += s[self.first[:-1], None] if n else 0  # places that a short list does not have
+        tops = np.minimum(np.diff(self.first), head)
         inside = np.flatnonzero(place < head)
         cells = of[inside], place[inside]
         top[cells], top_gain[cells], at[cells] = s[inside], gain[inside], inside
         place = np.minimum(place, head)
         for p, best in self.heads.items():
-            at[p] = -1
-            top[p, : len(best.s)], top_gain[p, : len(best.s)] = best.s, gains_of(best.rel) * shares[p]
+            at[p], tops[p] = -1, len(best.s)
+            top[p], top[p, : len(best.s)], top_gain[p, : len(best.s)] = best.s[0], best.s, gains_of(best.rel) * shares[p]
             own = slice(self.first[p], self.first[p + 1])
             draws = self.draws[order[own]]
             by_draw = np.argsort(best.draw)
             found = by_draw[np.minimum(np.searchsorted(best.draw, draws, sorter=by_draw), len(by_draw) - 1)]
             place[own] = np.where(best.draw[found] == draws, found, head)
         weights = np.r_[1 / np.log2(np.arange(head) + 2.0), 0.0]
-        weight, of = weights[place], of.astype(np.intp)
+        weight = weights[place]
         g, h = np.zeros(len(s)), np.zeros(len(s))
         top_g, top_h = np.zeros((n, head)), np.zeros((n, head))
-        longest = max([*np.diff(self.first), *(len(b.s) for b in self.heads.values())], default=0)
-        for a in range(min(head, longest)):
-            more = gain - top_gain[:, a].take(of)  # positive: the row should stand before the head row
-            gap = s - top[:, a].take(of)
-            gap *= np.sign(more)
-            odds = np.exp(np.clip(gap, -50, 50, out=gap), out=gap)
-            odds += 1
-            # Rows placed before the head row, or being it, differ from it by no positive weight.
-            more *= np.maximum(weights[a] - weight, 0)
-            more /= odds
-            bend = np.abs(more)
-            bend *= 1 - 1 / odds
-            g += more
-            h += bend
-            top_g[:, a] -= np.bincount(of, more, n)
-            top_h[:, a] += np.bincount(of, bend, n)
+        for lists, m, width in self.alike(tops):
+            row = self.first[lists][:, None] + np.arange(m)
+            real = row < self.first[lists + 1][:, None]
+            row = np.where(real, row, 0)
+            # What fills up a shorter list weighs more than any place, so that no pair of it counts.
+            pairs = pulls(gain[row], s[row], np.where(real, weight[row], 2.0), top_gain[lists, :width], top[lists, :width], weights[:width])
+            g[row[real]], h[row[real]] = pairs[0][real], pairs[1][real]
+            top_g[lists, :width] -= pairs[2]
+            top_h[lists, :width] += pairs[3]
         held = at >= 0
         g[at[held]] += top_g[held]
         h[at[held]] += top_h[held]
@@ -125,21 +125,90 @@ class Block:
         away = [np.concatenate([t[p, : len(b.s)] for p, b in self.heads.items()] or [np.zeros(0)]) for t in (top_g, top_h)]
         return own, np.stack(away), np.repeat(np.array(list(self.heads), np.int64), [len(b.s) for b in self.heads.values()])
 
-    def advance(self, tree: Tree | None) -> Block:
-        """Bring the scores up to date with one more tree."""
-        if tree:
-            self.scores = self.scores + tree.predict(self.codes)
-        return self
-
-    def pull(self, head: int) -> Block:
-        """Form the gradients of the present scores."""
-        own, away, piece_of = self.gradients(self.scores, head)
-        self.pulls = [(self.codes, self.draws, own, 1)]
-        if len(piece_of):
-            codes = np.frombuffer(b"".join(c for b in self.heads.values() for c in b.codes), np.uint8).reshape(len(piece_of), -1)
-            self.pulls.append((codes, np.concatenate([b.draw for b in self.heads.values()]), away, 0))
-        self.heads = {}
-        return self
+    def alike(self, tops: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Pieces of like length together: (pieces, rows of the longest, most head rows)."""
+        lengths = np.diff(self.first)
+        by_length = np.argsort(-lengths, kind="stable")
+        at = 0
+        while at < len(by_length):
+            m = int(lengths[by_length[at]])
+            short = np.searchsorted(-lengths[by_length], -m / 2, "right")
+            lists = by_length[at : max(at + 1, min(int(short), at + PAIRS // max(1, m * int(tops.max()))))]
+            yield lists, m, int(tops[lists].max())
+            at += len(lists)
+
+
+def pulls(gain: np.ndarray, s: np.ndarray, weight: np.ndarray, top_gain: np.ndarray, top: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums (gradient, curvature) by row and by head row of all their pairs, for lists of one length.
+
+    Arrays by list and row: gain, score and weight of the place; by list and head row: gain and score. Rows placed
+    before a head row, or being it, differ from it by no positive weight.
+    """
+    if s.shape[1] >= LONG:  # lists, head rows, rows
+        rows, heads, by_row, by_head = (lambda x: x[:, None, :]), (lambda x: x[:, :, None]), 1, 2
+    else:  # head rows, rows, lists
+        rows, heads, by_row, by_head = (lambda x: np.ascontiguousarray(x.T)[None]), (lambda x: np.ascontiguousarray(x.T)[:, None]), 0, 1
+    best = top[:, :1]
+    if max(np.ptp(top), (best - s).max()) < SPAN:
+        odds = rows(np.exp(s - best)) * heads(np.exp(best - top))
+    else:
+        odds = np.exp(np.clip(rows(s) - heads(top), -50, 50))
+    more = rows(gain) - heads(top_gain)  # positive: the row should stand before the head row
+    behind = 1 / (odds + 1)
+    odds *= behind
+    wrong = np.where(more > 0, behind, odds)
+    more *= np.maximum(heads(weights[None]) - rows(weight), 0)
+    wrong *= more
+    bend = np.abs(more, out=more)
+    bend *= behind
+    bend *= odds
+    found = wrong.sum(axis=by_row), bend.sum(axis=by_row), wrong.sum(axis=by_head), bend.sum(axis=by_head)
+    return found if by_row else tuple(x.T for x in found)
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of bin codes in a fixed order, and which of them each row is."""
+    if not codes.size:
+        return codes[:1], np.zeros(len(codes), np.int64)
+    whole = np.ascontiguousarray(codes).view(np.dtype((np.void, codes.shape[1])))[:, 0]
+    found, of = np.unique(whole, return_inverse=True)
+    return found.view(np.uint8).reshape(len(found), -1), of
+
+
+class Part:
+    """Blocks of a task. Rows with the same bin codes are a cell: they have the same score and meet in the histograms."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+        ends = np.cumsum([len(b.codes) for b in blocks])
+        self.codes, of = distinct(np.concatenate([b.codes for b in blocks])) if blocks else (np.zeros((0, 0), np.uint8), np.zeros(0, np.int64))
+        for b, cell in zip(blocks, np.split(of, ends[:-1])):
+            b.cell, b.codes, b.scores = cell.astype(np.int32), None, None
+            if not len(b.split):
+                b.items = b.lists = None
+
+    def pull(self, scores: np.ndarray, head: int, seed: int) -> Sums:
+        """Gradients of the present scores of the cells."""
+        cells, values, away = [np.zeros(0, np.int32)], [np.zeros((2, 0))], []
+        for b in self.blocks:
+            own, gone, piece_of = b.gradients(scores[b.cell], head)
+            keep = np.flatnonzero(_taken(b.draws, seed, ROW_SHARE))
+            cells.append(b.cell[keep]), values.append(own[:, keep])
+            if len(piece_of):
+                codes = np.frombuffer(b"".join(c for x in b.heads.values() for c in x.codes), np.uint8).reshape(len(piece_of), -1)
+                away.append((codes, np.concatenate([x.draw for x in b.heads.values()]), gone))
+        of, (g, h) = np.concatenate(cells), np.concatenate(values, axis=1)
+        sums = np.stack([np.bincount(of, w, len(self.codes)) for w in (g, h, None)])
+        return Sums(self.codes, scores, [(self.codes, None, sums), *away] if self.blocks else [])
+
+
+@dataclass
+class Sums:
+    """Cells of a task with their scores; `pulls` are sums of gradients: (bin codes, draws if not drawn yet, values)."""
+
+    codes: np.ndarray
+    scores: np.ndarray
+    pulls: list
 
 
 @dataclass
@@ -308,8 +377,11 @@ def list_pieces(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [model.codes(matrix_of(x.values, len(features))).tobytes() if features else b"" for x in batch.column("x")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(codes, pa.binary())], names=[*kept, "codes"])
+            x = batch.column("x")
+            codes = model.codes(matrix_of(x.flatten(), len(features))) if features else np.zeros((0, 0), np.uint8)
+            ends = np.r_[0, np.cumsum(np.asarray(x.value_lengths(), np.int64))] * len(features)
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], packed], names=[*kept, "codes"])
 
     kept = ["list_id", "pieces", "items", "draws", "relevance", "scores"]
     coded = grouped.mapInArrow(code, ", ".join(f"{c} {grouped.schema[c].dataType.simpleString()}" for c in kept) + ", codes binary")
@@ -389,8 +461,13 @@ def _taken(draws: np.ndarray, seed: int, share: float) -> np.ndarray:
     return hashed(draws, seed) < np.uint64(int(share * 2**64) - 1)
 
 
-def _blocks_of(pieces: DataFrame) -> RDD:
-    """A list of blocks per task; the blocks of all tasks are alike in size, whatever files the pieces lie in."""
+def _alone(rdd: RDD) -> RDD:
+    """The same RDD, its elements stored one by one: two such RDDs are zipped as they are."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
+def _parts_of(pieces: DataFrame) -> RDD:
+    """The blocks of each task; the blocks of all tasks are alike in size, whatever files the pieces lie in."""
     n_rows = pieces.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
     tasks = tasks_for(n_rows, pieces.sparkSession.sparkContext.defaultParallelism)
 
@@ -399,39 +476,45 @@ def _blocks_of(pieces: DataFrame) -> RDD:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
     packed = pieces.repartition(tasks).mapInArrow(pack, "block binary").rdd
-    return packed.mapPartitions(lambda rows: [[pickle.loads(r.block) for r in rows]])
+    return _alone(packed.mapPartitions(lambda rows: [Part([pickle.loads(r.block) for r in rows])])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _told_heads(blocks_of: RDD, head: int) -> RDD:
-    """The blocks, each told the head of every split list it has a piece of."""
-    n = blocks_of.getNumPartitions()
+def _told_heads(scored: RDD, head: int) -> RDD:
+    """The parts (with the scores of their cells), each block told the head of every split list it has a piece of."""
+    n = scored.getNumPartitions()
 
-    def best(task: int, parts):
-        for block in (b for part in parts for b in part):
-            order, place = block.order(block.scores)
-            for p in block.split:
-                rows = order[block.first[p] : block.first[p + 1]][:head]
-                items = block.items.take(pa.array(rows)).to_pylist()
-                yield block.lists[int(p)].as_py(), ({task}, [(-block.scores[r], i, block.relevance[r], block.draws[r], block.codes[r].tobytes()) for r, i in zip(rows, items)])
+    def best(task: int, pairs):
+        for part, scores in pairs:
+            for block in part.blocks:
+                s = scores[block.cell]
+                order, place = block.order(s)
+                for p in block.split:
+                    rows = order[block.first[p] : block.first[p + 1]][:head]
+                    items = block.items.take(pa.array(rows)).to_pylist()
+                    codes = part.codes[block.cell[rows]]
+                    yield block.lists[int(p)].as_py(), ({task}, [(-s[r], i, block.relevance[r], block.draws[r], c.tobytes()) for r, i, c in zip(rows, items, codes)])
 
     def tell(pair):
-        part, heads = pair
-        for block in part:
+        (part, scores), heads = pair
+        for block in part.blocks:
             for p in block.split.tolist():
                 s, item, rel, draw, codes = zip(*heads[block.lists[p].as_py()])
                 block.heads[p] = Head(-np.array(s), np.array(rel), np.array(draw), list(item), list(codes))
-        return part
+        return part, scores
 
-    whole = blocks_of.mapPartitionsWithIndex(best).reduceByKey(lambda x, y: (x[0] | y[0], sorted(x[1] + y[1], key=lambda r: r[:2])[:head]), n)
+    whole = scored.mapPartitionsWithIndex(best).reduceByKey(lambda x, y: (x[0] | y[0], sorted(x[1] + y[1], key=lambda r: r[:2])[:head]), n)
     sent = whole.flatMap(lambda kv: [(task, (kv[0], kv[1][1])) for task in kv[1][0]]).partitionBy(n, int)
-    return blocks_of.zip(sent.mapPartitions(lambda rows: [dict(v for _, v in rows)])).map(tell)
+    return scored.zip(sent.mapPartitions(lambda rows: [dict(v for _, v in rows)])).map(tell)
 
 
-def _pulled(blocks_of: RDD, tree: Tree | None, head: int, split_lists: bool) -> RDD:
-    """The blocks with scores that include `tree`, and with the gradients of these scores."""
-    ahead = blocks_of.map(lambda part: [b.advance(tree) for b in part])
-    told = _told_heads(ahead, head) if split_lists else ahead
-    return told.map(lambda part: [b.pull(head) for b in part]).persist(StorageLevel.MEMORY_AND_DISK)
+def _pulled(parts: RDD, sums: RDD | None, tree: Tree | None, head: int, split_lists: bool, seed: int) -> RDD:
+    """A list of `Sums` per task: the scores of `sums` with `tree` added, and the gradients of these scores."""
+    if sums is None:
+        scored = parts.map(lambda part: (part, np.zeros(len(part.codes))))
+    else:
+        scored = parts.zip(sums).map(lambda pair: (pair[0], pair[1][0].scores + (tree.predict(pair[1][0].codes) if tree else 0)))
+    told = _told_heads(scored, head) if split_lists else scored
+    return _alone(told.map(lambda pair: [pair[0].pull(pair[1], head, seed)])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[int], n_bins: int, seed: int = 0) -> np.ndarray:
@@ -442,13 +525,13 @@ def histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[in
 
     def run(parts):
         total = np.zeros(shape)
-        for codes, draws, values, count in (pull for part in parts for block in part for pull in block.pulls):
+        for codes, draws, values in (pull for part in parts for block in part for pull in block.pulls):
             node = lookup[tree.leaf_of(codes)]
             keep = np.flatnonzero(node >= 0 if draws is None else _taken(draws, seed, ROW_SHARE) & (node >= 0))
-            node, (g, h) = node[keep], values[:, keep]
+            node, values = node[keep], values[:, keep]
             for k, f in enumerate(features):
                 at = node * n_bins + codes[keep, f]
-                for v, weights in enumerate((g, h, None)[: 2 + count]):
+                for v, weights in enumerate(values):
                     total[:, k, :, v] += np.bincount(at, weights, shape[0] * n_bins).reshape(shape[0], n_bins)
         yield total
 
@@ -502,32 +585,34 @@ def fit_listwise(
     split_lists = not pieces.where("pieces > 1").isEmpty()
     rng = np.random.default_rng(seed)
     spark, forest = rows.sparkSession, Forest(features, cuts, [])
-    blocks_of, stored, tree = _blocks_of(pieces), None, None
+    parts, sums, stored, tree = _parts_of(pieces), None, None, None
     for number in range(rounds):
-        before, blocks_of = blocks_of, _pulled(blocks_of, tree, head, split_lists)
+        draw = seed + number // ROW_SHARE_ROUNDS
+        before, sums = sums, _pulled(parts, sums, tree, head, split_lists, draw)
         if number % STORE_ROUNDS == STORE_ROUNDS - 1 and number + 1 < rounds:
-            checkpointed(spark, blocks_of)
+            checkpointed(spark, sums)
         chosen = sorted(rng.permutation(len(features))[: max(1, round(FEATURE_SHARE * len(features)))].tolist())
         grown, open_nodes, n_leaves = Tree(), [0], 1
         while open_nodes and n_leaves < leaves:
-            sums = histograms(blocks_of, grown, open_nodes, chosen, n_bins, seed + number // ROW_SHARE_ROUNDS)
-            splits = [(*s, node) for s, node in zip(best_splits(sums), open_nodes) if s]
+            found = histograms(sums, grown, open_nodes, chosen, n_bins, draw)
+            splits = [(*s, node) for s, node in zip(best_splits(found), open_nodes) if s]
             open_nodes = []
             for gain, f, b, values, node in sorted(splits, reverse=True)[: leaves - n_leaves]:
                 open_nodes += grown.split(node, chosen[f], b, gain, values)
                 n_leaves += 1
-        if number:
+        if before:
             before.unpersist()
-        if blocks_of.isCheckpointed():
+        if sums.isCheckpointed():
             drop_checkpoint(spark, stored)
-            stored = blocks_of
+            stored = sums
         tree = grown if n_leaves > 1 else None
         if tree:
             forest.trees.append(tree)
         elif len(chosen) == len(features):
             break
-    if rounds:
-        blocks_of.unpersist()
+    if sums:
+        sums.unpersist()
+    parts.unpersist()
     drop_checkpoint(spark, stored)
     return forest
 

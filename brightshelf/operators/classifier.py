@@ -1,10 +1,11 @@
-"""Boosted classifier: trees grown on the log loss of labels 0 and 1.
+"""Boosted classifier and regressor: trees grown on the log loss of labels 0 and 1, or on squared errors.
 
 Rows with the same bins and label have the same score in every round, so they are kept once, with their
 number. Blocks of such cells are kept by the executors while the trees grow: a pass per tree brings
 the scores up to date, draws how many rows of each cell the tree sees and forms their residual; a pass
 per level adds up histograms, from which the driver chooses the splits. Where no two rows are
-alike a cell is a row, and the passes are the same.
+alike a cell is a row, and the passes are the same. The regressor takes all rows and features, and keeps rows
+with the same bins once whatever their labels, with the mean of these.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from brightshelf.session import checkpointed, discard, drop_checkpoint, material
 
 # Settings of the boosted classifier.
 RATE, DEPTH, BINS, FEATURE_SHARE, ROW_SHARE = 0.1, 6, 32, 0.8, 0.8
+REGRESSOR_DEPTH = 5
 # Up to so many equal rows the number drawn comes from the exact distribution, beyond from its normal limit.
 EXACT_DRAWS = 32
 # Accuracy of the quantiles: their ranks are off by a part in so many.
@@ -63,7 +65,24 @@ class Cells:
             self.scores = self.scores + tree.predict(self.codes)
             target *= 4 / (1 + np.exp(np.minimum(2 * self.signs * self.scores, 700)))
         taken = drawn(self.n, self.draws, seed, share)
-        self.pulls = [(self.codes, None, np.stack([taken * target, taken]), 0)]
+        self.pulls = [(self.codes, None, np.stack([taken * target, taken]))]
+        return self
+
+
+class Means(Cells):
+    """Rows with equal bins of a part of the table: bin codes, mean label, number of rows and score."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        super().__init__(batch, width)
+        self.labels = batch.column("label").to_numpy()
+
+    def pull(self, tree: Tree | None, seed: int, share: float) -> Means:
+        """The first tree is grown on the labels, every later one on the falling gradient of (label - score)^2."""
+        target = self.labels
+        if tree:
+            self.scores = self.scores + tree.predict(self.codes)
+            target = 2 * (self.labels - self.scores)
+        self.pulls = [(self.codes, None, np.stack([self.n * target, self.n]))]
         return self
 
 
@@ -84,10 +103,13 @@ def cuts_of(rows: DataFrame, columns: list[str]) -> list[list[float]]:
     return list(out.values())
 
 
-def _cells(rows: DataFrame, features: list[str], label: str) -> tuple[list[list[float]], DataFrame]:
-    """Cut points of the features, and the cells: codes, label, n, draw."""
+def _cells(rows: DataFrame, features: list[str], label: str, means: bool = False) -> tuple[list[list[float]], DataFrame]:
+    """Cut points of the features, and the cells: codes, label, n, draw; with `means` one cell whatever the labels."""
     y = F.col(label).cast("double")
-    y = F.when(y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
+    if means:
+        y = F.when(y.isNotNull() & ~F.isnan(y), y).otherwise(F.raise_error(F.lit("labels must be numbers")))
+    else:
+        y = F.when(y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
     names = [f"x{i}" for i in range(len(features))]
     with removing_shuffles(rows.sparkSession):
         kept = materialise(rows.select(y.alias("label"), *[checked(c).alias(n) for c, n in zip(features, names)]), "classifier-rows")
@@ -103,19 +125,23 @@ def _cells(rows: DataFrame, features: list[str], label: str) -> tuple[list[list[
 
     coded = kept.select("label", F.array(*names).alias("x")).mapInArrow(code, "label double, codes binary")
     with removing_shuffles(rows.sparkSession):
-        cells = materialise(coded.groupBy("codes", "label").agg(F.count("*").alias("n")).withColumn("draw", F.xxhash64("codes", "label")), "cells")
+        if means:
+            cells = coded.groupBy("codes").agg(F.avg("label").alias("label"), F.count("*").alias("n"))
+        else:
+            cells = coded.groupBy("codes", "label").agg(F.count("*").alias("n"))
+        cells = materialise(cells.withColumn("draw", F.xxhash64("codes", "label")), "cells")
     discard(kept)
     return cuts, cells
 
 
-def _kept(cells: DataFrame, width: int) -> RDD:
+def _kept(cells: DataFrame, width: int, kind: type = Cells) -> RDD:
     """A list of blocks per task."""
     tasks = tasks_for(cells.count(), cells.sparkSession.sparkContext.defaultParallelism)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Cells(batch.slice(at, BLOCK_ROWS), width))], pa.binary())], names=["block"])
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(kind(batch.slice(at, BLOCK_ROWS), width))], pa.binary())], names=["block"])
 
     packed = cells.repartition(tasks).mapInArrow(pack, "block binary").rdd
     return packed.mapPartitions(lambda rows: [[pickle.loads(r.block) for r in rows]])
@@ -130,11 +156,24 @@ def fit_classifier(rows: DataFrame, features: list[str], label: str = "label", r
     cuts, cells = _cells(rows, features, label)
     if cells.isEmpty():
         raise ValueError("no rows to fit a classifier on")
+    return _boosted(cells, Cells, Forest(features, cuts, [], True), DEPTH, FEATURE_SHARE, rounds, seed)
+
+
+def fit_regressor(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 100, seed: int = 42) -> Forest:
+    """Boosted trees whose scores are labels, on all rows and features; splits and leaves as of the classifier."""
+    cuts, cells = _cells(rows, features, label, means=True)
+    if cells.isEmpty():
+        raise ValueError("no rows to fit a regressor on")
+    return _boosted(cells, Means, Forest(features, cuts, []), REGRESSOR_DEPTH, 1.0, rounds, seed)
+
+
+def _boosted(cells: DataFrame, kind: type, forest: Forest, depth: int, feature_share: float, rounds: int, seed: int) -> Forest:
+    """`forest` with `rounds` trees grown on the cells, which are then deleted."""
+    features, cuts, spark = forest.features, forest.cuts, cells.sparkSession
     n_bins = max(map(len, cuts), default=0) + 1
-    some = math.ceil(FEATURE_SHARE * len(features))
+    some = math.ceil(feature_share * len(features))
     rng = np.random.default_rng(seed)
-    spark, forest = rows.sparkSession, Forest(features, cuts, [], True)
-    blocks_of, stored, tree = _kept(cells, len(features)), None, None
+    blocks_of, stored, tree = _kept(cells, len(features), kind), None, None
     for number in range(rounds):
         before, last = blocks_of, tree
         blocks_of = before.map(lambda part, last=last, number=number: [b.pull(last, seed + number, ROW_SHARE) for b in part])
@@ -142,7 +181,7 @@ def fit_classifier(rows: DataFrame, features: list[str], label: str = "label", r
         if number % STORE_ROUNDS == STORE_ROUNDS - 1 and number + 1 < rounds:
             checkpointed(spark, blocks_of)
         rate, tree, open_nodes = RATE if number else 1.0, Tree(), [0]
-        for level in range(DEPTH):
+        for level in range(depth):
             sums = histograms(blocks_of, tree, open_nodes, list(range(len(features))), n_bins)
             if not level:
                 g, n = sums[0, 0, :, 0].sum(), sums[0, 0, :, 1].sum()
@@ -173,3 +212,13 @@ class BoostedClassifier:
 
     def fit(self, rows: DataFrame) -> Forest:
         return fit_classifier(rows, self.features, rounds=self.rounds, seed=self.seed)
+
+
+class BoostedRegressor:
+    """Unfitted regressor; rows need label besides the features."""
+
+    def __init__(self, features: list[str], seed: int = 42, rounds: int = 100):
+        self.features, self.seed, self.rounds = features, seed, rounds
+
+    def fit(self, rows: DataFrame) -> Forest:
+        return fit_regressor(rows, self.features, rounds=self.rounds, seed=self.seed)

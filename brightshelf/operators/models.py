@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightshelf.operators import boosting, classifier, neural
 
-# Settings of the boosted rankers and the boosted regressor.
-BOOST_RATE, BOOST_ROUNDS = 0.1, 100
+# Fixed value: trees of the boosted rankers and the boosted regressor.
+BOOST_ROUNDS = 100
 
 
 # Names under which a ranker can be asked for.
@@ -41,14 +39,9 @@ def ranker(name: str, features: list[str], seed: int = 42, rounds: int = BOOST_R
     return classifier.BoostedClassifier(features, seed, rounds)
 
 
-def boosted_regressor(features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> Pipeline:
+def boosted_regressor(features: list[str], seed: int = 42, rounds: int = BOOST_ROUNDS) -> classifier.BoostedRegressor:
     """Boosted regression on the label, which knows nothing of lists; the listwise ranker is measured against it."""
-    stages = [
-        VectorAssembler(inputCols=features, outputCol="assembled"),
-        StandardScaler(inputCol="assembled", outputCol="features"),
-        GBTRegressor(featuresCol="features", labelCol="label", maxDepth=5, seed=seed, stepSize=BOOST_RATE, maxIter=rounds),
-    ]
-    return Pipeline(stages=stages)
+    return classifier.BoostedRegressor(features, seed, rounds)
 
 
 def score(model, rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from brightshelf import session
@@ -154,6 +155,40 @@ def test_a_tree_forms_gradients_once_on_all_cores(spark, monkeypatch):
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
 
 
+def test_levels_read_sums_of_equal_rows(spark):
+    """Every level went through all rows of all lists; now through the different bin codes of a task."""
+    rows = ranked_rows(spark).withColumn("a", F.floor(F.col("a") * 2).cast("double"))
+    cuts = boosting.cut_points(rows, ["a"])
+    parts = boosting._parts_of(boosting.list_pieces(rows, ["a"], cuts, "user_id", "item_id", "label"))
+    sums = boosting._pulled(parts, None, None, 30, False, 1)
+    tree = boosting.Tree()
+    tree.split(0, 0, 1, 1.0, (0.25, -0.5))
+    later = boosting._pulled(parts, sums, tree, 30, False, 1)
+    (first,), (second,) = sums.collect()[0], later.collect()[0]
+    assert len(first.codes) == len(first.pulls[0][0]) == 4 and len(first.pulls) == 1
+    assert 0.7 * 1200 < first.pulls[0][2][2].sum() < 0.9 * 1200
+    assert second.scores.tolist() == [0.25, 0.25, -0.5, -0.5]
+    # Gradients of a list add up to zero over all its rows, whatever the scores.
+    (part,) = parts.collect()
+    for b in part.blocks:
+        own, _, _ = b.gradients(second.scores[b.cell], 30)
+        assert np.abs(np.bincount(b.of, own[0])).max() < 1e-12
+    for rdd in (parts, sums, later):
+        rdd.unpersist()
+
+
+def test_far_apart_scores_overflow_nothing():
+    """Exponentials of differences are products of two only where neither can overflow."""
+    s = np.array([[900.0, 400.0, 0.0], [1.0, 0.5, 0.0]])
+    one, w = np.ones((2, 3)), np.array([1.0, 0.6, 0.5])
+    gain = one * [0.0, 1.0, 3.0]
+    with np.errstate(all="raise", under="ignore"):
+        both = boosting.pulls(gain, s, one * w, gain, s, w)
+        alone = [boosting.pulls(gain[k : k + 1], s[k : k + 1], one[:1] * w, gain[k : k + 1], s[k : k + 1], w) for k in (0, 1)]
+    for x, a, b in zip(both, *alone):
+        assert np.isfinite(x).all() and x == pytest.approx(np.concatenate([a, b]), abs=1e-15)
+
+
 def test_tasks_follow_cores_and_are_bounded():
     assert [session.tasks_for(n, 12) for n in (0, 1_000, 1_750_000, 108_000_000)] == [1, 1, 12, 216]
 
@@ -184,6 +219,23 @@ def test_classifier_equals_sparks_without_draws(spark, monkeypatch):
         assert x.score == pytest.approx(y.score, abs=1e-9)
 
 
+def test_regressor_equals_sparks(spark):
+    """Spark's boosted regressor went through all rows at every level; cells of equal bins give its scores."""
+    names, rows = ["a", "b", "c"], labelled_rows(spark).withColumn("label", F.col("label") + F.col("c") / 3 + F.col("a") * F.col("b")).repartition(3)
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    got = models.score(models.boosted_regressor(names, rounds=12).fit(rows), rows)
+    spark_rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    want = models.score(GBTRegressor(maxIter=12, maxDepth=5, stepSize=0.1, seed=1).fit(spark_rows), spark_rows).select(*names, "label", "score")
+    for x, y in zip(sorted(got.collect(), key=lambda r: (r.a, r.b, r.c, r.label)), sorted(want.collect(), key=lambda r: (r.a, r.b, r.c, r.label))):
+        assert x.score == pytest.approx(y.score, abs=1e-9)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+    cells = [classifier._cells(x, names, "label", means=True)[1] for x in (rows, rows.withColumn("label", F.col("label") + 1))]
+    assert cells[0].count() == cells[1].count() == rows.select(*names).distinct().count()
+    for bad in (rows.where("false"), rows.withColumn("label", F.lit(None).cast("double")), rows.withColumn("b", F.lit(math.nan))):
+        with pytest.raises(Exception, match="no rows|labels must be|null or NaN"):
+            models.boosted_regressor(names, rounds=1).fit(bad)
+
+
 def test_passes_do_not_grow_with_equal_rows(spark):
     """Every level of every tree went through all rows; equal ones are now one cell with a number."""
     rows = labelled_rows(spark)
