@@ -535,6 +535,10 @@ def histograms(pulled: RDD, tree: Tree, open_nodes: list[int], features: list[in
                     total[:, k, :, v] += np.bincount(at, weights, shape[0] * n_bins).reshape(shape[0], n_bins)
         yield total
 
+    cores = pulled.context.defaultParallelism
+    if len(tree.feature) > 1 and pulled.getNumPartitions() > cores:
+        # The first pass over a tree has made the sums; a task of a later one has little to do and reads those of several.
+        pulled = pulled.coalesce(cores)
     depth = 1 if pulled.getNumPartitions() <= DIRECT_TASKS else 2
     return pulled.mapPartitions(run).treeReduce(np.add, depth)
 

@@ -2,7 +2,8 @@
 
 Rows are dealt into minibatches by hash. The executors keep them as arrays, every minibatch in partitions
 of its own, about one per core, so a step is one pass over these. Tasks add up the gradients of their
-rows; the driver adds the sums of the tasks, and holds the weights and the optimiser's state.
+rows; the driver adds the sums of the tasks, and holds the weights and the optimiser's state. Without dropout
+rows of a minibatch that are equal in inputs and label are kept once, with their number.
 """
 
 from __future__ import annotations
@@ -72,16 +73,16 @@ def keep_masks(draws: np.ndarray, sizes: list[tuple[int, int]], seed: int, dropo
     return masks
 
 
-def gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray, sizes, loss: str, masks=None) -> tuple[np.ndarray, float]:
-    """Sums over the rows: gradient of all parameters, and the loss."""
+def gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray, sizes, loss: str, masks=None, n: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
+    """Sums over the rows, each of which counts `n` times: gradient of all parameters, and the loss."""
     layers = unpack(weights, sizes)
     values = forward(x, layers, masks)
     z = values[-1][:, 0]
     if loss == "mse":
-        lost, delta = float(((z - y) ** 2).sum()), 2 * (z - y)
+        lost, delta = float((n * (z - y) ** 2).sum()), 2 * (z - y)
     else:
-        lost, delta = float((np.logaddexp(0, z) - y * z).sum()), 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-    delta = delta[:, None]
+        lost, delta = float((n * (np.logaddexp(0, z) - y * z)).sum()), 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+    delta = (n * delta)[:, None]
     parts: list[np.ndarray] = []
     for k in range(len(layers) - 1, -1, -1):
         parts = [(values[k].T @ delta).ravel(), delta.sum(axis=0), *parts]
@@ -167,12 +168,24 @@ class Adam:
         return weights - self.rate * m / (np.sqrt(v) + EPSILON)
 
 
+def _step_of(draw: Column, steps: int) -> Column:
+    return F.pmod(F.xxhash64(draw), F.lit(steps)).cast("int")
+
+
+def _counted(dealt: DataFrame, steps: int) -> DataFrame:
+    """Different rows (x, y) of each minibatch, with their number as `draw`."""
+    return dealt.groupBy(_step_of(F.col("draw"), steps).alias("step"), "x", "y").agg(F.count("*").alias("draw"))
+
+
 def _minibatches(dealt: DataFrame, steps: int, seed: int) -> tuple[RDD, int]:
-    """(draw, x, y) as arrays, those of a step in as many partitions as returned, one step behind the other."""
+    """(draw, x, y) as arrays, those of a step in as many partitions as returned, one step behind the other.
+
+    The step follows from the draw if there is no column `step`.
+    """
     dealt = materialise(dealt, "minibatches")
     rows = dealt.count()
     tasks = tasks_for(-(-rows // steps), dealt.sparkSession.sparkContext.defaultParallelism)
-    step = F.pmod(F.xxhash64("draw"), F.lit(steps)).cast("int")
+    step = F.col("step") if "step" in dealt.columns else _step_of(F.col("draw"), steps)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,17 +199,20 @@ def _minibatches(dealt: DataFrame, steps: int, seed: int) -> tuple[RDD, int]:
 
 
 def _step(dealt: RDD, parts: range, weights: np.ndarray, sizes, loss: str, seed: int, dropout: float) -> tuple[np.ndarray, float, int]:
-    """Summed gradient, loss and number of rows of one minibatch, which lies in these partitions."""
+    """Summed gradient, loss and number of rows of one minibatch, which lies in these partitions.
+
+    Without dropout `draw` is the number of equal rows.
+    """
 
     def run(arrays):
         total, lost, rows = np.zeros(len(weights)), 0.0, 0
         for draw, x, y in arrays:
             for at in range(0, len(y), CHUNK):
                 part = slice(at, at + CHUNK)
-                masks = keep_masks(draw[part], sizes, seed, dropout) if dropout else None
-                g, l = gradient(x[part], y[part], weights, sizes, loss, masks)
+                masks, n = (keep_masks(draw[part], sizes, seed, dropout), np.ones(len(y[part]), np.int64)) if dropout else (None, draw[part])
+                g, l = gradient(x[part], y[part], weights, sizes, loss, masks, n)
                 total += g
-                lost, rows = lost + l, rows + len(y[part])
+                lost, rows = lost + l, rows + int(n.sum())
         yield total, lost, rows
 
     found = dealt.context.runJob(dealt, run, parts) if parts else []
@@ -223,7 +239,7 @@ def fit_network(
         lambda v: (v["x"] - v["m"]) / v["s"],
     )
     dealt = labelled.select(F.xxhash64(*rows.columns).alias("draw"), x.alias("x"), F.col(label).cast("double").alias("y"))
-    dealt, tasks = _minibatches(dealt, steps, seed)
+    dealt, tasks = _minibatches(dealt if dropout else _counted(dealt, steps), steps, seed)
     adam, rng, losses = Adam(len(weights), rate), np.random.default_rng(seed + 1), []
     for epoch in range(epochs):
         lost, n = 0.0, 0

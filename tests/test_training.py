@@ -338,6 +338,26 @@ def test_minibatches_hold_every_row_once_on_all_cores(spark, monkeypatch):
     assert len({(step, d) for step, d, _ in found}) == 50
 
 
+def test_equal_rows_of_a_minibatch_are_kept_once(spark):
+    """Every epoch went through every row; without dropout equal rows have equal gradients, which their number multiplies."""
+    df = spark.range(600).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("label"), F.col("id").alias("item_id"))
+    model = neural.fit_network(df, ["a"], hidden=(8, 4), loss="bce", dropout=0.0, epochs=2, steps=4)
+    dealt = df.select(F.xxhash64(*df.columns).alias("draw"), F.array("a").alias("x"), F.col("label").alias("y"))
+    counted = neural._counted(dealt, 4)
+    assert counted.count() == 4 * 6 and counted.agg(F.sum("draw")).first()[0] == 600
+    # The same steps on all rows.
+    x = (df.toPandas()["a"].to_numpy()[:, None] - model.mean[0]) / model.scale[0]
+    y, step = df.toPandas()["label"].to_numpy(), np.array([r[0] for r in dealt.select(neural._step_of(F.col("draw"), 4)).collect()])
+    sizes = neural.layer_sizes(1, (8, 4))
+    weights, rng = neural.initial_weights(sizes, 42), np.random.default_rng(43)
+    adam = neural.Adam(len(weights), neural.RATE)
+    for _ in range(2):
+        for s in rng.permutation(4):
+            mine = step == s
+            weights = adam.step(weights, neural.gradient(x[mine], y[mine], weights, sizes, "bce")[0] / mine.sum())
+    assert model.weights == pytest.approx(weights, abs=1e-9)
+
+
 # --- embeddings -----------------------------------------------------------------------------
 
 
