@@ -257,6 +257,25 @@ def test_matrix_of_whole_rows(spark):
         assert names == [i for i, _ in pairs] and np.allclose(values, [s for _, s in pairs])
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_matrix_vectors_are_dealt_once_per_task(spark, monkeypatch, kept):
+    """A copy of all vectors was shuffled for every few rows that a task scores at a time; now one per task."""
+    real, groups = sim._each, []
+    monkeypatch.setattr(sim, "_each", lambda n: groups.append(n) or real(n))
+    if not kept:
+        monkeypatch.setattr(sim, "MATRIX_BYTES", 0)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(200, 3))
+    ids = [i % 150 for i in range(200)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)] + [(7, None)], "item_id bigint, vector array<double>").repartition(3)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {r.item_id: (r.ids, r.similarities) for r in sim.similarity_matrix(df, block=None, rows=5).collect()}
+    assert groups == [4 if kept else 40] and len(got) == 150
+    for item, (names, values) in got.items():
+        pairs = sorted((i, s) for row, name in enumerate(ids) if name == item for i, s in zip(ids, u[row] @ u.T))
+        assert names == [i for i, _ in pairs] and np.allclose(values, [s for _, s in pairs])
+
+
 def test_matrix_entries_are_not_shuffled(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "item_id bigint, vector array<float>")
     plan = sim.similarity_matrix(df, block=None)._jdf.queryExecution().toString()
