@@ -46,6 +46,27 @@ def test_inverted_file(spark, probes, refine, blocks):
     assert same == 1.0 if refine is None else same > (0.9 if probes != 1 else 0.3)
 
 
+def test_queries_are_sent_once_per_pack_of_cells(spark, monkeypatch):
+    """A query's vector was written and shuffled for every cell it looks into, and again with every item compared exactly."""
+    rng = np.random.default_rng(14)
+    m = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(i % 110, v.tolist()) for i, v in enumerate(m)], "item_id bigint, vector array<double>")
+    queries = df.withColumnRenamed("item_id", "user_id")
+    written, real = {}, neighbours.materialise
+    monkeypatch.setattr(neighbours, "materialise", lambda t, name: written.setdefault(name, real(t, name)))
+    index = neighbours.fit_index(df, cells=10)
+    found = neighbours.search(index, queries, 5, "user_id", probes=10, query_block=50, item_block=30)
+    assert found.count() == 110 * 5
+    assert written["probed-cells"].count() == 120 and {len(r["_cells"]) for r in written["probed-cells"].collect()} == {len(index.centres)}
+    # Ids with more than one vector: every pair of vectors is compared.
+    pairs = spark.createDataFrame([(3, 3), (3, 50), (3, None)], "_q bigint, _i bigint")
+    asked = queries.select(F.col("user_id").alias("_q"), F.col("vector").alias("_v"))
+    got = sorted((r.user_id, r.item_id, round(r.score, 9)) for r in neighbours._compared(index, asked, pairs, "user_id", "item_id", 40).collect())
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    both = {i: [u[j] for j in range(120) if j % 110 == i] for i in (3, 50)}
+    assert got == sorted((3, i, round(float(a @ b), 9)) for i in (3, 50) for a in both[3] for b in both[i])
+
+
 def test_probes_follow_the_recall(spark):
     rng = np.random.default_rng(6)
     centres = 5 * rng.normal(size=(12, 8))
